@@ -9,12 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrail.llm import exact_dedup, mixing
+from kinetrail.llm import byte_bpe, exact_dedup, mixing, simhash
 from kinetrail.llm.common import documents, written
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("exact_dedup", exact_dedup.exact_stage),
+    ("near_dedup", simhash.near_stage),
     ("mix_sources", mixing.mix_stage),
+    ("byte_bpe", byte_bpe.encode_stage),
 ]
 #: Language profiles, SimHash and byte-level BPE are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

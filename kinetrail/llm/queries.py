@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import byte_bpe, exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op7_histogram_shards": sharding.op7_histogram_shards,
     "op8_systematic_mix": mixing.op8_systematic_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_simhash_vptree": simhash.op10_simhash_vptree,
 }
 ORACLE_SQL = {
     "op8_systematic_mix": mixing.OP8_SQL,
