@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrail.llm import byte_bpe, exact_dedup, mixing, simhash
+from kinetrail.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
 from kinetrail.llm.common import documents, written
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id.language_stage),
     ("exact_dedup", exact_dedup.exact_stage),
     ("near_dedup", simhash.near_stage),
     ("mix_sources", mixing.mix_stage),

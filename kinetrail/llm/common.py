@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,13 +59,28 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the workers, once a context: they unpickle functions by name."""
+    context = spark.sparkContext
+    if any(Path(f).name == "kinetrail-modules.zip" for f in context.listFiles):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="kinetrail-")) / "kinetrail-modules.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for module in package.rglob("*.py"):
+            archive.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, dict], dict]], schema: str, rows: int = 256) -> DataFrame:
     """Map slices of rows in Python. `make()` runs once per task and returns a function from
     (texts, other columns) to output columns. The first column of `df` is the text."""
-    fields = [(f.name, f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema]
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = pa.schema([(n, to_arrow_type(t)) for n, t in fields])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(schema)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
@@ -70,4 +89,4 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, dict], dict]], s
             out = apply(batch.column(0).to_pylist(), columns)
             yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

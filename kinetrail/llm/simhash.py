@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, partitions_of, text_or_empty, written
+from .common import documents, map_arrow, map_texts, text_or_empty, written
 
 SHINGLE = 3
 SEED = 42
@@ -200,7 +200,7 @@ def links(distinct: DataFrame, reach: int = MAX_BITS, sample: int = SAMPLE, shar
         a, b = shard_links(fps, table.column("home").to_numpy(), reach)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    routed = distinct.select("fp").mapInArrow(route, "shard long, fp long, home boolean")
+    routed = map_arrow(distinct.select("fp"), route, "shard long, fp long, home boolean")
     return routed.groupBy("shard").applyInArrow(match, "a long, b long")
 
 
