@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, html_text, language_id, mixing, pii, sharding, simhash, sketch
+from . import byte_bpe, exact_dedup, html_text, language_id, mixing, pii, sharding, simhash, sketch, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_scaled_sketch": sketch.op3_scaled_sketch,
     "op4_text_tag_ratio": html_text.op4_text_tag_ratio,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_anchor_pii": pii.op6_anchor_pii,
     "op7_histogram_shards": sharding.op7_histogram_shards,
     "op8_systematic_mix": mixing.op8_systematic_mix,
