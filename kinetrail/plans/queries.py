@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..kernel import extract
+from ..nn import encoder
 from ..operators import batching, graph, messages, stats, transitions, validate
 from ..schema import ALIASES, COMMANDS
+from ..sources import parts, shards
+from ..storage import work_path, written
+from ..streaming import oplog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -611,3 +616,157 @@ def violations_action(spark, sf_dir):
     params = F.transform(F.sequence(F.lit(1), n), lambda i: F.when((F.col("event_id") % 11 == 0) & (i == 1), float("nan")).otherwise(0.5))
     rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 18).alias("cmd_id"), params.alias("params"))
     return validate.check(rows, ["event_id"], {"action.cmd_id": ((F.col("cmd_id") < 0) | (F.col("cmd_id") >= len(COMMANDS)), F.col("cmd_id")), "action.params.finite": (~S.all_finite("params"), F.lit("params")), "action.params.shape": (F.size("params") != 12, F.size("params"))})
+
+
+# --- op streams ------------------------------------------------------------
+
+FOLD_SQL = f"""
+WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, {CMD_OF_EVENT} <> 15 AS committed, value FROM events)
+SELECT user_id::VARCHAR AS part_id, seq::BIGINT AS seq, (sum(committed::INT) OVER w)::BIGINT AS step, committed, round(sum(CASE WHEN committed THEN value ELSE 0 END) OVER w, 3) + 0.0::DOUBLE AS measure
+FROM o WINDOW w AS (PARTITION BY user_id ORDER BY seq)
+"""
+
+
+def _op_stream(spark, sf_dir) -> DataFrame:
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("part_id"), seq.alias("seq"), _event_op().alias("op_name"), F.col("value").alias("measure"))
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    return rows.select("part_id", "seq", big("step").alias("step"), "committed", r("measure", 3).alias("measure"))
+
+
+@query(FOLD_SQL)
+def op_fold(spark, sf_dir):
+    return _folded(oplog.fold(_op_stream(spark, sf_dir)))
+
+
+@query(FOLD_SQL)
+def op_fold_native(spark, sf_dir):
+    return _folded(oplog.fold_native(_op_stream(spark, sf_dir)))
+
+
+@query(FOLD_SQL)
+def op_fold_stream(spark, sf_dir):
+    """The fold with keyed state over a stream of a written log, until it is read."""
+    log = written(_op_stream(spark, sf_dir), "op-log")
+    source = spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/", 1)[0])
+    out, state = work_path(spark, "op-states"), work_path(spark, "op-fold")
+    stream = oplog.fold_stream(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return _folded(spark.read.parquet(out))
+
+
+@query(f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, {CMD_OF_EVENT}::BIGINT AS cmd_id, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def windowed_histogram(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("ts", S.command_id(_event_op()).alias("cmd_id"))
+    return oplog.windowed_histogram(rows).select(F.unix_timestamp("window_start").alias("window_start"), big("cmd_id").alias("cmd_id"), big("n").alias("n"))
+
+
+# --- sources and sinks -----------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 50 = 0")
+def lineage_lookup(spark, sf_dir):
+    raw = parts.full_rows(spark, f"{sf_dir}/orders.parquet")
+    references = raw.where("o_orderkey % 50 = 0").select("source_shard", "source_row")
+    return parts.trace_back(references, raw).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def uuid_semi_join(spark, sf_dir):
+    return parts.with_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS source_shard FROM orders WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders))")
+def skip_existing(spark, sf_dir):
+    """Shards by priority; that of the first order is written already."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("train").alias("split"), F.col("o_orderpriority").alias("source_shard"))
+    first = rows.orderBy("o_orderkey").limit(1).select("split", "source_shard")
+    root = work_path(spark, "shards")
+    done = rows.join(first, ["split", "source_shard"], "left_semi")
+    shards.write({"states": done}, done.withColumn("status", F.lit("success")), root)
+    return shards.pending(rows, root).select("o_orderkey", "source_shard")
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 10 < 8 THEN 'train' ELSE 'val' END AS split FROM conversations WHERE conv_id % 10 >= 8")
+def shard_roundtrip(spark, sf_dir):
+    split = F.when(F.col("conv_id") % 10 < 8, "train").otherwise("val")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", split.alias("split"), F.concat(F.lit("s"), (F.col("conv_id") % 4).cast("string")).alias("source_shard"))
+    root = work_path(spark, "shards")
+    shards.write({"states": rows}, rows.withColumn("status", F.lit("success")), root)
+    return shards.read(spark, root, "states", "validation").select("conv_id", "turn", "split")
+
+
+@query("SELECT conv_id AS part_id, turn AS step, CASE WHEN turn = 0 THEN 'start' ELSE lag(role) OVER (PARTITION BY conv_id ORDER BY turn) END AS operation, length(text)::BIGINT AS faces, round(length(text) / 7.0::DOUBLE, 3) AS volume FROM conversations")
+def history_log(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    states = turns.select("part_id", "step", F.col("size").alias("num_faces"), F.col("size").alias("num_edges"), (F.col("size") / F.lit(7.0)).alias("volume"))
+    log = shards.history(states, turns.select("part_id", "step", F.col("role").alias("operation_name")))
+    return log.select("part_id", "step", "operation", big("faces").alias("faces"), r("volume", 3).alias("volume"))
+
+
+@query("""
+WITH h AS (SELECT conv_id, turn, '| ' || turn || ' | ' || CASE WHEN turn = 0 THEN 'start' ELSE lag(role) OVER (PARTITION BY conv_id ORDER BY turn) END || ' | ' || length(text) || ' | ' || length(text) || ' | 0.0 |' AS line FROM conversations)
+SELECT conv_id AS part_id, '# Part ' || conv_id || chr(10) || chr(10) || '| step | operation | faces | edges | volume |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY turn) AS report FROM h GROUP BY 1
+""")
+def markdown_report(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    states = turns.select("part_id", "step", F.col("size").alias("num_faces"), F.col("size").alias("num_edges"), F.lit(0.0).alias("volume"))
+    return shards.markdown(shards.history(states, turns.select("part_id", "step", F.col("role").alias("operation_name"))))
+
+
+@query("""SELECT s_suppkey, '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","bad":' || CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey || '.0' ELSE '' END || '}' AS document FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}' FROM supplier WHERE s_suppkey % 2 = 1""")
+def json_documents(spark, sf_dir):
+    bad = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("double")).otherwise(float("nan"))
+    return shards.json_documents(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", bad.alias("bad")), ["s_suppkey"])
+
+
+# --- kernel and encoder ----------------------------------------------------
+
+
+def _programs(spark, sf_dir) -> DataFrame:
+    """Part keys as programs: boxes, cylinders, polygons, and faults of every kind."""
+    size = (F.col("p_size") + 1).cast("string")
+    code = (
+        F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("import cadquery as cq\nresult = cq.Workplane('XY').box("), size, F.lit(", 20, 30)")))
+        .when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("r = cq.Workplane().circle("), size, F.lit(").extrude(4)")))
+        .when(F.col("p_partkey") % 5 == 2, F.concat(F.lit("part = cq.Workplane().polyline([(0, 0), (4, 0), (4, 3)]).close().extrude("), size, F.lit(")")))
+        .when(F.col("p_partkey") % 5 == 3, F.lit("result = cq.Workplane().box(1, 2, 3).edges().fillet(0.1)"))
+        .otherwise(F.lit("result = (("))
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("part_id"), code.alias("code"))
+
+
+@query("SELECT CASE p_partkey % 5 WHEN 3 THEN 'unsupported_operation' WHEN 4 THEN 'syntax_error' ELSE 'success' END AS status, count(*)::BIGINT AS n FROM part GROUP BY 1")
+def program_statuses(spark, sf_dir):
+    return extract.statuses(extract.extract(_programs(spark, sf_dir))).groupBy("status").agg(big(F.count(F.lit(1))).alias("n"))
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS part_id, CASE p_partkey % 5 WHEN 0 THEN 6 WHEN 1 THEN 3 ELSE 5 END::BIGINT AS num_faces, CASE p_partkey % 5 WHEN 0 THEN 12 WHEN 1 THEN 3 ELSE 9 END::BIGINT AS num_edges,
+  round(CASE p_partkey % 5 WHEN 0 THEN (p_size + 1) * 600 WHEN 1 THEN pi() * (p_size + 1) * (p_size + 1) * 4 ELSE 6 * (p_size + 1) END::DOUBLE, 4) AS volume FROM part WHERE p_partkey % 5 < 3
+""")
+def program_states(spark, sf_dir):
+    found = extract.states(extract.extract(_programs(spark, sf_dir)))
+    return found.select("part_id", big("num_faces").alias("num_faces"), big("num_edges").alias("num_edges"), r("volume", 4).alias("volume"))
+
+
+@query("SELECT p_partkey::VARCHAR AS part_id, CASE p_partkey % 5 WHEN 0 THEN 24 WHEN 1 THEN 4 ELSE 18 END::BIGINT AS directed, 0::BIGINT AS violations FROM part WHERE p_partkey % 5 < 3")
+def program_graphs(spark, sf_dir):
+    """Directed adjacency of the extracted solids, and rule violations among their features."""
+    results = written(extract.extract(_programs(spark, sf_dir)), "extracted")
+    adj = graph.adjacency(extract.face_edge(results))
+    bad = validate.array_rules(extract.faces(results), ["part_id"], "features", 32, "faces").unionByName(validate.array_rules(extract.edges(results), ["part_id"], "features", 16, "edges"))
+    bad = bad.groupBy(F.col("entity").alias("part_id")).agg(F.count(F.lit(1)).alias("violations"))
+    return adj.groupBy("part_id").agg(big(F.count(F.lit(1))).alias("directed")).join(bad, "part_id", "left").select("part_id", "directed", big(F.coalesce("violations", F.lit(0))).alias("violations"))
+
+
+@query()
+def encoder_embeddings(spark, sf_dir):
+    """Encoder inference over the extracted boxes, with coarse synthetic grids."""
+    results = written(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 50 = 0")), "extracted")
+    grid = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin(i.cast("double")))
+    faces, edges = extract.faces(results).withColumn("uv", grid(7 * 16)), extract.edges(results).withColumn("u", grid(6 * 4))
+    out = encoder.embed(faces, graph.adjacency(extract.face_edge(results)), edges, 4, 4, pointer=16, outputs=8, heads=2)
+    return out.select("part_id", "kind", "idx", r(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).alias("total"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the workers, once a context: they unpickle functions by name."""
+    context = spark.sparkContext
+    if any(Path(f).name == "kinetrail-modules.zip" for f in context.listFiles):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="kinetrail-")) / "kinetrail-modules.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for module in package.rglob("*.py"):
+            archive.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(target))
