@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+from ..storage import ship, work_path, written
+
+__all__ = ["ASCII_WORD", "documents", "map_arrow", "map_texts", "partitions_of", "ship", "slices", "text_or_empty", "work_path", "written"]
+
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -21,29 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests, one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="kinetrail-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kinetrail/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a table in the shared folder: lineage ends here, and a lost executor costs only a re-read."""
-    spark = df.sparkSession
-    path = work_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,19 +36,6 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the workers, once a context: they unpickle functions by name."""
-    context = spark.sparkContext
-    if any(Path(f).name == "kinetrail-modules.zip" for f in context.listFiles):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="kinetrail-")) / "kinetrail-modules.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for module in package.rglob("*.py"):
-            archive.write(module, module.relative_to(package.parent))
-    context.addPyFile(str(target))
-
-
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
