@@ -48,8 +48,8 @@ GRAM = 200
 #: Different contexts of one anchor that one suffix array may get.
 GROUP = 16384
 #: Bytes of contexts a suffix array is built for at once (a group is never divided).
-BATCH = 2_000_000
-BLOCK = 1 << 20
+BATCH = 1_000_000
+BLOCK = 1 << 19
 #: Bits of the table that tells which documents may take part.
 BLOOM_BITS = 1 << 24
 NO_ID = -(2**63)
@@ -133,6 +133,15 @@ class Anchors:
             low = high
 
 
+def first_words(padded: np.ndarray, n: int) -> np.ndarray:
+    """The eight bytes from each of the first n places on, as big-endian numbers."""
+    words = np.zeros(n, np.uint64)
+    for i in range(8):
+        words <<= np.uint64(8)
+        words |= padded[i : i + n]
+    return words
+
+
 def window_order(text: bytes, starts: np.ndarray, depth: int = SPAN) -> np.ndarray:
     """The window starts in order of their suffixes' first `depth` bytes, by two-stage sorting.
 
@@ -149,19 +158,15 @@ def window_order(text: bytes, starts: np.ndarray, depth: int = SPAN) -> np.ndarr
     data[:] = np.frombuffer(text, np.uint8)
     follow = padded[1 : n + 1].astype(np.int16) - data
     follow[n - 1] = 1  # the end counts as greater than any byte
-    place = np.arange(n)
-    differs = np.where(follow != 0, place, n)
+    place = np.arange(n, dtype=np.int32)
+    differs = np.where(follow != 0, place, np.int32(n))
     nearest = np.minimum.accumulate(differs[::-1])[::-1]
     direct = follow[nearest] > 0
-    next_direct = np.minimum.accumulate(np.where(direct, place, n)[::-1])[::-1]
-    takes = np.zeros(n + 1, np.int32)
-    np.add.at(takes, starts, 1)
-    np.add.at(takes, next_direct[starts] + 1, -1)
+    next_direct = np.minimum.accumulate(np.where(direct, place, np.int32(n))[::-1])[::-1]
+    takes = np.bincount(starts, minlength=n + 1) - np.bincount(next_direct[starts] + 1, minlength=n + 1)
     takes = np.cumsum(takes[:n]) > 0
 
-    head = np.zeros(n, np.uint64)
-    for i in range(8):
-        head = (head << np.uint64(8)) | padded[i : i + n]
+    head = first_words(padded, n)
     sources = np.nonzero(takes & direct)[0]
     sources = sources[np.argsort(head[sources], kind="stable")]
     keys = head[sources]
@@ -204,18 +209,45 @@ def window_order(text: bytes, starts: np.ndarray, depth: int = SPAN) -> np.ndarr
 
 
 def common_prefixes(text: bytes, order: np.ndarray, depth: int = SPAN) -> np.ndarray:
-    """Common prefix, `depth` at most, of each suffix of the order with the one before it."""
+    """Common prefix, `depth` at most, of each suffix of the order with the one before it.
+
+    Neighbouring suffixes mostly have neighbouring predecessors. Such a chain is compared
+    byte by byte once, from its first suffix to `depth` after its last, and each suffix's
+    prefix ends at the next difference. Suffixes in short chains are compared alone, eight
+    bytes at a time.
+    """
     n = len(text)
-    padded = np.zeros(n + depth + 16, np.uint8)
+    padded = np.full(n + depth + 16, 255, np.uint8)
     padded[:n] = np.frombuffer(text, np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     same = np.zeros(len(order), np.int64)
-    live = np.arange(1, len(order))
-    for at in range(0, depth, 8):
-        a, b = words[order[live - 1] + at], words[order[live] + at]
-        equal = (a.view(np.uint64) == b.view(np.uint64)).reshape(-1)
+    by_place = np.argsort(order[1:], kind="stable") + 1
+    at, before = order[by_place], order[by_place - 1]
+    first = np.nonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(before) != 1))))[0]
+    sizes = np.diff(np.append(first, len(at)))
+    chained = sizes >= 8
+    alone = by_place[np.repeat(~chained, sizes)]
+    first, sizes = first[chained], sizes[chained]
+    spans = sizes + depth
+    cut_at = np.searchsorted(np.cumsum(spans), np.arange(1, int(spans.sum()) // 2_000_000 + 1) * 2_000_000)
+    for f, size, span in zip(*(np.split(x, cut_at) for x in (first, sizes, spans)), strict=True):
+        if not len(f):
+            continue
+        ends = np.cumsum(span)
+        offset = np.arange(ends[-1]) - np.repeat(ends - span, span)
+        differs = padded[np.repeat(at[f], span) + offset] != padded[np.repeat(before[f], span) + offset]
+        differs[ends - 1] = True
+        place = np.arange(len(differs))
+        nearest = np.minimum.accumulate(np.where(differs, place, len(differs))[::-1])[::-1]
+        inside = offset < np.repeat(size, span)
+        which = np.repeat(f, size) + offset[inside]
+        same[by_place[which]] = (nearest - place)[inside]
+    words = first_words(padded, n + depth)
+    live = alone
+    for step in range(0, depth, 8):
+        differ = words[order[live - 1] + step] ^ words[order[live] + step]
+        equal = differ == 0
         ended = live[~equal]
-        same[ended] = at + (a[~equal] != b[~equal]).argmax(axis=1)
+        same[ended] = step + (differ[~equal].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
         live = live[equal]
         if not len(live):
             break
