@@ -87,7 +87,7 @@ def splitters(keys: DataFrame, shards: int, probe_bits: int = 9, tolerance: floa
                 hi, lo = child.low()
                 if upper:
                     hi, lo = (hi + (1 << (BITS - child.used)), 0) if child.hi is None else (hi + 1, 0) if child.used == 0 else (hi, lo + (1 << (BITS - child.used)))
-                found[s] = hi, lo
+                found[s] = (hi + 1, 0) if lo >> BITS else (hi, lo)
                 del wanted[s]
             else:
                 wanted[s] = child, below
@@ -109,7 +109,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         "shard-keys",
     )
     bounds = splitters(keys, shards, probe_bits, tolerance, slack)
-    above = [(F.col("hi") > h) | (F.col("hi") == h) & (F.col("lo") >= low) for h, low in bounds]
+    above = [F.lit(False) if h >> BITS else (F.col("hi") > h) | (F.col("hi") == h) & (F.col("lo") >= low) for h, low in bounds]
     number = sum((c.cast("int") for c in above), F.lit(0))
     #: A slot is the rows of lower lanes of the shard plus the place within the lane; lanes bound a task's rows.
     lanes = max(64, partitions_of(spark))
