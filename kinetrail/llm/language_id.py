@@ -119,7 +119,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "value")))["value"].alias("vector")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    langs, vectors = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    langs, vectors = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), dimensions)
     norms = np.linalg.norm(vectors, axis=1)
     langs, vectors = [x for x, n in zip(langs, norms, strict=True) if n], vectors[norms > 0] / norms[norms > 0][:, None]
     return langs, vectors
