@@ -50,6 +50,8 @@ GROUP = 16384
 #: Bytes of contexts a suffix array is built for at once (a group is never divided).
 BATCH = 1_000_000
 BLOCK = 1 << 19
+#: Parts of a window start with very many places.
+SALTS = 64
 #: Bits of the table that tells which documents may take part.
 BLOOM_BITS = 1 << 24
 NO_ID = -(2**63)
@@ -424,7 +426,10 @@ def _by_starts(contexts: DataFrame, span: int) -> DataFrame:
     starts = written(starts, "window-starts")
     place = F.struct("id", "mark", "start")
     twice = starts.groupBy("window").agg(F.max("n").alias("most"), F.min(place).alias("low"), F.max(place).alias("high")).where("most > 1 OR low != high").select("window")
-    return starts.where("n = 1").join(twice, "window", "left_semi").select("id", "mark", "start", (F.col("start") + span).alias("end"))
+    # A window may start in very many places: both sides meet in SALTS parts of it.
+    once = starts.where("n = 1").withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int"))
+    salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return once.join(salted, ["window", "salt"], "left_semi").select("id", "mark", "start", (F.col("start") + span).alias("end"))
 
 
 def repeated_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP, batch_bytes: int = BATCH) -> DataFrame:
