@@ -115,6 +115,24 @@ def or_default(a, n, fill) -> Column:
     return F.when(F.size(a) == n, a).otherwise(F.array_repeat(F.lit(fill), n.cast("int")))
 
 
+def resample(points, n: int = 64) -> Column:
+    """n points at equal arc lengths along a closed polygon of 2-vectors, end excluded; null if it has no length."""
+    points = _col(points)
+    x, y = F.transform(points, lambda p: F.get(p, F.lit(0)).cast("double")), F.transform(points, lambda p: F.get(p, F.lit(1)).cast("double"))
+    size = F.size(points)
+    step = lambda v, k: F.get(v, (k + 1) % size) - F.get(v, k)
+    each = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.sqrt(step(x, k) * step(x, k) + step(y, k) * step(y, k)))
+    ends = F.aggregate(each, F.array(F.lit(0.0)), lambda s, d: F.concat(s, F.array(F.element_at(s, -1) + d)))
+
+    def at(t: Column) -> Column:
+        k = F.size(F.filter(ends, lambda e: e <= t)) - 1
+        share = F.coalesce(F.try_divide(t - F.get(ends, k), F.get(each, k)), F.lit(0.0))
+        return F.array(F.get(x, k) + share * step(x, k), F.get(y, k) + share * step(y, k))
+
+    total = F.element_at(ends, -1)
+    return F.when((size > 0) & (total > 0), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(i.cast("double") / n * total)))
+
+
 def masked(a, mask) -> Column:
     return F.transform(F.filter(F.arrays_zip(_col(a).alias("x"), _col(mask).alias("m")), lambda z: z["m"]), lambda z: z["x"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def assign_batches(samples: DataFrame, batch_size: int, order: list, within: list[str] | None = None, shuffle_seed: int | None = None, key: str | None = None) -> DataFrame:
     """batch_id and batch_pos of every sample, the last batch kept.
@@ -25,7 +27,8 @@ def assign_batches(samples: DataFrame, batch_size: int, order: list, within: lis
 def global_rank(rows: DataFrame, order: list, name: str) -> DataFrame:
     """0-based rank over all rows without a single-task window: a range partitioning keeps the
     order, ranks inside each partition are shifted by the counts of those before it."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # Written once, so that both readers below see the same partition numbers.
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

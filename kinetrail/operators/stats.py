@@ -101,6 +101,10 @@ def box_of(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(*[f(c).alias(f"{c}{n}") for n, f in (("min", F.min), ("max", F.max)) for c in ("x", "y", "z")])
 
 
+def surface_area(faces: DataFrame, keys: list[str], area: Column) -> DataFrame:
+    return faces.groupBy(*keys).agg(F.sum(area).alias("surface_area"))
+
+
 def moving_mean(rows: DataFrame, value: str, last: int, part: list[str], order: list, name: str = "moving_mean") -> DataFrame:
     return rows.withColumn(name, F.avg(value).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(1 - last, 0)))
 

@@ -386,6 +386,61 @@ def evolution_series(spark, sf_dir):
     return transitions.evolution(_turns(spark, sf_dir), ["size"]).select("part_id", "step", big("size").alias("size"))
 
 
+@query("SELECT l_orderkey, round(sum(l_extendedprice), 2) AS surface_area FROM lineitem GROUP BY 1")
+def surface_area_total(spark, sf_dir):
+    return stats.surface_area(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_extendedprice")).select("l_orderkey", F.round("surface_area", 2).alias("surface_area"))
+
+
+@query("SELECT l_suppkey, min(l_quantity) AS xmin, max(l_quantity) AS xmax, min(l_tax) AS ymin, max(l_tax) AS ymax, min(l_discount) AS zmin, max(l_discount) AS zmax FROM lineitem GROUP BY 1")
+def box_extent(spark, sf_dir):
+    points = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("x"), F.col("l_tax").alias("y"), F.col("l_discount").alias("z"))
+    return stats.box_of(points, ["l_suppkey"])
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, round(l_tax - greatest(0.001, (l_quantity - l_tax) * 0.05), 6) + 0.0::DOUBLE AS low, round(l_quantity + greatest(0.001, (l_quantity - l_tax) * 0.05), 6) + 0.0::DOUBLE AS high FROM lineitem")
+def padded_boxes(spark, sf_dir):
+    low, high = S.padded_box("l_tax", "l_quantity")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", r(low).alias("low"), r(high).alias("high"))
+
+
+@query("SELECT c_custkey, round((c_acctbal - 10) * 0.6 + (c_nationkey - 1) * 0.8, 5) + 0.0::DOUBLE AS u, round(-(c_acctbal - 10) * 0.8 + (c_nationkey - 1) * 0.6, 5) + 0.0::DOUBLE AS v FROM customer")
+def local_frame(spark, sf_dir):
+    v = lambda *x: F.array(*[F.lit(float(i)) for i in x])
+    point = F.array("c_acctbal", F.col("c_nationkey").cast("double"), F.lit(5.0))
+    local = S.to_local(point, v(10, 1, 0), v(0.6, 0.8, 0), v(-0.8, 0.6, 0))
+    return table(spark, sf_dir, "customer").select("c_custkey", r(F.get(local, F.lit(0)), 5).alias("u"), r(F.get(local, F.lit(1)), 5).alias("v"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_suppkey % 7 + 1.0::DOUBLE AS w, s_suppkey % 3 + 1.0::DOUBLE AS h FROM supplier), t AS (SELECT *, k * (w + h) / 8 AS d FROM s, range(0, 16) r(k))
+SELECT s_suppkey, k::BIGINT AS k, round(CASE WHEN d <= w THEN d WHEN d <= w + h THEN w WHEN d <= 2 * w + h THEN 2 * w + h - d ELSE 0 END, 6) + 0.0::DOUBLE AS x, round(CASE WHEN d <= w THEN 0 WHEN d <= w + h THEN d - w WHEN d <= 2 * w + h THEN h ELSE 2 * w + 2 * h - d END, 6) + 0.0::DOUBLE AS y FROM t
+""")
+def profile_resample(spark, sf_dir):
+    """Points at equal arc lengths of rectangles."""
+    w, h, zero = (F.col("s_suppkey") % 7 + 1).cast("double"), (F.col("s_suppkey") % 3 + 1).cast("double"), F.lit(0.0)
+    ring = F.array(F.array(zero, zero), F.array(w, zero), F.array(w, h), F.array(zero, h))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(S.resample(ring, 16)).alias("k", "p"))
+    return rows.select("s_suppkey", big("k").alias("k"), r(F.get("p", F.lit(0))).alias("x"), r(F.get("p", F.lit(1))).alias("y"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 2 ELSE 0 END::BIGINT AS set_flags, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END::BIGINT AS kept FROM events")
+def default_fill(spark, sf_dir):
+    """Masks of another length than their entities become all false."""
+    mask = S.or_default(F.array_repeat(F.lit(True), (F.col("event_id") % 3).cast("int")), 2, False)
+    kept = S.masked(F.array(F.lit(1), F.lit(0)), mask)
+    return table(spark, sf_dir, "events").select("event_id", big(F.size(F.filter(mask, lambda x: x))).alias("set_flags"), big(F.size(F.filter(kept, lambda x: x == 1))).alias("kept"))
+
+
+@query("SELECT s_suppkey, round(abs(s_acctbal) / 6, 4) AS volume FROM supplier")
+def mesh_volume(spark, sf_dir):
+    """Tetrahedra with legs 1, 1 and |balance|."""
+    z = F.abs("s_acctbal")
+    o, a, b, c = (F.array(*[x if not isinstance(x, (int, float)) else F.lit(float(x)) for x in p]) for p in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, z)))
+    faces = F.array(*[F.struct(p.alias("a"), q.alias("b"), s.alias("c")) for p, q, s in ((o, b, a), (o, a, c), (o, c, b), (a, b, c))])
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(faces).alias("t")).select("s_suppkey", "t.*")
+    return stats.mesh_volume(rows, ["s_suppkey"]).select("s_suppkey", r("volume", 4).alias("volume"))
+
+
 # --- batching --------------------------------------------------------------
 
 BATCHES = """
@@ -415,6 +470,24 @@ def batch_vector(spark, sf_dir):
     return batching.batch_vector(_graph_batches(spark, sf_dir), "num_faces").select(*[big(c).alias(c) for c in ("batch_id", "batch_pos", "node")])
 
 
+@query("""
+WITH g AS (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // 16 AS batch_id, (row_number() OVER (ORDER BY conv_id) - 1) % 16 AS batch_pos, count(*) AS n FROM conversations GROUP BY conv_id),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY batch_id ORDER BY batch_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, coalesce(sum(n - 1) OVER (PARTITION BY batch_id ORDER BY batch_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM g)
+SELECT batch_id::BIGINT AS batch_id, (turn + f)::BIGINT AS face_idx, (turn + e)::BIGINT AS edge_idx, 0::BIGINT AS violations FROM o JOIN conversations USING (conv_id) WHERE turn + 1 < n
+""")
+def collated_incidence(spark, sf_dir):
+    """Chains of turns as graphs: every table of a batch shifted, and the batch's rules checked."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("part_id"), F.lit(0).alias("step"), F.col("turn").alias("face_idx"))
+    last = turns.groupBy("part_id", "step").agg(F.count(F.lit(1)).alias("num_faces"))
+    states = last.withColumn("num_edges", F.col("num_faces") - 1)
+    face_edge = turns.join(last, ["part_id", "step"]).where("face_idx + 1 < num_faces").select("part_id", "step", "face_idx", F.col("face_idx").alias("edge_idx"))
+    both = face_edge.unionByName(face_edge.withColumn("face_idx", F.col("face_idx") + 1))
+    batches = batching.assign_batches(states, 16, ["part_id"]).select("part_id", "step", "batch_id", "batch_pos")
+    tables = batching.collate(states, turns, face_edge.select("part_id", "step", "edge_idx"), graph.adjacency(both), face_edge, batches)
+    bad = validate.batch(tables).agg(F.count(F.lit(1)).alias("violations"))
+    return tables["face_edge"].select(*[big(c).alias(c) for c in ("batch_id", "face_idx", "edge_idx")]).crossJoin(bad)  # one row
+
+
 # --- statistics ------------------------------------------------------------
 
 

@@ -33,6 +33,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all work tables. Results that were not written elsewhere cannot be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kinetrail")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's modules to the workers, once a context: they unpickle functions by name."""
     context = spark.sparkContext

@@ -91,3 +91,12 @@ def test_status_and_split(spark):
     assert one(spark, S.split_alias(F.lit("validation")), S.split_alias(F.lit("test"))).c0 == "val"
     splits = spark.range(2000).select(S.split_of("id").alias("s")).groupBy("s").count().collect()
     assert 0.87 < {r.s: r["count"] for r in splits}["train"] / 2000 < 0.93
+
+
+def test_resample_against_numpy(spark):
+    from kinetrail.kernel.solids import resample
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (1.0, 5.0)]
+    points = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ring])
+    got = one(spark, S.resample(points), S.resample(F.array(F.array(F.lit(1.0), F.lit(1.0)))))
+    assert np.allclose(got.c0, resample(np.array(ring), 64)) and got.c1 is None

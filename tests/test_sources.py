@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrail import config
+from kinetrail import config, storage
 from kinetrail.sources import parts, shards
 from kinetrail.streaming import oplog
 
@@ -46,6 +46,25 @@ def test_shards(spark, tmp_path):
     assert {(r.asset, r["size"]) for r in sizes.collect()} == {("step", 3)}
 
 
+def test_work_tables(spark):
+    kept = storage.written(spark.range(5), "test")
+    assert kept.count() == 5 and kept.inputFiles()[0].split("/kinetrail/")[1].startswith("test-")
+    folder = storage.work_path(spark, "gone")
+    spark.range(3).write.parquet(folder)
+    assert shards.exists(spark, folder)
+
+
+def test_clean_removes_work_tables(spark, tmp_path):
+    before = storage.shared_dir(spark)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        path = storage.written(spark.range(3), "x").inputFiles()[0]
+        storage.clean(spark)
+        assert not shards.exists(spark, path)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
 def test_config():
     plain = config.compose()
     assert (plain["data"]["face_dims"], plain["data"]["edge_dims"]) == (32, 16)
