@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_UNSET: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where it is unset on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="kinetrail-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _UNSET.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="kinetrail-")
+        _UNSET[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 

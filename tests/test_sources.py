@@ -54,15 +54,26 @@ def test_work_tables(spark):
     assert shards.exists(spark, folder)
 
 
-def test_clean_removes_work_tables(spark, tmp_path):
-    before = storage.shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        path = storage.written(spark.range(3), "x").inputFiles()[0]
-        storage.clean(spark)
-        assert not shards.exists(spark, path)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_clean_removes_work_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    path = storage.written(spark.range(3), "x").inputFiles()[0]
+    assert shards.exists(spark, path)
+    storage.clean(spark)
+    assert not shards.exists(spark, path)
+
+
+def test_shared_folder_where_none_is_set():
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            applicationId, master = "app", "local[2]"
+
+    assert storage.shared_dir(Unset) == storage.shared_dir(Unset)
+    Unset.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Unset)
 
 
 def test_config():
