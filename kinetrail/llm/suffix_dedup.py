@@ -230,7 +230,7 @@ def common_prefixes(text: bytes, order: np.ndarray, depth: int = SPAN) -> np.nda
     alone = by_place[np.repeat(~chained, sizes)]
     first, sizes = first[chained], sizes[chained]
     spans = sizes + depth
-    cut_at = np.searchsorted(np.cumsum(spans), np.arange(1, int(spans.sum()) // 2_000_000 + 1) * 2_000_000)
+    cut_at = np.searchsorted(np.cumsum(spans), np.arange(1, int(spans.sum()) // 500_000 + 1) * 500_000)
     for f, size, span in zip(*(np.split(x, cut_at) for x in (first, sizes, spans)), strict=True):
         if not len(f):
             continue
@@ -436,11 +436,13 @@ def repeated_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, grou
     """Intervals (id, mark, start, end) that cover exactly the bytes in repeated windows."""
     found = written(anchors(rows, span, gram), "anchors")
     shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("context").alias("low"), F.max("context").alias("high")).where("all > 1").select("anchor", (F.col("low") == F.col("high")).alias("uniform"))
+    shared = written(shared, "shared-anchors")  # a plain table on this side lets a hot anchor's other side be split
     met = written(found.join(shared, "anchor"), "met-anchors")
     mixed = met.where("NOT uniform")
     contexts = written(mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "place")).alias("one")).select("anchor", "context", "n", "one.*"), "contexts")
     whole = met.where("uniform").unionByName(mixed.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(met.columns)).select(_interval())
     groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("least = 1")
+    groups = written(groups, "mixed-anchors")
     undecided = written(contexts.join(groups.select("anchor", (F.col("size") > group).alias("hot")), "anchor"), "undecided")
     data = written(_context_bytes(rows, undecided), "context-bytes")
     found = whole.unionByName(_by_suffixes(data.where("NOT hot").drop("hot"), span, batch_bytes))
