@@ -25,6 +25,7 @@ from .common import documents, partitions_of, text_or_empty, written
 
 #: Bits of each of the two key words.
 BITS = 63
+MOST_LANES = 4096
 
 
 class Range(NamedTuple):
@@ -112,12 +113,12 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     above = [F.lit(False) if h >> BITS else (F.col("hi") > h) | (F.col("hi") == h) & (F.col("lo") >= low) for h, low in bounds]
     number = sum((c.cast("int") for c in above), F.lit(0))
     #: A slot is the rows of lower lanes of the shard plus the place within the lane; lanes bound a task's rows.
-    lanes = max(64, partitions_of(spark))
+    lanes = min(max(64, partitions_of(spark)), MOST_LANES)
     dealt = keys.select("id", "size", "text_crc32", number.alias("shard"), F.pmod(F.xxhash64("id", "hi", F.lit(7)), F.lit(lanes)).cast("int").alias("lane"))
     counts = dealt.groupBy("shard", "lane").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "lane", (F.sum("n").over(Window.partitionBy("shard").orderBy("lane")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("id", "size", "text_crc32"))
-    #: shards x lanes rows, whatever the input's size.
+    #: shards x MOST_LANES rows at most, whatever the input's size.
     return dealt.withColumn("place", place.cast("long")).join(F.broadcast(before), ["shard", "lane"]).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + F.col("place") - 1).alias("slot"))
 
 
