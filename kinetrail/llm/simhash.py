@@ -33,8 +33,10 @@ from .common import documents, map_arrow, map_texts, text_or_empty, written
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-#: The tree's sample, and how many distinct fingerprints a shard should hold.
-SAMPLE = 32768
+#: The tree's sample: so many fingerprints at least, one in 64 beyond that, so many at most (8 MB).
+SAMPLE = 1 << 15
+MOST_SAMPLE = 1 << 20
+#: How many distinct fingerprints a shard should hold.
 SHARD = 4096
 LEAF = 48
 _LANES = np.uint64(0x0101010101010101)
@@ -180,6 +182,7 @@ def links(distinct: DataFrame, reach: int = MAX_BITS, sample: int = SAMPLE, shar
     """Links (a, b) that connect all fingerprints of `distinct` within `reach` bits, without most of the redundant ones."""
     spark = distinct.sparkSession
     n = distinct.count()
+    sample = min(max(sample, n // 64), MOST_SAMPLE)
     some = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
     points = np.array(some, np.int64).view(np.uint64)
     leaves = min(max(1, -(-n // shard)), max(1, len(points) // 16))
