@@ -41,14 +41,19 @@ def directed_edges(face_edge: DataFrame, keys=KEYS, face: str = "face_idx", edge
 
 
 def adjacency(face_edge: DataFrame, keys=KEYS, face: str = "face_idx", edge: str = "edge_idx", reverse: bool = True) -> DataFrame:
-    """Directed edges with their dense index in (src, dst, edge) order, and the reverse edge's."""
+    """Directed edges with their dense index in (src, dst, edge) order, and the reverse edge's.
+
+    Both directions of an edge are always there, so the reverse edge's index is the rank in
+    (dst, src, edge) order: a second sort of the same partitions instead of a self-join.
+    """
     pairs = directed_edges(face_edge, keys, face, edge)
-    dense = pairs.withColumn("adj_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("src", "dst", "edge_idx")) - 1)
-    return with_reverse(dense, keys) if reverse else dense
+    state = Window.partitionBy(*keys)
+    dense = pairs.withColumn("adj_idx", F.row_number().over(state.orderBy("src", "dst", "edge_idx")) - 1)
+    return dense.withColumn("reverse_idx", F.row_number().over(state.orderBy("dst", "src", "edge_idx")) - 1) if reverse else dense
 
 
 def with_reverse(adj: DataFrame, keys=KEYS, simple: bool = False, missing: Column | None = None) -> DataFrame:
-    """Index of the edge (dst, src, edge); itself if there is none.
+    """Index of the edge (dst, src, edge) in any set of directed edges; itself if there is none.
 
     simple: by (dst, src) only, of parallel edges the last, and 0 (or `missing`) if there is none.
     """

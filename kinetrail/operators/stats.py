@@ -122,8 +122,14 @@ def progress_samples(rows: DataFrame, part: list[str], order: list, points: int
     return placed.where((F.col("place") % every == 0) | (F.col("place") == F.col("total")))
 
 
-def mean_pool(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Mean of each dimension by group, as (keys, dim, value)."""
+def mean_pool(vectors: DataFrame, keys: list[str], vector: str, dims: int | None = None) -> DataFrame:
+    """Mean of each dimension by group, as (keys, dim, value).
+
+    With a known number of dimensions rows are not multiplied before they are aggregated.
+    """
+    if dims:
+        means = vectors.groupBy(*keys).agg(*[F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dims)])
+        return means.select(*keys, F.posexplode(F.array(*[f"_{i}" for i in range(dims)])).alias("dim", "value"))
     return vectors.select(*keys, F.posexplode(vector).alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 

@@ -41,14 +41,9 @@ def count_mismatch(parents: DataFrame, expected: str, children: DataFrame, rule:
     return check(parents.join(n, keys, "left"), keys, {rule: (F.coalesce("_n", F.lit(0)) != F.col(expected), F.concat_ws("!=", F.coalesce("_n", F.lit(0)).cast("string"), F.col(expected).cast("string")))})
 
 
-def array_rules(rows: DataFrame, keys: list[str], column: str, size: int, rule: str) -> DataFrame:
-    """Fixed length and finite entries."""
-    return check(rows, keys, {f"{rule}.shape": (F.size(column) != size, F.size(column)), f"{rule}.finite": (~all_finite(column), F.lit(column))})
-
-
-def uv_mask(faces: DataFrame, grid: int) -> DataFrame:
-    mask = F.slice("uv", 6 * grid * grid + 1, grid * grid)
-    return check(faces, [*STATE, "face_idx"], {"uv_mask.binary": (~F.forall(mask, lambda x: x.isin(0.0, 1.0)), F.lit("mask"))})
+def array_rules(column: str, size: int, rule: str) -> dict[str, tuple[Column, Column]]:
+    """Fixed length and finite entries, as rules for `check`."""
+    return {f"{rule}.shape": (F.size(column) != size, F.size(column)), f"{rule}.finite": (~all_finite(column), F.lit(column))}
 
 
 def out_of_bounds(children: DataFrame, index: str, parents: DataFrame, size: str, rule: str, keys=STATE) -> DataFrame:
@@ -63,24 +58,21 @@ def dangling(children: DataFrame, parents: DataFrame, on: list[str], rule: str)
 
 
 def states(states: DataFrame, faces: DataFrame, edges: DataFrame, adjacency: DataFrame, face_edge: DataFrame, images: DataFrame | None = None, grid: int = 16, samples: int = 16) -> DataFrame:
-    """All rules of a state and its children."""
-    face, edge = [*STATE, "face_idx"], [*STATE, "edge_idx"]
+    """All rules of a state and its children, one pass over each table."""
+    counts = lambda rows, name: rows.groupBy(*STATE).agg(F.count(F.lit(1)).alias(name))
+    with_counts = states.join(counts(faces, "_f"), STATE, "left").join(counts(edges, "_e"), STATE, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_f", "_e")})
+    differ = lambda a, b: (F.col(a) != F.col(b), F.concat_ws("!=", F.col(a).cast("string"), F.col(b).cast("string")))
+    sizes = states.select(*STATE, F.col("num_faces").alias("_faces"), F.col("num_edges").alias("_edges"))
+    outside = lambda index, size: ((F.col(index) < 0) | (F.col(index) >= F.col(size)), F.col(index))
+    mask = F.slice("uv", 6 * grid * grid + 1, grid * grid)
     parts = [
         missing(states, STATE, REQUIRED["states"], "state.required"),
-        count_mismatch(states, "num_faces", faces, "faces.count"),
-        count_mismatch(states, "num_edges", edges, "edges.count"),
-        array_rules(faces, face, "features", 32, "faces.features"),
-        array_rules(faces, face, "uv", 7 * grid * grid, "faces.uv"),
-        array_rules(edges, edge, "features", 16, "edges.features"),
-        array_rules(edges, edge, "u", 6 * samples, "edges.u"),
-        uv_mask(faces, grid),
-        out_of_bounds(adjacency, "src", states, "num_faces", "adjacency.src"),
-        out_of_bounds(adjacency, "dst", states, "num_faces", "adjacency.dst"),
-        out_of_bounds(adjacency, "edge_idx", states, "num_edges", "adjacency.edge"),
-        dangling(adjacency, edges, edge, "adjacency.features"),
-        out_of_bounds(face_edge, "face_idx", states, "num_faces", "incidence.face"),
-        out_of_bounds(face_edge, "edge_idx", states, "num_edges", "incidence.edge"),
-        check(adjacency, [*STATE, "adj_idx"], {"adjacency.reverse": (F.col("reverse_idx").isNull(), F.lit("no reverse index"))}),
+        check(with_counts, STATE, {"faces.count": differ("_f", "num_faces"), "edges.count": differ("_e", "num_edges")}),
+        check(faces, [*STATE, "face_idx"], array_rules("features", 32, "faces.features") | array_rules("uv", 7 * grid * grid, "faces.uv") | {"uv_mask.binary": (~F.forall(mask, lambda x: x.isin(0.0, 1.0)), F.lit("mask"))}),
+        check(edges, [*STATE, "edge_idx"], array_rules("features", 16, "edges.features") | array_rules("u", 6 * samples, "edges.u")),
+        check(adjacency.join(sizes, STATE, "left"), [*STATE, "adj_idx"], {"adjacency.src": outside("src", "_faces"), "adjacency.dst": outside("dst", "_faces"), "adjacency.edge": outside("edge_idx", "_edges"), "adjacency.reverse": (F.col("reverse_idx").isNull(), F.lit("no reverse index"))}),
+        dangling(adjacency, edges, [*STATE, "edge_idx"], "adjacency.features"),
+        check(face_edge.join(sizes, STATE, "left"), [*STATE, "face_idx", "edge_idx"], {"incidence.face": outside("face_idx", "_faces"), "incidence.edge": outside("edge_idx", "_edges")}),
     ]
     if images is not None:
         views = images.groupBy(*STATE).agg(F.countDistinct("view").alias("n"), F.min(F.octet_length("pixels")).alias("low"), F.max(F.octet_length("pixels")).alias("high"))

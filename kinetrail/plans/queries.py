@@ -590,7 +590,7 @@ def diagnostics_table(spark, sf_dir):
 
 @query("SELECT label, pos::BIGINT AS dim, round(avg(embedding[pos + 1]::DOUBLE), 5) + 0.0::DOUBLE AS value FROM embeddings, range(0, 64) r(pos) GROUP BY ALL")
 def mean_pool(spark, sf_dir):
-    return stats.mean_pool(table(spark, sf_dir, "embeddings"), ["label"], "embedding").select("label", big("dim").alias("dim"), r("value", 5).alias("value"))
+    return stats.mean_pool(table(spark, sf_dir, "embeddings"), ["label"], "embedding", 64).select("label", big("dim").alias("dim"), r("value", 5).alias("value"))
 
 
 # --- message passing -------------------------------------------------------
@@ -830,7 +830,7 @@ def program_graphs(spark, sf_dir):
     """Directed adjacency of the extracted solids, and rule violations among their features."""
     results = written(extract.extract(_programs(spark, sf_dir)), "extracted")
     adj = graph.adjacency(extract.face_edge(results))
-    bad = validate.array_rules(extract.faces(results), ["part_id"], "features", 32, "faces").unionByName(validate.array_rules(extract.edges(results), ["part_id"], "features", 16, "edges"))
+    bad = validate.check(extract.faces(results), ["part_id"], validate.array_rules("features", 32, "faces")).unionByName(validate.check(extract.edges(results), ["part_id"], validate.array_rules("features", 16, "edges")))
     bad = bad.groupBy(F.col("entity").alias("part_id")).agg(F.count(F.lit(1)).alias("violations"))
     return adj.groupBy("part_id").agg(big(F.count(F.lit(1))).alias("directed")).join(bad, "part_id", "left").select("part_id", "directed", big(F.coalesce("violations", F.lit(0))).alias("violations"))
 
