@@ -34,6 +34,11 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 DROPPED = frozenset("aside button canvas dialog footer form head iframe input menu nav noscript object option script select style svg template textarea title".split())
 MARKED = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup popover promo promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+# Of these, the words that mark even an article element.
+NO_ARTICLE = frozenset("advert advertisement comment comments promo promoted recommended related replies reply respond sponsor sponsored teaser".split())
+# Names such as has-sidebar or ad-free tell of a container that holds or lacks such a part.
+HOLDS = frozenset("has is no with without".split())
+STATES = frozenset("enabled free off on open".split())
 HEADINGS = frozenset(("header", "masthead", "topbar"))
 _WORD = re.compile(r"[a-z0-9]+")
 _PIECE = 1 << 16
@@ -71,7 +76,10 @@ class Lines(HTMLParser):
             return True
         if tag in ("html", "body", "main"):
             return False
-        words = set(_WORD.findall(f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower()))
+        names = [_WORD.findall(name) for name in f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower().split()]
+        words = {word for name in names if name and name[0] not in HOLDS and name[-1] not in STATES for word in name}
+        if tag == "article":
+            return bool(words & NO_ARTICLE)
         if (attributes.get("role") or "").lower() in ROLES:
             return True
         return bool(words & MARKED) or not inside and bool(words & HEADINGS)

@@ -211,6 +211,8 @@ def test_main_text_cases():
         (page("<div class='content'><h2>Head</h2><p>Long enough text in a plain container, which goes on and on.</p><ul><li>point one of it</li><li>point two</li></ul><p>End.</p></div>"), "Head\n\nLong enough text in a plain container, which goes on and on.\n\npoint one of it\n\npoint two\n\nEnd."),
         (page("<main><div class='share'>Share this</div><p>Main text stands here, with words enough.</p><!-- note --><p>x</p></main>"), "Main text stands here, with words enough.\n\nx"),
         (page("<article><header><h1>Kept title</h1></header><p>Body text of some length follows it.</p><footer>by me</footer></article>"), "Kept title\n\nBody text of some length follows it."),
+        (page("<div class='wrap has-sidebar'><article class='post ad-free'><h1>T</h1><p>Text of the article, with words enough to count.</p></article></div>"), "T\n\nText of the article, with words enough to count."),
+        (page("<div id=col><h1>T</h1><p>Text in a plain column, with words enough to count.</p><p>Ok.</p></div><div id=other><ul><li><a href=1>One more link</a></li><li><a href=2>Another link</a></li></ul></div>"), "T\n\nText in a plain column, with words enough to count.\n\nOk."),
         ("", ""),
         ("<html><body><nav><a href=x>only menu</a></nav></body></html>", ""),
         ("plain text without any tag", "plain text without any tag"),
