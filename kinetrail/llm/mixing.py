@@ -3,10 +3,12 @@
 Each source gets a target number of words; every document of a source is expected
 target / source_size times. Documents of a source are put in a fixed order, their expected
 copies are summed up in that order, a random offset of the source is added, and a document
-is emitted once for each integer boundary its stretch crosses. The order is by size, so the
-words taken differ from the target by no more than about one document's size; it is kept by
-(source, size, hash part), which splits hot sources and hot sizes over many tasks: prefix
-sums run over group counts, and only ranks within a part need its rows together.
+is emitted once for each integer boundary its stretch crosses. The order is by size, up
+through one half of the documents (chosen by hash) and down through the other: as sizes rise
+and fall alike, what rounding adds on the way up it takes off on the way down, and the words
+taken come near the target. The order is kept by (source, half, size, hash part), which
+splits hot sources and hot sizes over many tasks: prefix sums run over group counts, and only
+ranks within a part need its rows together.
 
 Targets: sources in code point order (null last) weigh 3, 1, 2, repeating; a target stops
 at `most` times its source's size and the excess is shared anew by weight until none is
@@ -53,18 +55,20 @@ def _offset(source: Column, seed: str) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: id, source, size, source_size, target, copies."""
     part = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 2)
-    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(ASCII_WORD)).cast("long").alias("size"), part.alias("part")), "mix-sizes")
-    groups = written(rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")), "mix-groups")
+    half = (F.conv("part", 16, 10).cast("int") % 2).alias("half")
+    turn = F.when(F.col("half") == 0, F.col("size")).otherwise(-F.col("size"))
+    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(ASCII_WORD)).cast("long").alias("size"), part.alias("part")).select("*", half), "mix-sizes")
+    groups = written(rows.groupBy("source", "half", "size", "part").agg(F.count(F.lit(1)).alias("n")), "mix-groups")
     targets = source_targets(groups.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most)
-    by_size = groups.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    below_size = by_size.select("source", "size", (F.sum("n").over(Window.partitionBy("source").orderBy("size")) - F.col("n")).alias("smaller"))
-    below_part = groups.select("source", "size", "part", (F.sum("n").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("n")).alias("earlier"))
+    by_size = groups.groupBy("source", "half", "size").agg(F.sum("n").alias("n"))
+    below_size = by_size.select("source", "half", "size", (F.sum("n").over(Window.partitionBy("source").orderBy("half", turn)) - F.col("n")).alias("before"))
+    below_part = groups.select("source", "half", "size", "part", (F.sum("n").over(Window.partitionBy("source", "half", "size").orderBy("part")) - F.col("n")).alias("earlier"))
     same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
-    starts = below_part.alias("a").join(below_size.alias("b"), same(_at("a"), _at("b"), ("source", "size"))).select("a.source", "a.size", "a.part", (F.col("smaller") + F.col("earlier")).alias("start"))
+    starts = below_part.alias("a").join(below_size.alias("b"), same(_at("a"), _at("b"), ("source", "half", "size"))).select("a.source", "a.half", "a.size", "a.part", (F.col("before") + F.col("earlier")).alias("start"))
     starts = starts.alias("a").join(targets.alias("b"), same(_at("a"), _at("b"), ("source",))).select("a.*", "source_size", "target")
-    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("id"))
+    place = F.row_number().over(Window.partitionBy("source", "half", "size", "part").orderBy("id"))
     ranked = rows.withColumn("place", place)
-    joined = ranked.alias("a").join(starts.alias("b"), same(_at("a"), _at("b"), ("source", "size", "part"))).select("a.*", "start", "source_size", "target")
+    joined = ranked.alias("a").join(starts.alias("b"), same(_at("a"), _at("b"), ("source", "half", "size", "part"))).select("a.*", "start", "source_size", "target")
     rate = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)), F.lit(float(most)))
     rank = F.col("start") + F.col("place")
     edge = lambda k: F.floor(_offset(F.col("source"), seed) + rate * k)
@@ -97,7 +101,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         substr(md5(doc_id::VARCHAR), 1, 2) AS part, ('0x' || substr(md5(doc_id::VARCHAR), 1, 2))::INT % 2 AS half FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -116,7 +121,7 @@ WITH d AS (
          ('0x' || substr(md5('mix-1:' || coalesce('s' || source, 'n')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
   FROM l
 ), r AS (
-  SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, substr(md5(doc_id::VARCHAR), 1, 2), doc_id) AS k FROM d
+  SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY half, CASE WHEN half = 0 THEN size ELSE -size END, part, doc_id) AS k FROM d
 )
 SELECT r.doc_id, r.size::BIGINT AS size, t.source_size, t.target,
        ((floor(t.u + t.rate * r.k) - floor(t.u + t.rate * (r.k - 1))) * r.size)::BIGINT AS taken
