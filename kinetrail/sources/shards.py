@@ -87,9 +87,9 @@ def markdown(log: DataFrame) -> DataFrame:
 
 
 def export_assets(rows: DataFrame, folder: str, key: str, assets: dict[str, str]) -> DataFrame:
-    """Binary assets as (path, size) of files written by the tasks through the table writer's
-    binary format is not available in Spark, so each asset becomes a row of a table under
-    `folder`, partitioned by asset name; the JSON metadata lies beside them."""
+    """Assets of each row as a table under `folder`, partitioned by asset name, and the row's
+    JSON metadata beside it; returns (key, asset, size). Spark has no writer of single binary
+    files, and a table keeps exports of many small assets readable."""
     exploded = rows.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(name).alias("asset"), F.col(c).cast("binary").alias("content")) for name, c in assets.items()])).alias("a")).select(key, "a.asset", "a.content").where("content IS NOT NULL")
     exploded.write.mode("overwrite").partitionBy("asset").parquet(f"{folder}/assets")
     json_documents(rows, [key]).write.mode("overwrite").json(f"{folder}/metadata")
