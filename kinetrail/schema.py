@@ -11,7 +11,8 @@ BLANK_PIXEL = 220
 PARAMS = 12
 METRIC_ARGS = 6
 
-# Canonical commands by id, reference kinds by id, operation aliases, views.
+# Canonical commands by id, reference kinds by id, operation aliases, views,
+# one-hot groups, statuses, feature names in vector order.
 COMMANDS = ["EXTRUDE", "CUT", "HOLE", "CHAMFER", "FILLET", "REVOLVE", "BOX", "CYLINDER", "SPHERE", "LOFT", "SWEEP", "SHELL", "UNION", "INTERSECT", "OFFSET2D", "OTHER"]
 OTHER = COMMANDS.index("OTHER")
 REF_KINDS = ["REF_NONE", "REF_WORKPLANE", "REF_FACE", "REF_EDGE", "REF_VERTEX"]
