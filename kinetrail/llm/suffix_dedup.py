@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, partitions_of, text_or_empty, written
+from .common import documents, map_arrow, partitions_of, rows_per_batch, text_or_empty, written
 
 SPAN = 400
 GRAM = 200
@@ -52,6 +52,8 @@ BATCH = 1_000_000
 BLOCK = 1 << 19
 #: Parts of a window start with very many places.
 SALTS = 64
+#: Texts of one Arrow batch.
+TEXTS = 1000
 #: Bits of the table that tells which documents may take part.
 BLOOM_BITS = 1 << 24
 NO_ID = -(2**63)
@@ -324,8 +326,8 @@ def anchors(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, digest = Anchors(span, gram), xxhash.xxh3_64_intdigest
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 texts = [t.encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()]
                 owner, at, hashes, left, right, contexts = [], [], [], [], [], []
                 for i, places, found in find.of(texts):
@@ -434,7 +436,8 @@ def _by_starts(contexts: DataFrame, span: int) -> DataFrame:
 
 def repeated_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP, batch_bytes: int = BATCH) -> DataFrame:
     """Intervals (id, mark, start, end) that cover exactly the bytes in repeated windows."""
-    found = written(anchors(rows, span, gram), "anchors")
+    with rows_per_batch(rows.sparkSession, TEXTS):
+        found = written(anchors(rows, span, gram), "anchors")
     shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("context").alias("low"), F.max("context").alias("high")).where("all > 1").select("anchor", (F.col("low") == F.col("high")).alias("uniform"))
     shared = written(shared, "shared-anchors")  # a plain table on this side lets a hot anchor's other side be split
     met = written(found.join(shared, "anchor"), "met-anchors")
@@ -478,7 +481,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: i
     kept = [F.col("text").cast("binary").alias("kept")] if keep_bytes else []
     zero = F.lit(0).cast("long")
     rest = flagged.where("NOT maybe").select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *kept)
-    return map_arrow(joined, run, schema).unionByName(rest).withColumn("id", F.when(F.col("id") != F.lit(NO_ID), F.col("id"))).withColumnRenamed("id", id_col)
+    out = map_arrow(joined, run, schema).unionByName(rest).withColumn("id", F.when(F.col("id") != F.lit(NO_ID), F.col("id"))).withColumnRenamed("id", id_col)
+    with rows_per_batch(docs.sparkSession, TEXTS):
+        return written(out, "kept")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
