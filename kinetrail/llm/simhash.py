@@ -183,7 +183,9 @@ def links(distinct: DataFrame, reach: int = MAX_BITS, sample: int = SAMPLE, shar
     spark = distinct.sparkSession
     n = distinct.count()
     sample = min(max(sample, n // 64), MOST_SAMPLE)
-    some = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
+    # By hash, not by a sorted limit, of which every task would send its own to the driver.
+    chosen = distinct if n <= sample else distinct.where(F.xxhash64("fp") < -(2**63) + 2**64 * sample // n)
+    some = sorted(r[0] for r in chosen.select("fp").collect())
     points = np.array(some, np.int64).view(np.uint64)
     leaves = min(max(1, -(-n // shard)), max(1, len(points) // 16))
     tree = grow(points, max(1, -(-len(points) // leaves)), reach)
