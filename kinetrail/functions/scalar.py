@@ -14,6 +14,11 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # --- normalizers -----------------------------------------------------------
 
 
@@ -68,9 +73,8 @@ def norm(v) -> Column:
 
 def normalize(v, fallback=(0.0, 0.0, 1.0), eps: float = 1e-6) -> Column:
     """Unit vector; the fallback where the norm is eps or less."""
-    v = _col(v)
-    n = norm(v)
-    return F.when(n > eps, F.transform(v, lambda x: F.try_divide(x.cast("double"), n))).otherwise(F.array(*[F.lit(x) for x in fallback]))
+    other = F.array(*[F.lit(x) for x in fallback])
+    return let(_col(v), lambda w: let(norm(w), lambda n: F.when(n > eps, F.transform(w, lambda x: F.try_divide(x.cast("double"), n))).otherwise(other)))
 
 
 def flip(v, reversed_) -> Column:
@@ -275,14 +279,16 @@ def action_summary(ref_points, ref_dirs, numbers, origin=None, z_dir=None) -> Co
     arguments. Unset entries are 0 and masked out."""
     none = F.lit(None).cast("array<double>")
     position = F.coalesce(centroid(ref_points), none if origin is None else F.transform(_col(origin), lambda x: x.cast("double")))
-    mean = centroid(ref_dirs)
-    direction = F.coalesce(F.when(mean.isNotNull(), normalize(mean)), none if z_dir is None else F.transform(_col(z_dir), lambda x: x.cast("double")))
-    numbers = F.slice(_col(numbers), 1, METRIC_ARGS)
+    direction = F.coalesce(let(centroid(ref_dirs), lambda mean: F.when(mean.isNotNull(), normalize(mean))), none if z_dir is None else F.transform(_col(z_dir), lambda x: x.cast("double")))
     zeros = F.array(*[F.lit(0.0)] * 3)
-    raw = F.concat(F.coalesce(position, zeros), F.coalesce(direction, zeros), pad(numbers, METRIC_ARGS))
-    scaled = F.concat(F.coalesce(F.transform(position, lambda x: squash(x)), zeros), F.coalesce(direction, zeros), pad(F.transform(numbers, symlog), METRIC_ARGS))
-    mask = F.concat(F.array_repeat(position.isNotNull(), 3), F.array_repeat(direction.isNotNull(), 3), F.transform(F.sequence(F.lit(1), F.lit(METRIC_ARGS)), lambda i: i <= F.size(numbers)))
-    return F.struct(nan_to_num_array(raw, *BOUNDS["params_raw"]).alias("params_raw"), nan_to_num_array(scaled, *BOUNDS["params"]).alias("params"), mask.alias("param_mask"))
+
+    def summary(p: Column, d: Column, numbers: Column) -> Column:
+        raw = F.concat(F.coalesce(p, zeros), F.coalesce(d, zeros), pad(numbers, METRIC_ARGS))
+        scaled = F.concat(F.coalesce(F.transform(p, lambda x: squash(x)), zeros), F.coalesce(d, zeros), pad(F.transform(numbers, lambda x: symlog(x)), METRIC_ARGS))
+        mask = F.concat(F.array_repeat(p.isNotNull(), 3), F.array_repeat(d.isNotNull(), 3), F.transform(F.sequence(F.lit(1), F.lit(METRIC_ARGS)), lambda i: i <= F.size(numbers)))
+        return F.struct(nan_to_num_array(raw, *BOUNDS["params_raw"]).alias("params_raw"), nan_to_num_array(scaled, *BOUNDS["params"]).alias("params"), mask.alias("param_mask"))
+
+    return let(position, lambda p: let(direction, lambda d: let(F.slice(_col(numbers), 1, METRIC_ARGS), lambda n: summary(p, d, n))))
 
 
 assert PARAMS == 6 + METRIC_ARGS
