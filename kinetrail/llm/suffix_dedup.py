@@ -16,8 +16,11 @@ first, and suffix arrays decide on bytes.
    together and the sorted window starts tell which windows repeat: suffixes smaller than
    their successor are sorted directly, all others are induced from them by one scan over
    the buckets of first bytes, and common prefixes of neighbours in that order are computed
-   (`repeated_windows`). An anchor with more than GROUP different contexts is cut into the
-   window starts at each distance from the anchor, so no task gets an unbounded group.
+   (`repeated_windows`). An anchor with more than GROUP different contexts is cut: its windows
+   fall into classes by distance from the anchor, and a class into groups by the bytes all its
+   windows share (376 of 400), whose shorter contexts are counted and sorted in the same way.
+   Only a group that is still larger meets by digests of single windows. So no task gets an
+   unbounded group.
 4. Removal. The found intervals of a document are united and cut out of its bytes. Only
    documents that a fixed-size bit table says may have intervals are moved for that.
 
@@ -419,8 +422,31 @@ def _by_suffixes(contexts: DataFrame, span: int, batch_bytes: int) -> DataFrame:
     return map_arrow(contexts.repartition(partitions_of(contexts.sparkSession), "anchor").sortWithinPartitions("anchor"), run, "id long, mark int, start long, end long")
 
 
+def _by_cores(contexts: DataFrame, span: int, gram: int, group: int, batch_bytes: int) -> DataFrame:
+    """The same for anchors with very many contexts: groups of windows at like distance that share their core."""
+    width = max(1, (span - gram + 1) // 8)
+    left, size = F.shiftright("place", 9).bitwiseAND(255).cast("int"), F.octet_length("bytes")
+    classes = F.sequence(F.lit(0), F.lit((span - gram) // width))
+    rows = contexts.select("*", left.alias("left"), F.explode(classes).alias("class"))
+    low = F.col("class") * width - (span - gram)  # of the class's window starts, from the anchor
+    first = F.greatest(F.lit(0), low + F.col("left"))
+    last = F.least(size - span, low + width - 1 + F.col("left"), F.col("left"))
+    rows = rows.select("*", first.alias("first"), last.alias("last"), F.substring("bytes", low + width + F.col("left"), F.lit(span - width + 1)).alias("core")).where("first <= last")
+    part = F.substring("bytes", F.col("first") + 1, F.col("last") - F.col("first") + span)
+    start = F.shiftright("place", 17) - F.col("left") + F.col("first")
+    place = F.shiftleft(start, 17).bitwiseOR(F.octet_length(part).cast("long"))
+    subs = rows.select(F.xxhash64("anchor", "class", "core").alias("anchor"), "n", "id", "mark", place.alias("place"), part.alias("bytes"))
+    subs = written(subs.withColumn("context", F.xxhash64("bytes")), "core-contexts")
+    same = written(subs.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(F.struct("id", "mark", "place")).alias("one"), F.min("bytes").alias("bytes")).select("anchor", "context", "n", "one.*", "bytes"), "core-groups")
+    whole = subs.where("n = 1").join(same.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(_interval())
+    sizes = written(same.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1 AND least = 1"), "core-sizes")
+    undecided = same.join(sizes.select("anchor", (F.col("size") > group).alias("hot")), "anchor").select("anchor", "n", "id", "mark", "place", "bytes", "hot")
+    found = whole.unionByName(_by_suffixes(undecided.where("NOT hot").drop("hot"), span, batch_bytes))
+    return found if sizes.where(F.col("size") > group).isEmpty() else found.unionByName(_by_starts(undecided.where("hot"), span))
+
+
 def _by_starts(contexts: DataFrame, span: int) -> DataFrame:
-    """The same for anchors with very many contexts: window starts meet by the digest of their window."""
+    """The same for groups that stay too large: window starts meet by the digest of their window."""
     left = F.shiftright("place", 9).bitwiseAND(255)
     first = F.shiftright("place", 17) - left
     starts = contexts.select("n", "id", "mark", first.alias("first"), "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - span)).alias("at"))
@@ -449,7 +475,7 @@ def repeated_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, grou
     undecided = written(contexts.join(groups.select("anchor", (F.col("size") > group).alias("hot")), "anchor"), "undecided")
     data = written(_context_bytes(rows, undecided), "context-bytes")
     found = whole.unionByName(_by_suffixes(data.where("NOT hot").drop("hot"), span, batch_bytes))
-    return found if undecided.where("hot").isEmpty() else found.unionByName(_by_starts(data.where("hot"), span))
+    return found if undecided.where("hot").isEmpty() else found.unionByName(_by_cores(data.where("hot").drop("hot"), span, gram, group, batch_bytes))
 
 
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -293,7 +293,7 @@ def test_repeated_windows():
         assert [x.tolist() for x in suffix_dedup.repeated_windows(contexts, span)] == want
 
 
-@pytest.mark.parametrize("group", [16384, 3], ids=["suffixes", "many_contexts"])
+@pytest.mark.parametrize("group", [16384, 6, 1], ids=["suffixes", "cores", "window_starts"])
 def test_removal_against_windows(spark, group):
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice(["alpha", "be", "ça", "delta", "eps"]) + str(rng.randint(0, 99)) for _ in range(n))
