@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from ..storage import ship, work_path, written
+from ..storage import rows_per_batch, ship, work_path, written
 
 __all__ = ["ASCII_WORD", "documents", "map_arrow", "map_texts", "partitions_of", "rows_per_batch", "ship", "slices", "text_or_empty", "work_path", "written"]
 
@@ -37,18 +36,6 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-@contextmanager
-def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
-    """For plans that run inside: so many rows an Arrow batch, where whole texts make batches large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -61,16 +61,15 @@ def embed(faces: DataFrame, adjacency: DataFrame, edges: DataFrame, grid: int, s
     def run(batches):
         model = Encoder(**{**options, **channels})
         for batch in batches:
-            out = []
             for row in batch.itertuples(index=False):
                 uv = np.array([n["uv"] for n in row.nodes], float).reshape(len(row.nodes), channels["surface_channels"], grid, grid)
                 edges = [] if row.links is None else list(row.links)
                 u = np.array([e["u"] for e in edges], float).reshape(len(edges), channels["curve_channels"], samples)
                 src, dst, reverse = (np.array([e[k] for e in edges], int) for k in ("src", "dst", "reverse_idx"))
                 found = model.forward(uv, u, src, dst, reverse)
-                out += [(row.part_id, row.step, "face", i, p, e) for i, (p, e) in enumerate(zip(found["node_pointer"], found["node"], strict=True))]
+                out = [(row.part_id, row.step, "face", i, p, e) for i, (p, e) in enumerate(zip(found["node_pointer"], found["node"], strict=True))]
                 out += [(row.part_id, row.step, "edge", int(i), p, e) for i, p, e in zip(found["edge_index"], found["edge_pointer"], found["edge"], strict=True)]
-            yield pd.DataFrame(out, columns=["part_id", "step", "kind", "idx", "pointer", "embedding"])
+                yield pd.DataFrame(out, columns=["part_id", "step", "kind", "idx", "pointer", "embedding"])  # a graph at a time: embeddings are wide
 
     ship(faces.sparkSession)
     return nodes.join(links, keys, "left").mapInPandas(run, SCHEMA)

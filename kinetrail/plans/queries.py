@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import compose
 from ..functions import scalar as S
 from ..kernel import extract
 from ..nn import encoder
 from ..operators import batching, graph, messages, stats, transitions, validate
 from ..schema import ALIASES, COMMANDS
 from ..sources import parts, shards
-from ..storage import work_path, written
+from ..storage import rows_per_batch, work_path, written
 from ..streaming import oplog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -837,9 +838,14 @@ def program_graphs(spark, sf_dir):
 
 @query()
 def encoder_embeddings(spark, sf_dir):
-    """Encoder inference over the extracted boxes, with coarse synthetic grids."""
-    results = written(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 50 = 0")), "extracted")
-    grid = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin(i.cast("double")))
-    faces, edges = extract.faces(results).withColumn("uv", grid(7 * 16)), extract.edges(results).withColumn("u", grid(6 * 4))
-    out = encoder.embed(faces, graph.adjacency(extract.face_edge(results)), edges, 4, 4, pointer=16, outputs=8, heads=2)
-    return out.select("part_id", "kind", "idx", r(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    """Encoder inference over every extracted part at the configured sizes, with synthetic grids."""
+    config = compose()
+    data, model = config["data"], config["model"]
+    results = written(extract.extract(_programs(spark, sf_dir)), "extracted")
+    wave = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin(i.cast("double")))
+    faces = extract.faces(results).withColumn("uv", wave(data["surface_channels"] * data["uv_grid"] ** 2))
+    edges = extract.edges(results).withColumn("u", wave(data["curve_channels"] * data["curve_samples"]))
+    sizes = {"pointer": model["pointer_dims"], "outputs": model["output_dims"], "heads": model["heads"], "rounds": model["layers"], "seed": model["seed"]}
+    out = encoder.embed(faces, graph.adjacency(extract.face_edge(results)), edges, data["uv_grid"], data["curve_samples"], **sizes)
+    with rows_per_batch(spark, 64):  # a graph's grids are about 100 KB
+        return written(out.select("part_id", "kind", "idx", r(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).alias("total")), "embeddings")
