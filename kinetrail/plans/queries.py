@@ -622,21 +622,35 @@ def message_pass_mean(spark, sf_dir):
     return _messages(spark, sf_dir, "mean")
 
 
-@query(f"""
-WITH {INCIDENCE}, pairs AS (SELECT a.f AS src, b.f AS dst, a.e FROM inc a JOIN inc b ON a.e = b.e AND a.f <> b.f WHERE a.e % 10 = 3),
+def _nn_conv_sql(edges: str) -> str:
+    return f"""
+WITH {INCIDENCE}, pairs AS (SELECT a.f AS src, b.f AS dst, a.e FROM inc a JOIN inc b ON a.e = b.e AND a.f <> b.f{edges}),
 n AS (SELECT s_suppkey AS f, (s_suppkey % 5)::DOUBLE AS h0, (s_suppkey % 3)::DOUBLE AS h1 FROM supplier),
 m AS (SELECT dst, sum(h0 * (e % 4) + h1) AS o0, sum(h0 + h1 * (e % 7)) AS o1 FROM pairs JOIN n ON f = src GROUP BY 1)
 SELECT f AS face_idx, (coalesce(o0, 0) + 0.5 * h0 + 1)::DOUBLE AS o0, (coalesce(o1, 0) + 2 * h1 - 1)::DOUBLE AS o1 FROM n LEFT JOIN m ON dst = f
-""")
-def nn_conv_sum(spark, sf_dir):
+"""
+
+
+def _nn_conv(spark, sf_dir, face_edge: DataFrame) -> DataFrame:
     node = F.array((F.col("s_suppkey") % 5).cast("double"), (F.col("s_suppkey") % 3).cast("double"))
     nodes = table(spark, sf_dir, "supplier").select(F.lit(0).alias("k"), F.col("s_suppkey").alias("face_idx"), node.alias("h"))
-    pairs = graph.directed_edges(_face_edge(spark, sf_dir).where("edge_idx % 10 = 3"), keys=["g"]).withColumn("k", F.lit(0))
+    pairs = graph.directed_edges(face_edge, keys=["g"]).withColumn("k", F.lit(0))
     weight = F.array((F.col("edge_idx") % 4).cast("double"), F.lit(1.0), F.lit(1.0), (F.col("edge_idx") % 7).cast("double"))
     out = messages.nn_conv(nodes, pairs, weight, 2, 2, residual=[[0.5, 0.0], [0.0, 2.0]], bias=[1.0, -1.0], keys=["k"])
     return out.select("face_idx", F.get("h", F.lit(0)).alias("o0"), F.get("h", F.lit(1)).alias("o1"))
 
 
+@query(_nn_conv_sql(" WHERE a.e % 10 = 3"))
+def nn_conv_sum(spark, sf_dir):
+    """Over the edges that its SQL takes, one in ten; nn_conv_sum_all takes every edge."""
+    return _nn_conv(spark, sf_dir, _face_edge(spark, sf_dir).where("edge_idx % 10 = 3"))
+
+
+@query(_nn_conv_sql(""))
+def nn_conv_sum_all(spark, sf_dir):
+    return _nn_conv(spark, sf_dir, _face_edge(spark, sf_dir))
+
+
 @query(f"WITH {ADJACENCY} SELECT a.g, a.adj_idx::BIGINT AS adj_idx, (a.src + 2 * a.dst + b.src + 2 * b.dst)::DOUBLE AS fused FROM adj a JOIN adj b ON a.g = b.g AND a.src = b.dst AND a.dst = b.src AND a.edge_idx = b.edge_idx")
 def fuse_reverse(spark, sf_dir):
     adj = _adjacency(spark, sf_dir).withColumn("x", F.array((F.col("src") + 2 * F.col("dst")).cast("double")))

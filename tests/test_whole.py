@@ -92,3 +92,19 @@ def test_encoder_query_takes_every_part_at_full_size(spark, tmp_path):
         want |= {(p, "face", i): x.sum() for i, x in enumerate(found["node"])} | {(p, "edge", i): x.sum() for i, x in zip(found["edge_index"], found["edge"], strict=True)}
     assert got.keys() == want.keys() and len({p for p, _, _ in got}) == 3
     assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-8)
+
+
+# --- messages --------------------------------------------------------------
+
+
+def test_convolution_takes_every_edge(spark, tmp_path):
+    pairs = [(e, f) for e in range(1, 15) for f in {e % 4, e * 3 % 5, 5}]
+    spark.createDataFrame(pairs, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(f,) for f in range(7)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    want = {f: [0.5 * (f % 5) + 1, 2.0 * (f % 3) - 1] for f in range(7)}
+    for e, a in pairs:
+        for x, b in pairs:
+            if e == x and a != b:
+                want[b][0] += a % 5 * (e % 4) + a % 3
+                want[b][1] += a % 5 + a % 3 * (e % 7)
+    assert {x.face_idx: [x.o0, x.o1] for x in queries.QUERIES["nn_conv_sum_all"](spark, str(tmp_path)).collect()} == want
