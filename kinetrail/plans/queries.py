@@ -756,11 +756,21 @@ def windowed_histogram(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 50 = 0")
 def lineage_lookup(spark, sf_dir):
+    """The references that its SQL takes, one in fifty; lineage_lookup_all traces every row."""
     raw = parts.full_rows(spark, f"{sf_dir}/orders.parquet")
     references = raw.where("o_orderkey % 50 = 0").select("source_shard", "source_row")
     return parts.trace_back(references, raw).select("o_orderkey", "o_orderstatus")
 
 
+@query("SELECT o_orderkey, o_orderkey AS found_orderkey, o_orderstatus FROM orders")
+def lineage_lookup_all(spark, sf_dir):
+    """Every row's reference, with the key it was taken from, traced back to the raw row."""
+    raw = parts.full_rows(spark, f"{sf_dir}/orders.parquet")
+    references = raw.select("o_orderkey", "source_shard", "source_row")
+    rows = raw.select("source_shard", "source_row", F.col("o_orderkey").alias("found_orderkey"), "o_orderstatus")
+    return parts.trace_back(references, rows).select("o_orderkey", "found_orderkey", "o_orderstatus")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def uuid_semi_join(spark, sf_dir):
     return parts.with_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang")

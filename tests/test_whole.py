@@ -108,3 +108,13 @@ def test_convolution_takes_every_edge(spark, tmp_path):
                 want[b][0] += a % 5 * (e % 4) + a % 3
                 want[b][1] += a % 5 + a % 3 * (e % 7)
     assert {x.face_idx: [x.o0, x.o1] for x in queries.QUERIES["nn_conv_sum_all"](spark, str(tmp_path)).collect()} == want
+
+
+# --- lineage ---------------------------------------------------------------
+
+
+def test_every_row_is_traced_back(spark, tmp_path):
+    rows = [(i, "FOP"[i % 3]) for i in range(1, 121)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    found = queries.QUERIES["lineage_lookup_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(k, k, s) for k, s in rows]
