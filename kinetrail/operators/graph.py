@@ -96,16 +96,17 @@ def match_edges(selected: DataFrame, edges: DataFrame, face_edge: DataFrame, key
     return found.withColumn("matched", F.col("edge_idx").isNotNull()).withColumn("ref_entity_idx", F.coalesce("_face", F.lit(0))).drop("_face")
 
 
-def nearest_ancestor(nodes: DataFrame, has_reference: Column, max_depth: int = 64) -> DataFrame:
+def nearest_ancestor(nodes: DataFrame, has_reference: Column) -> DataFrame:
     """For each node (node, parent) the nearest node on its way up that satisfies `has_reference`.
 
-    Pointers of open nodes jump twice as far each round, so `max_depth` costs its logarithm in
-    joins; rounds end once no pointer is open, and each round's table ends the lineage.
+    Pointers of open nodes jump twice as far each round, so the longest way up costs its logarithm
+    in joins; rounds end once no pointer is open, and each round's table ends the lineage. A pointer
+    still open after more steps than there are nodes is on a cycle, which is an error.
     """
     marked = nodes.select("node", "parent", has_reference.alias("_hit"))
     state = marked.select("node", F.when(F.col("_hit"), F.col("node")).alias("found"), F.when(~F.col("_hit"), F.col("parent")).alias("up"), F.lit(0).alias("depth"), F.lit(1).alias("step"))
-    reach = 1
-    while reach <= max_depth:
+    reach, most = 1, None
+    while True:
         hop = state.select(F.col("node").alias("up"), F.col("found").alias("_found"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("step").alias("_step"))
         met = state.join(hop, "up", "left")
         state = met.select(
@@ -119,6 +120,9 @@ def nearest_ancestor(nodes: DataFrame, has_reference: Column, max_depth: int = 6
         if state.where("up IS NOT NULL").isEmpty():
             break
         reach *= 2
+        most = state.count() if most is None else most
+        if reach > most:
+            raise ValueError("parents form a cycle")
     return state.select("node", F.col("found").alias("ancestor"), F.when(F.col("found").isNotNull(), F.col("depth")).alias("depth"))
 
 

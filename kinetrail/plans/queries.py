@@ -309,7 +309,7 @@ SELECT h.node, a.node AS ancestor, (h.k - h.at)::BIGINT AS depth FROM h LEFT JOI
 def ancestor_reference(spark, sf_dir):
     parent = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     nodes = table(spark, sf_dir, "events").select(F.col("event_id").alias("node"), parent.alias("parent"), "event_type")
-    return graph.nearest_ancestor(nodes, F.col("event_type") == "purchase", 512).select("node", "ancestor", big("depth").alias("depth"))
+    return graph.nearest_ancestor(nodes, F.col("event_type") == "purchase").select("node", "ancestor", big("depth").alias("depth"))
 
 
 @query("SELECT l_orderkey, 'face' AS kind, count(DISTINCT l_suppkey)::BIGINT AS n FROM lineitem GROUP BY 1 UNION ALL SELECT l_orderkey, 'wire', count(DISTINCT l_partkey)::BIGINT FROM lineitem GROUP BY 1")

@@ -3,10 +3,13 @@
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from kinetrail.kernel import program, solids
 from kinetrail.nn import layers as L
 from kinetrail.nn.encoder import Encoder
+from kinetrail.operators import graph
 from kinetrail.plans import queries
 
 # --- encoder ---------------------------------------------------------------
@@ -118,3 +121,21 @@ def test_every_row_is_traced_back(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
     found = queries.QUERIES["lineage_lookup_all"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == [(k, k, s) for k, s in rows]
+
+
+# --- ancestors -------------------------------------------------------------
+
+
+def test_ancestors_at_any_distance(spark, tmp_path):
+    rows = [(i, 1, i, "purchase" if i == 3 else "view") for i in range(2100)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    found = {x.node: (x.ancestor, x.depth) for x in queries.ancestor_reference(spark, str(tmp_path)).collect()}
+    assert found == {i: (3, i - 3) if i >= 3 else (None, None) for i in range(2100)}
+
+
+def test_ancestors_of_a_cycle_are_an_error(spark):
+    nodes = spark.createDataFrame([(0, None, True), (1, 0, False), (2, 4, False), (3, 2, False), (4, 3, False)], "node long, parent long, hit boolean")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.nearest_ancestor(nodes, F.col("hit"))
+    chain = spark.createDataFrame([(i, i - 1, False) for i in range(4)], "node long, parent long, hit boolean")  # the last parent is no node
+    assert [x.ancestor for x in graph.nearest_ancestor(chain, F.col("hit")).collect()] == [None] * 4
