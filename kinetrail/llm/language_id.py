@@ -125,22 +125,23 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     return langs, vectors
 
 
-def scorer(langs: list[str], prototypes: np.ndarray, dimensions: int = DIMENSIONS, seed: int = SEED) -> Callable[[list[str | None]], tuple[list[str], np.ndarray]]:
+def scorer(langs: list[str], prototypes: np.ndarray, dimensions: int = DIMENSIONS, seed: int = SEED) -> Callable[[list[str | None]], tuple[list[str], np.ndarray, np.ndarray]]:
+    """Languages, scores, and whether the text has a letter."""
     encoder = Encoder(dimensions, seed)
     centred = prototypes
     if len(langs) > 1:
         centred = prototypes - prototypes.mean(axis=0)
         centred = centred / np.maximum(np.linalg.norm(centred, axis=1), 1e-12)[:, None]
 
-    def score(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def score(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         sums, grams = encoder.bundle(texts)
+        known = grams > 0
         if not langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), known
         norms = np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
         best = (sums @ centred.T / norms[:, None]).argmax(axis=1)
         cosine = np.einsum("ij,ij->i", sums, prototypes[best]) / norms
-        known = grams > 0
-        return [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, np.clip(cosine, 0, 1), 0.0)
+        return [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, np.clip(cosine, 0, 1), 0.0), known
 
     return score
 
@@ -153,7 +154,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc
         score = scorer(langs, prototypes, dimensions, seed)
 
         def apply(texts: list, columns: dict) -> dict:
-            names, values = score(texts)
+            names, values, _ = score(texts)
             return {"id": columns["id"], "lang_pred": names, "score": values}
 
         return apply
@@ -172,14 +173,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs` that stay: all but those whose language is `und` (no text, or no letter in it)."""
+    """The rows of `docs` that stay: all with a letter in the text.
+
+    These are the rows whose language is not `und` where one was learned. Where none was, all
+    texts are `und` and a letter still decides: no profile, cosine or score rejects a row.
+    """
     langs, prototypes = learn(docs.where(~held_out()))
     columns = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(langs, prototypes)
         for batch in slices(batches, 64):
-            names, _ = score(batch.column(0).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            _, _, lettered = score(batch.column(0).to_pylist())
+            yield batch.filter(pa.array(lettered, pa.bool_()))
 
     return map_arrow(docs.select("text", *columns), run, docs.select("text", *columns).schema).select(docs.columns)

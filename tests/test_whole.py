@@ -2,11 +2,13 @@
 
 import math
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinetrail.kernel import program, solids
+from kinetrail.llm import language_id
 from kinetrail.nn import layers as L
 from kinetrail.nn.encoder import Encoder
 from kinetrail.operators import graph
@@ -139,3 +141,16 @@ def test_ancestors_of_a_cycle_are_an_error(spark):
         graph.nearest_ancestor(nodes, F.col("hit"))
     chain = spark.createDataFrame([(i, i - 1, False) for i in range(4)], "node long, parent long, hit boolean")  # the last parent is no node
     assert [x.ancestor for x in graph.nearest_ancestor(chain, F.col("hit")).collect()] == [None] * 4
+
+
+# --- pipeline --------------------------------------------------------------
+
+
+def test_language_stage_without_labels(spark, tmp_path):
+    rows = [(0, "Ein Satz mit Worten darin", None, "a", 25), (1, "x", None, "a", 1), (2, "12 !!", None, "a", 5), (3, None, None, "b", 0), (4, "", None, "b", 0), (5, "Another clean text of some words", None, "b", 32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in language_id.language_stage(spark, docs, "").collect()) == [0, 1, 5]
+    labelled = docs.withColumn("lang", F.lit("en"))
+    assert sorted(x.doc_id for x in language_id.language_stage(spark, labelled, "").collect()) == [0, 1, 5]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} >= {0, 5}
