@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -14,6 +16,8 @@ from ..storage import rows_per_batch, ship, work_path, written
 
 __all__ = ["ASCII_WORD", "documents", "map_arrow", "map_texts", "partitions_of", "rows_per_batch", "ship", "slices", "text_or_empty", "work_path", "written"]
 
+#: Bytes of the texts that are Python objects at a time.
+SLICE_BYTES = 4_000_000
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -29,11 +33,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that only a few texts are Python objects at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that only a few texts (first column) are Python objects at a time:
+    at most `rows` rows, and `size` bytes of text unless one text is longer."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:

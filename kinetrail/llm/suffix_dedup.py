@@ -10,8 +10,9 @@ first, and suffix arrays decide on bytes.
    k-gram and of its context: all windows that may have chosen it (200 bytes before to 400
    after its start, within the document).
 2. Counting. Anchors whose hash occurs once cannot lie in a repeated window and end here.
-   Contexts that occur twice or more are repeated as a whole. Both are aggregations with
-   partial sums on the map side.
+   Contexts that occur at two or more places (row and start; anchors of a short text may
+   share the whole text as context, which is one place) are repeated as a whole. Both are
+   aggregations that combine on the map side.
 3. Suffix arrays. Where one anchor has several different contexts, one copy of each comes
    together and the sorted window starts tell which windows repeat: suffixes smaller than
    their successor are sorted directly, all others are induced from them by one scan over
@@ -19,17 +20,20 @@ first, and suffix arrays decide on bytes.
    (`repeated_windows`). An anchor with more than GROUP different contexts is cut: its windows
    fall into classes by distance from the anchor, and a class into groups by the bytes all its
    windows share (376 of 400), whose shorter contexts are counted and sorted in the same way.
-   Only a group that is still larger meets by digests of single windows. So no task gets an
-   unbounded group.
+   Only a group that is still larger meets by digests of single windows. Rows of anchors with
+   very many places are salted where they meet the list of repeated contexts. So no task gets
+   an unbounded group.
 4. Removal. The found intervals of a document are united and cut out of its bytes. Only
-   documents that a fixed-size bit table says may have intervals are moved for that.
+   documents that a bit table of bounded size says may have intervals are moved for that.
 
+The texts are written once with a row number, which tells rows apart whatever their ids are.
 Equal 64-bit k-gram hash and equal 64-bit context hash together are taken as equal contexts;
 every other comparison is on bytes. Long texts are hashed in overlapping blocks.
 
 Defined results: null text is empty; texts below 400 bytes stay whole; rows equal in id and
-text count as two places; overlapping repeats inside one document count; a null doc_id is an
-id like others; an empty input gives an empty result; only id and text are read.
+text count as two places; overlapping repeats inside one document count; null doc_ids are
+rows like others and stay null; an empty input gives an empty result; only id and text are
+read.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, partitions_of, rows_per_batch, text_or_empty, written
+from .common import documents, map_arrow, partitions_of, rows_per_batch, slices, text_or_empty, written
 
 SPAN = 400
 GRAM = 200
@@ -57,9 +61,10 @@ BLOCK = 1 << 19
 SALTS = 64
 #: Texts of one Arrow batch.
 TEXTS = 1000
-#: Bits of the table that tells which documents may take part.
-BLOOM_BITS = 1 << 24
-NO_ID = -(2**63)
+#: Rows of one anchor that meet its contexts in one part; anchors with more are salted.
+PART = 16384
+#: Least and most bits (2 and 16 MB) of the table that tells which documents may take part.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 27
 _TOP = np.uint64(2**64 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -317,80 +322,84 @@ def _packed(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """text, id (never null: the lowest long stands for null) and a mark that tells rows of one id apart."""
-    text, key = text_or_empty(text_col), F.col(id_col).cast("long")
-    return docs.select(text.alias("text"), F.coalesce(key, F.lit(NO_ID)).alias("id"), F.hash(key, text).alias("mark"))
+    """text, id and a row number, written once so that the number stays the same."""
+    return written(docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row")), "texts")
 
 
 def anchors(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(anchor, context, id, mark, place) of every anchor of every text."""
-    names = ["anchor", "context", "id", "mark", "place"]
+    """(anchor, context, row, place) of every anchor of every text."""
+    names = ["anchor", "context", "row", "place"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, digest = Anchors(span, gram), xxhash.xxh3_64_intdigest
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                texts = [t.encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()]
-                owner, at, hashes, left, right, contexts = [], [], [], [], [], []
-                for i, places, found in find.of(texts):
-                    text = texts[i]
-                    before, after = np.minimum(places, span - gram), np.minimum(len(text) - places, span)
-                    owner.append(np.full(len(places), i))
-                    at.append(places)
-                    hashes.append(found)
-                    left.append(before)
-                    right.append(after)
-                    contexts += [digest(text[a:b]) - 2**63 for a, b in zip((places - before).tolist(), (places + after).tolist(), strict=True)]
-                if owner:
-                    who = pa.array(np.concatenate(owner))
-                    places = _packed(*(np.concatenate(x).astype(np.int64) for x in (at, left, right)))
-                    columns = [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(contexts, pa.int64()), part.column(1).take(who), part.column(2).take(who), pa.array(places)]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return map_arrow(rows, run, "anchor long, context long, id long, mark int, place long")
+        for part in slices(batches):
+            texts = [t.encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()]
+            owner, at, hashes, left, right, contexts = [], [], [], [], [], []
+            for i, places, found in find.of(texts):
+                text = texts[i]
+                before, after = np.minimum(places, span - gram), np.minimum(len(text) - places, span)
+                owner.append(np.full(len(places), i))
+                at.append(places)
+                hashes.append(found)
+                left.append(before)
+                right.append(after)
+                contexts += [digest(text[a:b]) - 2**63 for a, b in zip((places - before).tolist(), (places + after).tolist(), strict=True)]
+            if owner:
+                who = pa.array(np.concatenate(owner))
+                places = _packed(*(np.concatenate(x).astype(np.int64) for x in (at, left, right)))
+                columns = [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(contexts, pa.int64()), part.column(1).take(who), pa.array(places)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(rows.select("text", "row"), run, "anchor long, context long, row long, place long")
+
+
+def _start() -> Column:
+    return F.shiftright("place", 17) - F.shiftright("place", 9).bitwiseAND(255)
 
 
 def _interval() -> list[Column]:
-    at = F.shiftright("place", 17)
-    return [F.col("id"), F.col("mark"), (at - F.shiftright("place", 9).bitwiseAND(255)).alias("start"), (at + F.col("place").bitwiseAND(511)).alias("end")]
+    return [F.col("row"), _start().alias("start"), (F.shiftright("place", 17) + F.col("place").bitwiseAND(511)).alias("end")]
+
 
+def _places() -> tuple[Column, Column]:
+    """The least and the greatest place (row, start) of a group: the same where the group has one place only."""
+    where = F.struct("row", _start().alias("start"))
+    return F.min(where).alias("low"), F.max(where).alias("high")
 
-def _bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Bit table over hashed (id, mark); `bits` long whatever the input."""
-    slot = F.pmod(F.xxhash64("id", "mark"), F.lit(bits))
-    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("b"))
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """Bit table over hashed row numbers: 16 bits a row, between LEAST_BITS and MOST_BITS."""
+    bits = min(max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()), MOST_BITS)
+    slot = F.pmod(F.xxhash64("row"), F.lit(bits))
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("b")).toArrow()
     table = np.zeros(bits // 64, np.int64)
-    for word, value in words.collect():
-        table[word] = value
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return table
 
 
-def _maybe(rows: DataFrame, table: np.ndarray, bits: int = BLOOM_BITS) -> DataFrame:
+def _maybe(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """`rows` with a column `maybe`: whether the table has the row's bit."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared, bits = rows.sparkSession.sparkContext.broadcast(table), 64 * len(table)
 
     @F.pandas_udf("boolean")
     def has(slots: pd.Series) -> pd.Series:
         s = slots.to_numpy()
         return pd.Series((shared.value[s >> 6] >> (s & 63)) & 1 == 1)
 
-    return rows.withColumn("maybe", has(F.pmod(F.xxhash64("id", "mark"), F.lit(bits))))
+    return rows.withColumn("maybe", has(F.pmod(F.xxhash64("row"), F.lit(bits))))
 
 
 def _context_bytes(rows: DataFrame, contexts: DataFrame) -> DataFrame:
-    """The bytes of one copy of each context: (anchor, n, id, mark, place, bytes, hot)."""
-    wanted = contexts.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "n", "place", "hot")).alias("list"))
-    texts = _maybe(rows, _bloom(contexts)).where("maybe").drop("maybe")
-    joined = texts.join(wanted, ["id", "mark"]).select("text", "id", "mark", F.explode("list").alias("x")).select("text", "id", "mark", "x.*")
-    at = F.shiftright("place", 17)
-    left = F.shiftright("place", 9).bitwiseAND(255)
-    size = left + F.col("place").bitwiseAND(511)
-    return joined.select("anchor", "n", "id", "mark", "place", F.substring(F.col("text").cast("binary"), (at - left + 1).cast("int"), size.cast("int")).alias("bytes"), "hot")
+    """The bytes of one copy of each context: (anchor, n, row, place, bytes, hot)."""
+    wanted = contexts.groupBy("row").agg(F.collect_list(F.struct("anchor", "n", "place", "hot")).alias("list"))
+    texts = _maybe(rows.select("text", "row"), _bloom(contexts.select("row").distinct())).where("maybe").drop("maybe")
+    joined = texts.join(wanted, "row").select("text", "row", F.explode("list").alias("x")).select("text", "row", "x.*")
+    size = F.shiftright("place", 9).bitwiseAND(255) + F.col("place").bitwiseAND(511)
+    return joined.select("anchor", "n", "row", "place", F.substring(F.col("text").cast("binary"), (_start() + 1).cast("int"), size.cast("int")).alias("bytes"), "hot")
 
 
 def _by_suffixes(contexts: DataFrame, span: int, batch_bytes: int) -> DataFrame:
-    """Intervals (id, mark, start, end) of repeated windows among contexts of the same anchor."""
+    """Intervals (row, start, end) of repeated windows among contexts of the same anchor."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -398,28 +407,28 @@ def _by_suffixes(contexts: DataFrame, span: int, batch_bytes: int) -> DataFrame:
 
         def decide() -> pa.RecordBatch:
             out: list[tuple] = []
-            document: dict[tuple, int] = {}
-            firsts = [(x[4] >> 17) - (x[4] >> 9 & 255) for x in held]
-            places = [(document.setdefault(x[2:4], len(document)) << 40) + first for x, first in zip(held, firsts, strict=True)]
-            found = repeated_windows([x[5] for x in held], span, np.array(places, np.int64), np.array([x[1] > 1 for x in held]))
-            for (_, n, key, mark, _, _), first, starts in zip(held, firsts, found, strict=True):
+            document: dict[int, int] = {}
+            firsts = [(x[3] >> 17) - (x[3] >> 9 & 255) for x in held]
+            places = [(document.setdefault(x[2], len(document)) << 40) + first for x, first in zip(held, firsts, strict=True)]
+            found = repeated_windows([x[4] for x in held], span, np.array(places, np.int64), np.array([x[1] > 1 for x in held]))
+            for (_, n, row, _, _), first, starts in zip(held, firsts, found, strict=True):
                 if n == 1:  # others are repeated as a whole already
-                    out += [(key, mark, first + a, first + b) for a, b in covered(starts, span)]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["id", "mark", "start", "end"])
+                    out += [(row, first + a, first + b) for a, b in covered(starts, span)]
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "start", "end"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if size >= batch_bytes and row[0] != last:
                     yield decide()
                     held.clear()
                     size = 0
                 held.append(row)
-                size, last = size + len(row[5]), row[0]
+                size, last = size + len(row[4]), row[0]
         if held:
             yield decide()
 
-    return map_arrow(contexts.repartition(partitions_of(contexts.sparkSession), "anchor").sortWithinPartitions("anchor"), run, "id long, mark int, start long, end long")
+    return map_arrow(contexts.repartition(partitions_of(contexts.sparkSession), "anchor").sortWithinPartitions("anchor"), run, "row long, start long, end long")
 
 
 def _by_cores(contexts: DataFrame, span: int, gram: int, group: int, batch_bytes: int) -> DataFrame:
@@ -435,41 +444,48 @@ def _by_cores(contexts: DataFrame, span: int, gram: int, group: int, batch_bytes
     part = F.substring("bytes", F.col("first") + 1, F.col("last") - F.col("first") + span)
     start = F.shiftright("place", 17) - F.col("left") + F.col("first")
     place = F.shiftleft(start, 17).bitwiseOR(F.octet_length(part).cast("long"))
-    subs = rows.select(F.xxhash64("anchor", "class", "core").alias("anchor"), "n", "id", "mark", place.alias("place"), part.alias("bytes"))
+    subs = rows.select(F.xxhash64("anchor", "class", "core").alias("anchor"), "n", "row", place.alias("place"), part.alias("bytes"))
     subs = written(subs.withColumn("context", F.xxhash64("bytes")), "core-contexts")
-    same = written(subs.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(F.struct("id", "mark", "place")).alias("one"), F.min("bytes").alias("bytes")).select("anchor", "context", "n", "one.*", "bytes"), "core-groups")
+    low, high = _places()
+    same = subs.groupBy("anchor", "context").agg(F.max("n").alias("n"), low, high, F.min(F.struct("row", "place")).alias("one"), F.min("bytes").alias("bytes"))
+    same = written(same.select("anchor", "context", F.when((F.col("n") > 1) | (F.col("low") != F.col("high")), 2).otherwise(1).alias("n"), "one.*", "bytes"), "core-groups")
     whole = subs.where("n = 1").join(same.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(_interval())
-    sizes = written(same.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1 AND least = 1"), "core-sizes")
-    undecided = same.join(sizes.select("anchor", (F.col("size") > group).alias("hot")), "anchor").select("anchor", "n", "id", "mark", "place", "bytes", "hot")
+    sizes = written(same.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("least = 1"), "core-sizes")
+    undecided = same.join(sizes.select("anchor", (F.col("size") > group).alias("hot")), "anchor").select("anchor", "n", "row", "place", "bytes", "hot")
     found = whole.unionByName(_by_suffixes(undecided.where("NOT hot").drop("hot"), span, batch_bytes))
     return found if sizes.where(F.col("size") > group).isEmpty() else found.unionByName(_by_starts(undecided.where("hot"), span))
 
 
 def _by_starts(contexts: DataFrame, span: int) -> DataFrame:
     """The same for groups that stay too large: window starts meet by the digest of their window."""
-    left = F.shiftright("place", 9).bitwiseAND(255)
-    first = F.shiftright("place", 17) - left
-    starts = contexts.select("n", "id", "mark", first.alias("first"), "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - span)).alias("at"))
-    starts = starts.select("n", "id", "mark", (F.col("first") + F.col("at")).alias("start"), F.sha2(F.substring(F.col("bytes"), F.col("at") + 1, F.lit(span)), 256).alias("window"))
+    starts = contexts.select("n", "row", _start().alias("first"), "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - span)).alias("at"))
+    starts = starts.select("n", "row", (F.col("first") + F.col("at")).alias("start"), F.sha2(F.substring(F.col("bytes"), F.col("at") + 1, F.lit(span)), 256).alias("window"))
     starts = written(starts, "window-starts")
-    place = F.struct("id", "mark", "start")
+    place = F.struct("row", "start")
     twice = starts.groupBy("window").agg(F.max("n").alias("most"), F.min(place).alias("low"), F.max(place).alias("high")).where("most > 1 OR low != high").select("window")
     # A window may start in very many places: both sides meet in SALTS parts of it.
-    once = starts.where("n = 1").withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int"))
+    once = starts.where("n = 1").withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
     salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return once.join(salted, ["window", "salt"], "left_semi").select("id", "mark", "start", (F.col("start") + span).alias("end"))
+    return once.join(salted, ["window", "salt"], "left_semi").select("row", "start", (F.col("start") + span).alias("end"))
 
 
-def repeated_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP, batch_bytes: int = BATCH) -> DataFrame:
-    """Intervals (id, mark, start, end) that cover exactly the bytes in repeated windows."""
+def repeated_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP, batch_bytes: int = BATCH, part: int = PART) -> DataFrame:
+    """Intervals (row, start, end) that cover exactly the bytes in repeated windows."""
     with rows_per_batch(rows.sparkSession, TEXTS):
         found = written(anchors(rows, span, gram), "anchors")
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("context").alias("low"), F.max("context").alias("high")).where("all > 1").select("anchor", (F.col("low") == F.col("high")).alias("uniform"))
-    shared = written(shared, "shared-anchors")  # a plain table on this side lets a hot anchor's other side be split
-    met = written(found.join(shared, "anchor"), "met-anchors")
-    mixed = met.where("NOT uniform")
-    contexts = written(mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "place")).alias("one")).select("anchor", "context", "n", "one.*"), "contexts")
-    whole = met.where("uniform").unionByName(mixed.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(met.columns)).select(_interval())
+    low, high = _places()
+    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("context").alias("first"), F.max("context").alias("last"), low, high).where("all > 1")
+    parts = F.ceil(F.col("all") / part).cast("int")
+    shared = written(shared.select("anchor", parts.alias("parts"), (F.col("first") == F.col("last")).alias("uniform"), (F.col("low") != F.col("high")).alias("apart")), "shared-anchors")  # a plain table on this side lets a hot anchor's other side be split
+    met = found.join(shared, "anchor").withColumn("salt", F.pmod(F.xxhash64("row", "place"), F.col("parts")).cast("int"))
+    met = written(met, "met-anchors")
+    mixed = met.where("NOT uniform OR NOT apart")
+    fine = written(mixed.groupBy("anchor", "context", "salt", "parts").agg(low, high, F.min(F.struct("row", "place")).alias("one")), "salted-contexts")
+    contexts = fine.groupBy("anchor", "context").agg(F.max("parts").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("one").alias("one"))
+    contexts = written(contexts.select("anchor", "context", "parts", F.when(F.col("low") != F.col("high"), 2).otherwise(1).alias("n"), "one.*"), "contexts")
+    twice = contexts.where("n > 1")
+    salted = twice.where("parts = 1").select("anchor", "context", F.lit(0).alias("salt")).unionByName(fine.where("parts > 1").join(twice.where("parts > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("anchor", "context", "salt"))
+    whole = met.where("uniform AND apart").unionByName(mixed.join(salted, ["anchor", "context", "salt"], "left_semi").select(met.columns)).select(_interval())
     groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("least = 1")
     groups = written(groups, "mixed-anchors")
     undecided = written(contexts.join(groups.select("anchor", (F.col("size") > group).alias("hot")), "anchor"), "undecided")
@@ -481,33 +497,31 @@ def repeated_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, grou
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP, batch_bytes: int = BATCH, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP, batch_bytes: int = BATCH, part: int = PART, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, if asked for)."""
     rows = _rows(docs, id_col, text_col)
-    spans = written(repeated_intervals(rows, span, gram, group, batch_bytes), "repeats")
-    flagged = _maybe(rows, _bloom(spans.select("id", "mark")))
-    lists = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = written(repeated_intervals(rows, span, gram, group, batch_bytes, part), "repeats")
+    flagged = _maybe(rows, _bloom(spans.select("row").distinct()))
+    lists = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     schema = RESULT + (", kept binary" if keep_bytes else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                out = []
-                for text, key, spans in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    data = text.encode("utf-8", "surrogatepass")
-                    kept, runs = cut(data, [(s["start"], s["end"]) for s in spans or ()])
-                    out.append((key, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns[: 5 + keep_bytes], names=[f.split()[0] for f in schema.split(", ")])
-
-    moved = flagged.where("maybe").select("text", "id", "mark")
-    joined = moved.join(lists, ["id", "mark"], "left").select("text", "id", "spans")
+        for part in slices(batches):
+            out = []
+            for text, key, spans in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                kept, runs = cut(data, [(s["start"], s["end"]) for s in spans or ()])
+                out.append((key, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns[: 5 + keep_bytes], names=[f.split()[0] for f in schema.split(", ")])
+
+    moved = flagged.where("maybe").select("text", "id", "row")
+    joined = moved.join(lists, "row", "left").select("text", "id", "spans")
     kept = [F.col("text").cast("binary").alias("kept")] if keep_bytes else []
     zero = F.lit(0).cast("long")
     rest = flagged.where("NOT maybe").select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *kept)
-    out = map_arrow(joined, run, schema).unionByName(rest).withColumn("id", F.when(F.col("id") != F.lit(NO_ID), F.col("id"))).withColumnRenamed("id", id_col)
+    out = map_arrow(joined, run, schema).unionByName(rest).withColumnRenamed("id", id_col)
     with rows_per_batch(docs.sparkSession, TEXTS):
         return written(out, "kept")
 

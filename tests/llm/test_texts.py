@@ -9,12 +9,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from kinetrail.llm import byte_bpe, html_text, language_id, pii, simhash, sketch, suffix_dedup
+from kinetrail.llm import byte_bpe, common, html_text, language_id, pii, simhash, sketch, suffix_dedup
 
 
 def texts_of(df):
@@ -67,6 +68,12 @@ def test_token_query(spark, awkward, no_rows, reference):
     assert byte_bpe.token_digests(no_rows).count() == 0
 
 
+def test_slices_are_bounded_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 500, "c" * 10, "", "d" * 30, "e" * 30])], names=["text"])
+    assert [p.num_rows for p in common.slices([batch], 3, 60)] == [2, 1, 3, 1]
+    assert sum((p.to_pylist() for p in common.slices([batch], 1, 60)), []) == batch.to_pylist()
+
+
 # --- sketches --------------------------------------------------------------
 
 
@@ -293,20 +300,45 @@ def test_repeated_windows():
         assert [x.tolist() for x in suffix_dedup.repeated_windows(contexts, span)] == want
 
 
-@pytest.mark.parametrize("group", [16384, 6, 1], ids=["suffixes", "cores", "window_starts"])
-def test_removal_against_windows(spark, group):
+@pytest.mark.parametrize(("group", "part"), [(16384, 16384), (6, 16384), (1, 16384), (16384, 3), (6, 2)], ids=["suffixes", "cores", "window_starts", "salted", "salted_cores"])
+def test_removal_against_windows(spark, group, part):
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice(["alpha", "be", "ça", "delta", "eps"]) + str(rng.randint(0, 99)) for _ in range(n))
     shared = [text(rng.randint(5, 40)) for _ in range(6)]
     texts = [" ".join(rng.choice(shared) if rng.random() < 0.4 else text(rng.randint(1, 30)) for _ in range(rng.randint(0, 8))) for _ in range(80)]
     texts += [texts[3], texts[3], "a" * 300, "ab" * 200, "", texts[5] * 2]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = suffix_dedup.remove_repeats(df, span=60, gram=30, group=group, batch_bytes=3000, keep_bytes=True).orderBy("doc_id").collect()
+    out = suffix_dedup.remove_repeats(df, span=60, gram=30, group=group, batch_bytes=3000, part=part, keep_bytes=True).orderBy("doc_id").collect()
     want = brute_removed(texts, 60)
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == want
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in out) and sum(w[1] for w in want) > 0
 
 
+@pytest.mark.parametrize("group", [16384, 1], ids=["suffixes", "cores"])
+def test_short_periodic_texts(spark, group):
+    """Anchors of one short text share the whole text as context: that is one place."""
+    rng = random.Random(12)
+    unit = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [(unit(period) * 90)[:size] for period in (7, 14, 22, 29, 41) for size in (59, 60, 61, 66, 75, 89, 90, 91, 118, 119, 120)]
+    texts += ["tail " + texts[3], texts[5][:62] + "x", texts[8], texts[8]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(df, span=60, gram=30, group=group, part=4).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == brute_removed(texts, 60)
+    alone = (unit(83) * 5)[:414]
+    assert suffix_dedup.remove_repeats(spark.createDataFrame([(1, alone)], "doc_id long, text string")).first().n_removed == 0
+
+
+def test_rows_without_ids(spark):
+    """Rows are told apart by their row number, whatever their ids are."""
+    rng = random.Random(13)
+    shared = "".join(rng.choice("abcdef ") for _ in range(70))
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 90))) + (shared if i % 3 == 0 else "") for i in range(300)]
+    df = spark.createDataFrame([(None if i % 2 else -(2**63), t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(df, span=60, gram=30).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == sorted(brute_removed(texts, 60))
+    assert {r.doc_id for r in out} == {None, -(2**63)}
+
+
 def test_anchors_do_not_depend_on_blocks():
     rng = random.Random(1)
     text = bytes(rng.choice(b"abcdef") for _ in range(5000))
