@@ -14,7 +14,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..storage import rows_per_batch, ship, work_path, written
 
-__all__ = ["ASCII_WORD", "documents", "map_arrow", "map_texts", "partitions_of", "rows_per_batch", "ship", "slices", "text_or_empty", "work_path", "written"]
+__all__ = ["ASCII_WORD", "documents", "map_arrow", "map_texts", "maybe_listed", "partitions_of", "rows_per_batch", "ship", "slices", "without_listed", "text_or_empty", "work_path", "written"]
 
 #: Bytes of the texts that are Python objects at a time.
 SLICE_BYTES = 4_000_000
@@ -64,3 +64,31 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, dict], dict]], s
             yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return map_arrow(df, run, schema)
+
+
+#: Least and most bits of a native bit table: 2**24 bits are at most 262,144 rows of 16 bytes.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 24
+
+
+def maybe_listed(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """`rows` with a column `_maybe`: false only where `key` is not in the one column of `listed`.
+
+    A bit table of bounded size, held as (word number, word) rows and broadcast, so that rows
+    that cannot be listed need not be shuffled. Beyond MOST_BITS / 16 listed keys more and more
+    rows pass. DataFrame operations only.
+    """
+    name = listed.columns[0]
+    bits = min(max(LEAST_BITS, 1 << (16 * listed.count()).bit_length()), MOST_BITS)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = listed.select(slot(name).alias("_s")).groupBy(F.shiftright("_s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(_s & 63))")).alias("_bits"))
+    found = rows.join(F.broadcast(words), F.shiftright(slot(key), 6) == F.col("_word"), "left")
+    here = F.coalesce(F.getbit("_bits", slot(key).bitwiseAND(63).cast("int")) == 1, F.lit(False))
+    return found.select(*[rows[c] for c in rows.columns], here.alias("_maybe"))
+
+
+def without_listed(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """The rows whose `key` is not in the one column of `listed`; only rows that may be listed are shuffled."""
+    flagged = maybe_listed(rows, key, listed)
+    name = listed.columns[0]
+    unsure = flagged.where("_maybe").join(listed.withColumnRenamed(name, "_listed"), F.col(key) == F.col("_listed"), "left_anti")
+    return flagged.where("NOT _maybe").unionByName(unsure).select(rows.columns)

@@ -4,7 +4,8 @@
    over the texts in Python (xxhash and numpy), bounded blocks of shingles at a time.
 2. Equal fingerprints collapse to one (map-side combine), so copies cost nothing further.
 3. A vantage-point tree over a bounded sample of fingerprints cuts Hamming space into
-   shards: at each node distance to the vantage <= radius goes inside, else outside. Every
+   shards: at each node distance to the vantage <= radius goes inside, else outside. Shards are
+   large, so that few levels of the tree replicate queries through the shuffle; every
    fingerprint has one home shard and is also sent, as a query, to the shards that the
    triangle bound (distance to the boundary <= 2) cannot rule out. The sample only shapes
    the shards; links are exact for any sample.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, map_texts, text_or_empty, written
+from .common import documents, map_arrow, map_texts, partitions_of, text_or_empty, without_listed, written
 
 SHINGLE = 3
 SEED = 42
@@ -36,8 +37,10 @@ MAX_BITS = 2
 #: The tree's sample: so many fingerprints at least, one in 64 beyond that, so many at most (8 MB).
 SAMPLE = 1 << 15
 MOST_SAMPLE = 1 << 20
-#: How many distinct fingerprints a shard should hold.
-SHARD = 4096
+#: Most distinct fingerprints a shard should hold (2 MB of them). Below that there are as many shards
+#: as the session has shuffle partitions, if that leaves each LEAST_SHARD fingerprints.
+SHARD = 1 << 18
+LEAST_SHARD = 4096
 LEAF = 48
 _LANES = np.uint64(0x0101010101010101)
 
@@ -178,16 +181,15 @@ def shard_links(points: np.ndarray, home: np.ndarray, reach: int = MAX_BITS) ->
     return points[moved], points[label[moved]]
 
 
-def links(distinct: DataFrame, reach: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def links(distinct: DataFrame, reach: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD, least: int = LEAST_SHARD) -> DataFrame:
     """Links (a, b) that connect all fingerprints of `distinct` within `reach` bits, without most of the redundant ones."""
     spark = distinct.sparkSession
     n = distinct.count()
     sample = min(max(sample, n // 64), MOST_SAMPLE)
     # By hash, not by a sorted limit, of which every task would send its own to the driver.
     chosen = distinct if n <= sample else distinct.where(F.xxhash64("fp") < -(2**63) + 2**64 * sample // n)
-    some = sorted(r[0] for r in chosen.select("fp").collect())
-    points = np.array(some, np.int64).view(np.uint64)
-    leaves = min(max(1, -(-n // shard)), max(1, len(points) // 16))
+    points = np.sort(chosen.select("fp").toArrow().column("fp").to_numpy()).view(np.uint64)
+    leaves = min(max(-(-n // shard), min(partitions_of(spark), -(-n // least)), 1), max(1, len(points) // 4))
     tree = grow(points, max(1, -(-len(points) // leaves)), reach)
     tree = _hollow(tree)
 
@@ -197,8 +199,10 @@ def links(distinct: DataFrame, reach: int = MAX_BITS, sample: int = SAMPLE, shar
             home = np.empty(len(fps), np.int64)
             for leaf, _, at in visit(tree, fps, 0):  # without reach the two sides of a node are disjoint
                 home[at] = leaf
-            for leaf, _, at in visit(tree, fps, reach):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf), pa.int64()), pa.array(fps[at].view(np.int64)), pa.array(home[at] == leaf)], names=["shard", "fp", "home"])
+            reached = [(leaf, at) for leaf, _, at in visit(tree, fps, reach)]
+            if reached:
+                shards, at = np.repeat([x for x, _ in reached], [len(a) for _, a in reached]), np.concatenate([a for _, a in reached])
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(fps[at].view(np.int64)), pa.array(home[at] == shards)], names=["shard", "fp", "home"])
 
     def match(table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view(np.uint64)
@@ -237,11 +241,11 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD, least: int = LEAST_SHARD) -> DataFrame:
     """One row per input row: id, fp (long), component_id."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    labels = components(links(distinct, reach, sample, shard))
+    labels = components(links(distinct, reach, sample, shard, least))
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     firsts = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_fp = named.select("fp", "label").join(firsts, "label").select("fp", "component_id")
@@ -254,10 +258,11 @@ def op10_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs` that stay: of each component that with the smallest doc_id; rows without doc_id stay.
+    """The rows of `docs` that stay: of each component that with the smallest doc_id.
 
-    The stage follows op10's contract, 3-word shingles and links within 2 of 64 bits, which is far
+    Rows without doc_id stay, and so do rows that share the smallest doc_id; null, empty and wordless
+    texts have fingerprint zero and are one component. Only rows that may go are shuffled. The stage follows op10's contract, 3-word shingles and links within 2 of 64 bits, which is far
     closer than a similarity of 0.8: most copies with a word edited stay (figures in the README).
     """
     drop = near_groups(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_id"), "left_anti")
+    return without_listed(docs, "doc_id", written(drop, "near-dropped"))

@@ -402,7 +402,7 @@ def test_links_over_many_shards(spark):
     i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)
     want = simhash.forest(len(points), i, j)
     df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
-    found = {r.node: r.label for r in simhash.components(simhash.links(df, sample=400, shard=100)).collect()}
+    found = {r.node: r.label for r in simhash.components(simhash.links(df, sample=400, shard=100, least=100)).collect()}
     got = [found.get(int(x), int(x)) for x in points.view(np.int64)]
     assert len(set(zip(got, want.tolist(), strict=True))) == len(set(got)) == len(set(want.tolist()))
 
