@@ -10,7 +10,8 @@ next anyway: the leftmost pairs of one rank, up to the first that opens a pair o
 or a lower rank.
 
 Memory is bounded: a fixed number of pieces and bytes a matrix, a memo of pieces that is
-emptied when full, texts of one slice at a time. The rank file is read on the driver; what
+emptied when its pieces and their bytes are too many, texts of one slice (bounded in bytes)
+at a time, each distinct text of a slice once. The rank file is read on the driver; what
 tasks get is its tables, a few MB for any input.
 
 Defined results: null text is empty text (no tokens); ids and bytes of equal texts are equal;
@@ -25,6 +26,7 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +106,7 @@ class PairTable:
 class ByteBpe:
     """Encoder and decoder for one vocabulary and pattern."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, memo: int = 400_000, bucket: int = 256, cells: int = 1 << 18):
+    def __init__(self, tokens: list[bytes], pattern: str, memo: int = 64_000_000, bucket: int = 256, cells: int = 1 << 18):
         self.tokens = tokens
         self.find = regex.compile(pattern).findall
         self.pairs = PairTable(tokens)
@@ -114,18 +116,25 @@ class ByteBpe:
                 self.of_byte[t[0]] = i
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.memo: dict[str, bytes] = {}
-        self.most, self.bucket, self.cells = memo, bucket, cells
+        self.most, self.held, self.bucket, self.cells = memo, 0, bucket, cells
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.find(t) for t in texts]
-        new = {p for pieces in split for p in pieces if p not in self.memo}
-        if len(self.memo) + len(new) > self.most:
-            self.memo = {}
-            new = {p for pieces in split for p in pieces}
+        split = {t: self.find(t) for t in dict.fromkeys(texts)}
+        new = {p for pieces in split.values() for p in pieces if p not in self.memo}
+        if self.held + self._cost(new) > self.most:
+            self.memo, self.held = {}, 0
+            new = {p for pieces in split.values() for p in pieces}
+        self.held += self._cost(new)
         self._learn(sorted(new))
         get = self.memo.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        found = {t: b"".join(map(get, pieces)) for t, pieces in split.items()}
+        return [found[t] for t in texts]
+
+    @staticmethod
+    def _cost(pieces: set[str]) -> int:
+        """About the bytes that the memo needs for the pieces: ids take up to four for one of text."""
+        return sum(map(len, pieces)) * 5 + 200 * len(pieces)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -248,5 +257,25 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of `docs`."""
-    return token_digests(docs)
+    """The last stage: doc_id, lang, source, n_tokens, ids (array of int) and decoded_sha256 of every row of `docs`.
+
+    Null and empty texts have no ids; repeated rows, as the mix makes them, are all returned. Copies
+    of a text that lie next to each other, as the mix writes them, are split and encoded once.
+    """
+    tokens, pattern = tuple(read_ranks(default_path())), default_pattern()
+    shared = spark.sparkContext.broadcast(tokens)
+
+    def make():
+        coder = _coder(shared.value, pattern)
+
+        def apply(texts: list, columns: dict) -> dict:
+            ids = coder.encode(texts)
+            digest = {x: hashlib.sha256(coder.decode(x)).hexdigest() for x in set(ids)}
+            ends = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            return {n: columns[n] for n in ("doc_id", "lang", "source")} | {"n_tokens": np.diff(ends), "ids": lists, "decoded_sha256": [digest[x] for x in ids]}
+
+        return apply
+
+    rows = docs.select(text_or_empty().alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    return map_texts(rows, make, "doc_id long, lang string, source string, n_tokens long, ids array<int>, decoded_sha256 string", rows=64)

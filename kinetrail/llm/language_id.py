@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 
 
 def scorer(langs: list[str], prototypes: np.ndarray, dimensions: int = DIMENSIONS, seed: int = SEED) -> Callable[[list[str | None]], tuple[list[str], np.ndarray, np.ndarray]]:
-    """Languages, scores, and whether the text has a letter."""
+    """Languages, scores (largest cosine, 0 to 1) and numbers of trigrams (0 without a letter)."""
     encoder = Encoder(dimensions, seed)
     centred = prototypes
     if len(langs) > 1:
@@ -137,11 +138,11 @@ def scorer(langs: list[str], prototypes: np.ndarray, dimensions: int = DIMENSION
         sums, grams = encoder.bundle(texts)
         known = grams > 0
         if not langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), known
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), grams
         norms = np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
         best = (sums @ centred.T / norms[:, None]).argmax(axis=1)
         cosine = np.einsum("ij,ij->i", sums, prototypes[best]) / norms
-        return [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, np.clip(cosine, 0, 1), 0.0), known
+        return [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, np.clip(cosine, 0, 1), 0.0), grams
 
     return score
 
@@ -172,19 +173,36 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, docs.where(~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs` that stay: all with a letter in the text.
+#: A text with so many trigrams is judged by its profile in the pipeline, a shorter one is not.
+ENOUGH_GRAMS = 32
+#: Deviations of the cosine of a random vector (1 / sqrt(dimensions)) that a judged text has to reach.
+DEVIATIONS = 2.5
+
 
-    These are the rows whose language is not `und` where one was learned. Where none was, all
-    texts are `und` and a letter still decides: no profile, cosine or score rejects a row.
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of `docs` that stay, with a null lang replaced by the predicted one.
+
+    Languages are learned as in op1. A row goes if its text has no letter, or if its lang is null
+    and its text, of at least ENOUGH_GRAMS trigrams, is no nearer to any learned language than
+    DEVIATIONS deviations of a random vector's cosine: it is in none of them. Shorter texts give too
+    little evidence and stay. Where no language was learned, only texts without a letter (null and
+    empty ones too) go and a null lang stays null. Rows that repeat are judged alike; a lang that is
+    there is taken as known, stays as it is and keeps its row.
     """
     langs, prototypes = learn(docs.where(~held_out()))
-    columns = [c for c in docs.columns if c != "text"]
+    columns = [c for c in docs.columns if c not in ("text", "lang")]
+    arranged = docs.select("text", F.col("lang").cast("string").alias("lang"), *columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(langs, prototypes)
         for batch in slices(batches, 64):
-            _, _, lettered = score(batch.column(0).to_pylist())
-            yield batch.filter(pa.array(lettered, pa.bool_()))
-
-    return map_arrow(docs.select("text", *columns), run, docs.select("text", *columns).schema).select(docs.columns)
+            names, values, grams = score(batch.column(0).to_pylist())
+            stays = grams > 0
+            if langs:
+                given = pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False)
+                stays &= given | (grams < ENOUGH_GRAMS) | (values >= DEVIATIONS / DIMENSIONS**0.5)
+            known = pa.array([None if n == UNKNOWN else n for n in names], pa.string())
+            filled = pc.coalesce(batch.column(1).cast(pa.string()), known)
+            yield batch.set_column(1, batch.schema.field(1), filled.cast(batch.schema.field(1).type)).filter(pa.array(stays))
+
+    return map_arrow(arranged, run, arranged.schema).select(docs.columns)

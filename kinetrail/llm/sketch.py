@@ -3,8 +3,9 @@
 The 5-word shingles of a text are hashed to 48 bits; the fingerprint holds every hash below
 a fixed fraction of the range, sorted. Sketches of one fraction merge by union, and as the
 same hashes are kept in every document, likeness and containment can be estimated between
-very unequal documents. A text with words but without a hash below the fraction keeps its
-least hash, so only texts without words have an empty fingerprint.
+very unequal documents. A text with words but without a hash below the fraction is marked by
+its least hash alone, so only texts without words have an empty fingerprint. Merging keeps
+that rule: the merged fingerprint of two texts is that of all their shingles together.
 
 The query compares each document with its edited text and with the next document. Rows are
 dealt once, by ranges of doc_id whose first ids are known; the first row of each range is
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import documents, map_arrow, map_texts, partitions_of, text_or_empty
 
 WIDTH = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 4
 BITS = 48
 _COEFFICIENTS = [np.uint64(x | 1) for x in np.random.default_rng(20260101).integers(2**62, 2**63, 64, dtype=np.uint64)]
 
@@ -47,7 +48,7 @@ class Sketcher:
     """Fingerprints of texts; keeps a bounded memo of word hashes."""
 
     def __init__(self, width: int = WIDTH, fraction: float = FRACTION, memo: int = 300_000):
-        self.width, self.limit, self.most = width, np.uint64(int(fraction * 2**BITS)), memo
+        self.width, self.limit, self.most = width, _limit(fraction), memo
         self.words: dict[bytes, int] = {}
 
     def _word_hashes(self, words: list[bytes]) -> np.ndarray:
@@ -58,8 +59,8 @@ class Sketcher:
             known[w] = xxhash.xxh64_intdigest(w) - 2**63
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
-    def sketch(self, text: str | None) -> np.ndarray:
-        """Sorted distinct retained hashes."""
+    def hashes(self, text: str | None) -> np.ndarray:
+        """The hashes of all shingles."""
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
@@ -68,9 +69,15 @@ class Sketcher:
         total = np.full(n, np.uint64(width))
         for j in range(width):
             total += hashes[j : j + n] * _COEFFICIENTS[j]
-        total = _mixed(total) >> np.uint64(64 - BITS)
-        kept = np.unique(total[total < self.limit])
-        return kept if len(kept) else total.min(keepdims=True)
+        return _mixed(total) >> np.uint64(64 - BITS)
+
+    def kept(self, hashes: np.ndarray) -> np.ndarray:
+        """Sorted distinct retained hashes."""
+        below = np.unique(hashes[hashes < self.limit])
+        return below if len(below) or not len(hashes) else hashes.min(keepdims=True)
+
+    def sketch(self, text: str | None) -> np.ndarray:
+        return self.kept(self.hashes(text))
 
 
 def to_string(sketch: np.ndarray) -> str:
@@ -91,14 +98,25 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def _limit(fraction: float) -> np.uint64:
+    return np.uint64(int(fraction * 2**BITS))
+
+
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float | None:
+    """Estimated share of a's shingles that b has; None where a has no hash below the fraction and
+    so tells nothing, unless the fingerprints are equal."""
+    if np.array_equal(a, b) or not len(a):
+        return 1.0
+    below = a[a < _limit(fraction)]
+    return len(np.intersect1d(below, b, assume_unique=True)) / len(below) if len(below) else None
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The fingerprint of both texts' shingles together."""
-    return np.union1d(a, b)
+def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The fingerprint of both texts' shingles together: a least hash that only marks a short text
+    goes where the other text has hashes below the fraction, and the lesser of two such marks stays."""
+    both = np.union1d(a, b)
+    below = both[both < _limit(fraction)]
+    return below if len(below) else both[:1]
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,9 @@
 """The pipeline against its stages done by hand, and what each stage must keep."""
 
+import hashlib
+
+import numpy as np
+
 import __spark_entry__
 import corpus_pipeline
 from kinetrail.llm import byte_bpe, exact_dedup, language_id, mixing, queries, simhash
@@ -14,8 +18,11 @@ def test_stages_by_hand(spark, corpus, folder):
     docs = docs.where(docs.doc_id.isin([r.doc_id for r in exact_dedup.exact_groups(docs).where("kept").collect()]))
     docs = docs.where(docs.doc_id.isin([r.doc_id for r in simhash.near_groups(docs).where("component_id = doc_id").collect()]))
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
-    want = sorted(tuple(r) for r in byte_bpe.token_digests(docs).collect() for _ in range(copies[r.doc_id]))
-    assert sorted(map(tuple, corpus_pipeline.run(spark, at).collect())) == want and want
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in byte_bpe.encode_decode(docs).collect()}
+    want = sorted((r.doc_id, r.lang, r.source, len(ids[r.doc_id]), ids[r.doc_id], hashlib.sha256(r.text.encode()).hexdigest()) for r in docs.collect() for _ in range(copies[r.doc_id]))
+    out = corpus_pipeline.run(spark, at)
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
+    assert sorted(map(tuple, out.collect())) == want and want
 
 
 def test_stages_keep_columns_and_clean_rows(spark, sf):

@@ -48,11 +48,12 @@ def test_ids_equal_the_library(coder, reference):
 
 
 def test_memo_is_bounded(reference):
-    small = byte_bpe.ByteBpe(byte_bpe.read_ranks(byte_bpe.default_path()), byte_bpe.default_pattern(), memo=50, cells=64)
+    small = byte_bpe.ByteBpe(byte_bpe.read_ranks(byte_bpe.default_path()), byte_bpe.default_pattern(), memo=12_000, cells=64)
     for n in range(40):
         text = " ".join(f"word{n}x{i}" for i in range(20))
         assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
-        assert len(small.memo) <= 120
+        assert small.held <= 24_000 and len(small.memo) <= 120
+    assert small.encode(["x" * 9000, "y z", "x" * 9000])[0] == small.encode(["x" * 9000])[0] and small.held == small._cost({"x" * 9000})
 
 
 def test_token_query(spark, awkward, no_rows, reference):
@@ -111,8 +112,16 @@ def test_sketch_estimates():
         part = " ".join(a[:400])
         assert sketch.containment(plain.sketch(part), plain.sketch(x)) == 1.0
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.05
-    both = sketch.merge(plain.sketch("a b c d e f g h"), plain.sketch("p q r s t u v w"))
-    assert sketch.containment(plain.sketch("a b c d e f g h"), both) == 1.0
+
+
+def test_merged_sketch_is_the_sketch_of_both():
+    rng, plain = random.Random(4), sketch.Sketcher()
+    for _ in range(400):
+        a, b = (plain.hashes(" ".join(f"m{rng.randint(0, 30)}" for _ in range(rng.choice([0, 1, 3, 6, 9, 14, 200])))) for _ in range(2))
+        both = plain.kept(np.concatenate([a, b]))
+        assert np.array_equal(sketch.merge(plain.kept(a), plain.kept(b)), both)
+        if len(a) and plain.kept(a)[0] < plain.limit:
+            assert sketch.containment(plain.kept(a), both) == 1.0
 
 
 def test_sketch_awkward(spark, awkward, no_rows):
@@ -158,9 +167,23 @@ def test_language_awkward(spark, awkward, no_rows, folder):
     stage = language_id.language_stage(spark, awkward, "")
     assert stage.columns == awkward.columns and sorted(str(r.doc_id) for r in stage.collect()) == ["1", "2", "2", "5", "7", "None"]
     assert language_id.identify(no_rows).count() == 0
+    unlabelled = language_id.language_stage(spark, awkward.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert sorted(str(r.doc_id) for r in unlabelled) == ["1", "2", "2", "5", "7", "None"] and {r.lang for r in unlabelled} == {None}
     assert {r.lang_pred for r in language_id.identify(awkward, no_rows).collect()} == {"und"}
 
 
+def test_language_stage_decides(spark):
+    """Null languages are filled, texts far from every learned language go, short ones stay."""
+    rng = random.Random(21)
+    line = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, line(SAMPLES[lang].split(), 40), None if i % 10 == 0 else lang) for i, lang in enumerate(list(SAMPLES) * 40)]
+    rows += [(1000, line(["что", "это", "как", "они", "были", "слово", "время"], 60), None), (1001, "это", None), (1002, "12 ...", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stays = {r.doc_id: r.lang for r in language_id.language_stage(spark, docs, "").collect()}
+    assert set(stays) == set(range(120)) | {1001}
+    assert all(stays[i] == lang for i, lang in enumerate(list(SAMPLES) * 40))
+
+
 # --- personal data ---------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
