@@ -2,17 +2,27 @@
 
 The page is fed in pieces to the standard library's streaming parser. Its events make lines:
 one per text block, with the block's characters, its tags and the characters inside links.
-Blocks under containers that are no content by their element, role, class or id (menus,
-headers and footers of the page, sidebars, notices, adverts, forms, comments, scripts,
-styles) are marked. Text-to-tag ratios of the lines are smoothed by a Gaussian, and lines
-above a threshold (a share of the deviation of the smoothed ratios) form the content
-clusters. The region is then the container that holds them: an article or main element with
-the most clustered text if there is one, else the deepest container with nearly all of it,
-narrowed to its clusters if that container is the whole page. All unmarked blocks of the
-region are returned, short ones too.
+A line's text-to-tag ratio counts its characters outside links; lines of containers that are
+no content by their element, role, class or id (menus, headers and footers of the page,
+sidebars, notices, adverts, forms, comments, scripts, styles) are marked and count nothing.
+Ratios are smoothed by a Gaussian, and lines above a threshold (a share of the deviation of
+the smoothed ratios) form the content clusters.
+
+Clusters choose the region. A container is worth the characters of its clustered lines less
+those of its other unmarked lines; the region is the container worth most, widened to the article
+around it or to ancestors that add next to nothing. So an article element is the region only
+if its text is the page's content; a page with several articles, or with a story around a
+small article, gets the container of them all. From the region come all clustered lines and,
+since short lines belong to an article too, the other unmarked ones; where the region is the
+whole page, these only from containers that hold clustered lines, and no lists of links.
+Headings right before the region belong to it.
+
+Work and memory are linear in the page: open elements are found by tag, containers are summed
+up once from the last to the first.
 
 Defined results: null html is empty, and pages without content text give an empty text;
-tags that are never closed end with their parent; the text of unknown elements counts as
+tags that are never closed end with their parent; a comment or tag that is cut off by the
+page's end is no text; the text of unknown elements counts as
 content; repeated rows are all returned; an empty input gives an empty result; only page_id,
 url and html are read.
 """
@@ -20,7 +30,9 @@ url and html are read.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,35 +53,73 @@ HOLDS = frozenset("has is no with without".split())
 STATES = frozenset("enabled free off on open".split())
 HEADINGS = frozenset(("header", "masthead", "topbar"))
 _WORD = re.compile(r"[a-z0-9]+")
+#: A comment, declaration or tag that the page does not end goes on to the page's end.
+_UNENDED = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _PIECE = 1 << 16
 
 
+class Open(NamedTuple):
+    """An open element; `block` and `solid` are the stack places of the nearest block and nearest
+    block other than p at or below it, -1 if there is none."""
+
+    tag: str
+    number: int
+    marked: bool
+    block: int
+    solid: int
+    #: Whether the nearest block is marked.
+    shut: bool
+
+
+_GROUND = Open("", 0, False, -1, -1, False)
+#: Open elements that a start tag ends, and those that protect them.
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "body": (("head",), ("body",)),
+}
+
+
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, link characters, marked, path of open containers)."""
+    """Events to lines: (text, tags, link characters, marked, number of the container)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, marked
-        self.kind = {0: "page"}
-        self.parent = {0: 0}
+        self.open: list[Open] = []
+        #: Places of the open elements of each tag.
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.kind, self.parent = ["page"], [0]
         self.lines: list[tuple[str, int, int, bool, int]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
-    def _at(self) -> tuple[int, bool]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (0, False)
+    def _top(self) -> Open:
+        return self.open[-1] if self.open else _GROUND
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+
+    def _cut(self, place: int) -> None:
+        """Close the elements from `place` on."""
+        for element in self.open[place:]:
+            self.at[element.tag].pop()
+        del self.open[place:]
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        number, marked = self._at()
         if text:
-            self.lines.append((text, self.tags, min(self.linked, len(text)), marked, number))
+            top = self._top()
+            self.lines.append((text, self.tags, min(self.linked, len(text)), top.marked, top.number))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
 
     def _marks(self, tag: str, attributes: dict) -> bool:
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
+        inside = bool(self.at["article"] or self.at["main"])
         if tag in DROPPED or tag == "header" and not inside:
             return True
         if "hidden" in attributes or (attributes.get("aria-hidden") or "").lower() == "true" or "display:none" in (attributes.get("style") or "").replace(" ", "").lower():
@@ -93,29 +143,33 @@ class Lines(HTMLParser):
             if tag == "br":
                 self.parts.append("\n")
             return
-        number, marked = self._at()
-        marked = marked or self._marks(tag, dict(attrs))
+        if tag == "a" and self.at["a"] and self.at["a"][-1] > self._top().block:
+            self._cut(self.at["a"][-1])  # links do not nest
+        top = self._top()
+        marked = top.marked or self._marks(tag, dict(attrs))
+        place, number, block, solid, shut = len(self.open), top.number, top.block, top.solid, top.shut
         if tag in BLOCK:
-            self.kind[len(self.kind)] = tag
-            self.parent[len(self.kind) - 1] = number
-            number = len(self.kind) - 1
-        self.open.append((tag, number, marked))
+            number, block, shut = len(self.kind), place, marked
+            solid = solid if tag == "p" else place
+            self.kind.append(tag)
+            self.parent.append(top.number)
+        self.at[tag].append(place)
+        self.open.append(Open(tag, number, marked, block, solid, shut))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, where the slash has no meaning
 
     def _imply(self, tag: str) -> None:
         """Ends that HTML lets an author leave out."""
-        closes, until = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "body": (("head",), ())}.get(tag, ((), ()))
-        closes = (*closes, "p")
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name in closes:
-                del self.open[i:]
-                if name != "p":
-                    return
-            elif name in until or name in BLOCK and name != "p" and name not in closes and not until:
-                return
+        paragraph = self._last(("p",))
+        if paragraph > self._top().solid:
+            self._cut(paragraph)
+        ends, guards = _ENDS.get(tag, ((), ()))
+        place = self._last(ends)
+        if place > self._last(guards):
+            # the lowest of the ended kinds above the guard: a cell goes with its row
+            guard = self._last(guards)
+            self._cut(min(self.at[t][-1] for t in ends if self.at[t] and self.at[t][-1] > guard))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -123,30 +177,27 @@ class Lines(HTMLParser):
             return
         if tag in BLOCK:
             self._flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if i < len(self.open) - 1 or tag in BLOCK:
-                    if any(t in BLOCK for t, _, _ in self.open[i:]):
-                        self._flush()
-                del self.open[i:]
-                return
-            if tag not in BLOCK and self.open[i][0] in BLOCK:
-                return  # an inline end does not close blocks
+        place, block = self._last((tag,)), self._top().block
+        if place < 0 or tag not in BLOCK and place < block:
+            return  # an inline end does not close blocks
+        if block >= place:
+            self._flush()
+        self._cut(place)
 
     def handle_data(self, data: str) -> None:
-        if any(t in ("script", "style") for t, _, _ in self.open[-1:]):
+        top = self._top()
+        if top.tag in ("script", "style"):
             return
         # marked inline elements (buttons, hidden spans) do not mark the block around them
-        if self.open and self.open[-1][2] and self.open[-1][0] not in BLOCK and not self._block_marked():
+        if top.marked and not top.shut and top.tag not in BLOCK:
             return
         self.parts.append(data)
-        if any(t == "a" for t, _, _ in reversed(self.open[-6:])):
+        if self.at["a"]:
             self.linked += len(data.strip())
 
-    def _block_marked(self) -> bool:
-        return next((m for t, _, m in reversed(self.open) if t in BLOCK), False)
-
     def done(self) -> list[tuple[str, int, int, bool, int]]:
+        if _UNENDED.match(self.rawdata):
+            self.rawdata = ""
         self.close()
         self._flush()
         return self.lines
@@ -166,52 +217,67 @@ def clusters(lines: list, sigma: float = 1.0, share: float = 0.5) -> np.ndarray:
     return (smooth > share * smooth.std()) & (ratios > 0)
 
 
+#: Containers that are parts of a text rather than regions of a page.
+_PARTS = frozenset("blockquote caption center dd dl dt figcaption h1 h2 h3 h4 h5 h6 hgroup li menu ol p pre table tbody td tfoot th thead tr ul".split())
+_WHOLE = frozenset(("page", "html", "body"))
+#: Shares of the best worth that an article, or another ancestor, has to have to become the region.
+ARTICLE_SHARE, WIDER_SHARE = 0.5, 0.9
+
+
 def main_blocks(html: str | None) -> list[str]:
     parser = Lines()
     for at in range(0, len(html or ""), _PIECE):
         parser.feed(html[at : at + _PIECE])
     lines = parser.done()
-    if not any(not m for _, _, _, m, _ in lines):
+    if all(marked for _, _, _, marked, _ in lines):
         return []
     hot = clusters(lines)
     if not hot.any():
-        hot = np.array([not m for _, _, _, m, _ in lines])
-    weight: dict[int, int] = {}
-    for (text, _, _, marked, number), inside in zip(lines, hot, strict=True):
-        if marked or not inside:
-            continue
-        while True:
-            weight[number] = weight.get(number, 0) + len(text)
-            if not number:
-                break
-            number = parser.parent[number]
-    total = weight[0]
-    named = [n for n in weight if parser.kind[n] in ("article", "main")]
-    mains = [n for n in named if parser.kind[n] == "article"] or named
-    region = max(mains, key=lambda n: (weight[n], -n), default=None)
-    if region is None:
-        region = max((n for n in weight if weight[n] >= 0.9 * total and parser.kind[n] not in ("p", "li", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dd", "dt")), key=lambda n: _depth(parser, n))
-    inside = [i for i, line in enumerate(lines) if _under(parser, line[4], region)]
-    if parser.kind[region] in ("page", "html", "body"):
-        ends = [i for i in inside if hot[i] and not lines[i][3]]
-        first = ends[0]
-        while first and first - 1 in inside and parser.kind[lines[first - 1][4]] in ("h1", "h2", "h3"):
-            first -= 1
-        inside = [i for i in inside if first <= i <= ends[-1] and (hot[i] or lines[i][2] * 2 < len(lines[i][0]))]
-    return [lines[i][0] for i in inside if not lines[i][3]]
-
-
-def _depth(parser: Lines, number: int) -> int:
-    depth = 0
-    while number:
-        number, depth = parser.parent[number], depth + 1
-    return depth
-
-
-def _under(parser: Lines, number: int, region: int) -> bool:
-    while number > region:  # parents have lower numbers
-        number = parser.parent[number]
-    return number == region
+        hot = np.array([not marked for _, _, _, marked, _ in lines])
+    kind, parent, n = parser.kind, parser.parent, len(parser.kind)
+    worth, warm, last = [0] * n, [False] * n, list(range(n))  # characters, whether it holds clustered lines, last container inside
+    for (text, _, _, marked, number), inside in zip(lines, hot.tolist(), strict=True):
+        worth[number] += len(text) if inside else 0 if marked else -len(text)
+        warm[number] |= inside
+    direct = [warm[i] for i in range(n)]
+    for i in range(n - 1, 0, -1):  # parents have lower numbers
+        up = parent[i]
+        worth[up] += worth[i]
+        warm[up] |= warm[i]
+        last[up] = max(last[up], last[i])
+        direct[up] |= direct[i] and kind[i] in _PARTS
+    region = max((i for i in range(n) if kind[i] not in _PARTS and warm[i]), key=lambda i: (worth[i], i))
+    best, at = worth[region], region
+    linked = lambda line: 2 * line[2] >= len(line[0])
+    idle = [0] * n  # unmarked lists of links
+    for line in lines:
+        idle[line[4]] += not line[3] and linked(line)
+    for i in range(n - 1, 0, -1):
+        idle[parent[i]] += idle[i]
+    while kind[at := parent[at]] not in _WHOLE:
+        if kind[at] == "article" and worth[at] >= ARTICLE_SHARE * best or worth[at] >= WIDER_SHARE * best and idle[at] == idle[region]:
+            region = at
+    named = [False] * n  # whether an article or main element is around
+    for i in range(1, n):
+        named[i] = named[parent[i]] or kind[i] in ("article", "main")
+    home = list(range(n))  # the region-like container that a part of a text belongs to
+    for i in range(1, n):
+        if kind[i] in _PARTS:
+            home[i] = home[parent[i]]
+
+    def belongs(line: tuple, inside: bool) -> bool:
+        text, _, _, marked, number = line
+        if inside or marked:
+            return inside
+        if named[number]:
+            return True
+        return not linked(line) and (kind[region] not in _WHOLE or direct[home[number]])
+
+    chosen = [i for i, line in enumerate(lines) if region <= line[4] <= last[region] and belongs(line, bool(hot[i]))]
+    first = chosen[0]
+    while first and kind[lines[first - 1][4]] in ("h1", "h2", "h3") and not lines[first - 1][3] and not linked(lines[first - 1]):
+        first -= 1  # headings right before the region are its own
+    return [lines[i][0] for i in [*range(first, chosen[0]), *chosen]]
 
 
 def main_text(html: str | None) -> str:

@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -253,6 +254,47 @@ def test_main_text_cases():
     assert html_text.main_text(None) == ""
 
 
+LONG = "This paragraph of the story has words enough to stand out, and it goes on for a good while after that."
+
+
+def test_regions_of_other_templates():
+    cases = {
+        "two articles": (page(f"<article><h2>One</h2><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG} Again.</p><p>Ok.</p></article>"), f"One\n\n{LONG}\n\nTwo\n\n{LONG} Again.\n\nOk."),
+        "story around a small article": (page(f"<main><h1>T</h1><p>{LONG}</p><article><p>Short box text.</p></article><p>{LONG} More.</p><p>End.</p></main>"), f"T\n\n{LONG}\n\nShort box text.\n\n{LONG} More.\n\nEnd."),
+        "small card in main": (page(f"<main><article class='card'><a href=x>Card</a></article><div><p>{LONG}</p><p>{LONG}</p></div></main>"), f"{LONG}\n\n{LONG}"),
+        "no article": (page(f"<div id=page><div id=story><h1>T</h1><p>{LONG}</p><p>x</p><div><p>{LONG}</p></div></div><div id=links><ul><li><a href=1>More of one</a></li><li><a href=2>More of two</a></li></ul></div></div>"), f"T\n\n{LONG}\n\nx\n\n{LONG}"),
+        "body alone": (f"<body><div class=menu><a href=1>A</a></div><h1>T</h1><p>{LONG}</p><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p><p>Five.</p><div>Imprint</div></body>", f"T\n\n{LONG}\n\nOne.\n\nTwo.\n\nThree.\n\nFour.\n\nFive."),
+        "heading before the column": (page(f"<h1>T</h1><div class=text><p>{LONG}</p><p>{LONG}</p></div>"), f"T\n\n{LONG}\n\n{LONG}"),
+        "header, body and table inside": (page(f"<article><header><h1>T</h1></header><div class=body><p>{LONG}</p><table><tr><td>1<td>2<tr><td>3<td>4</table><ul><li>a<li>b</ul><p>{LONG}</p></div><footer>by</footer></article>"), f"T\n\n{LONG}\n\n1\n\n2\n\n3\n\n4\n\na\n\nb\n\n{LONG}"),
+        "comments longer than the text": (page(f"<article><p>{LONG}</p></article><section class=comments>" + f"<div><p>{LONG} I agree.</p></div>" * 4 + "</section>"), LONG),
+        "deep link": (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><p><a href=x><b><i><u><s><em><small>{LONG}</small></em></s></u></i></b></a></p></div>", f"{LONG}\n\n{LONG}"),
+    }
+    for name, (source, want) in cases.items():
+        assert html_text.main_text(source) == want, name
+
+
+def test_clusters_decide(monkeypatch, spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()]
+    found, rng = [html_text.main_text(p) for p in pages], np.random.default_rng(5)
+    monkeypatch.setattr(html_text, "clusters", lambda lines: rng.random(len(lines)) < 0.5)
+    by_chance = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "clusters", lambda lines: np.ones(len(lines), bool))
+    everything = [html_text.main_text(p) for p in pages]
+    assert sum(a != b for a, b in zip(found, by_chance, strict=True)) > len(pages) / 2
+    assert all(a != b for a, b in zip(found, everything, strict=True))
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<font>x <p>y</p>", "<li></li><div>z", "<a href=x>q <b>", "<td>c<div>", "<!-- ", "</p><i>", "<article>x", "<?x ", "<a b=\"", "<a "])
+def test_work_is_linear(unit):
+    def seconds(n: int) -> float:
+        began = time.perf_counter()
+        html_text.main_text(unit * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 5  # a quadratic parser takes minutes
+
+
 def test_pages_against_the_article(spark, sf):
     rows = html_text.op4_text_tag_ratio(spark, sf).collect()
     sources = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
