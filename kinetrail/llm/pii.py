@@ -1,19 +1,25 @@
 """Personal data by anchor expansion (operator 6).
 
-An Aho-Corasick automaton finds anchors in one pass: at-signs, plus signs, digits beside
-dots, digit runs, schemes and identifier cues. From an anchor a deterministic local parser
-expands to the boundaries of an email, address, card, phone or account and validates it; no
-parser looks back, and none retries.
+An Aho-Corasick automaton finds anchors in one pass: at-signs, plus signs, digits (beside
+dots, in runs, after two capitals), schemes and identifier cues. From an anchor a deterministic
+local parser expands to the boundaries of an email, address, card, phone, account or secret
+and validates it; none retries.
 
 Base kinds follow fixed grammars (leftmost, non-overlapping per kind; failing matches are
 dropped whole): email, ip, card, phone. The method adds:
 
 * url - a scheme with user information (`https://user:pass@host/...`), or `mailto:`/`tel:`/
   `sip:` links with what follows them;
-* iban - two letters, two digits, 11 to 30 letters or digits (single spaces allowed between
-  groups of four) with check value 1 modulo 97;
-* account - an identifier cue (account, acct, iban, passport, ssn, tax id, ...), up to a few
-  separators and an identifier of 6 to 20 digits or capital letters with at least 4 digits.
+* iban - anywhere: a country code of the IBAN registry, two digits and as many capitals or
+  digits as that country's numbers have (single spaces or hyphens may stand between them), not
+  inside a longer word, with check value 1 modulo 97;
+* account - an identifier cue (account, acct, passport, ssn, tax id, ...), up to a few
+  separators and an identifier of 6 to 20 digits or capital letters with at least 4 digits,
+  where no iban stands;
+* secret - a secret's cue (token, api key, secret, password, ...), a `=`, `:` or `is` and, in
+  quotes or not, a value of at least 16 letters, digits or `+/_.~-` with a letter and a digit;
+  after password and the like at least 6 characters other than white space, quotes and commas
+  (after `is` with a digit among them).
 
 Positions are code points, end exclusive. Defined results: null text is empty (no spans);
 repeated rows are all returned; an empty input gives an empty result; only id and text are
@@ -33,20 +39,35 @@ from pyspark.sql import functions as F
 from .common import documents, map_texts, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("url", "iban", "account")
+ADDED = ("url", "iban", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "mailto:", "tel:", "sip:")
 CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "tax id", "vat id", "routing", "konto", "compte", "cuenta", "customer id", "patient id", "driver license", "driving licence", "national id")
+PASSWORDS = ("password", "passwd", "passphrase", "pwd")
+TOKENS = ("token", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "secret", "secret_key", "secret key", "private key", "private_key", "bearer", "auth_key", "client_secret", *PASSWORDS)
+# Lengths of account numbers by country code, as in the public IBAN registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23,
+    "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 _DIGITS = frozenset("0123456789")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 _PHONE = frozenset(" ().0123456789-")
 _CARD_GAP = frozenset(" -")
-_AFTER_CUE = re.compile(r"[\s:#=.]{0,4}(?:(?:no|nr|num|number|id|is)\b[\s:#=.]{0,4}){0,2}([A-Z0-9](?:[- ]?[A-Z0-9]){5,19})(?![A-Za-z0-9])")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
+_CODE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_AFTER_CUE = re.compile(r"[\s:#=.]{0,4}(?:(?:no|nr|num|number|id|is)\b[\s:#=.]{0,4}){0,2}")
+_IDENTIFIER = re.compile(r"[A-Z0-9](?:[- ]?[A-Z0-9]){5,19}(?![A-Za-z0-9])")
+_GIVEN = re.compile(r"[\"'`]?\s{0,4}(?:[:=]{1,2}>?|\bis\b)\s{0,4}[\"'`]?|\s(?=[A-Za-z0-9+/_.~-]{16})")
+_SECRET = re.compile(r"(?=[+/_.~=A-Za-z-]*[0-9])(?=[+/_.~=0-9-]*[A-Za-z])[A-Za-z0-9+/_~-][A-Za-z0-9+/_.~-]{14,}[A-Za-z0-9+/_~-]={0,2}")
+_PASSWORD = re.compile(r"[^\s\"'`,;<>]{6,}")
 _USERINFO = re.compile(r"[^\s/@:?#<>\"']+(?::[^\s/@?#<>\"']*)?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s<>\"']*)?")
 _LINK = re.compile(r"[^\s<>\"'?]+")
-_EMAIL_AT, _PLUS, _DIGIT, _SCHEME, _CUE = range(5)
+_EMAIL_AT, _PLUS, _DIGIT, _SCHEME, _CUE, _TOKEN = range(6)
 
 Span = tuple[str, int, int]
 
@@ -61,6 +82,8 @@ def _automaton() -> ahocorasick.Automaton:
         found.add_word(s, (_SCHEME, s))
     for c in CUES:
         found.add_word(c, (_CUE, c))
+    for t in TOKENS:
+        found.add_word(t, (_TOKEN, t))
     found.make_automaton()
     return found
 
@@ -146,6 +169,23 @@ def _phone(text: str, plus: int) -> int | None:
     return None if last is None else last + 1
 
 
+def _iban(text: str, start: int) -> int | None:
+    """The end of a valid IBAN from `start`, None if there is none."""
+    size = IBAN_LENGTHS.get(text[start : start + 2])
+    if not size or start and text[start - 1].isalnum():
+        return None
+    code, end, n = text[start : start + 2], start + 2, len(text)
+    while len(code) < size and end < n:
+        gap = text[end] in _CARD_GAP and len(code) >= 4 and end + 1 < n
+        if text[end + gap] not in _CODE:
+            return None
+        code += text[end + gap]
+        end += 1 + gap
+    if len(code) < size or not code[2:4].isdigit() or end < n and text[end].isalnum():
+        return None
+    return end if mod97(code) else None
+
+
 class Finder:
     def __init__(self):
         self.automaton = _automaton()
@@ -162,6 +202,9 @@ class Finder:
                 if last < run_end:
                     continue
                 run_end = _digit_run(text, last)
+                if last - 2 >= free["iban"] and last >= 2 and (end := _iban(text, last - 2)):
+                    free["iban"] = end
+                    out["iban"].append(("iban", last - 2, end))
                 if last >= free["ip"] and (hit := _ip(text, last)):
                     free["ip"] = hit[1]
                     if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text[hit[0] : hit[1]].split(".")):
@@ -187,17 +230,20 @@ class Finder:
                 if hit and start >= free["url"]:
                     free["url"] = hit.end()
                     out["url"].append(("url", start, hit.end()))
-            elif start >= free["account"] and (start == 0 or not text[start - 1].isalnum()):
-                hit = _AFTER_CUE.match(text, last + 1)
-                if hit and sum(c in _DIGITS for c in hit[1]) >= 4 and hit.start(1) > last:
-                    iban = _IBAN.match(text, hit.start(1))
-                    code = iban[0].replace(" ", "") if iban else ""
-                    if 15 <= len(code) <= 34 and mod97(code):
-                        out["iban"].append(("iban", *iban.span()))
-                        free["account"] = iban.end()
-                    else:
-                        free["account"] = hit.end(1)
-                        out["account"].append(("account", *hit.span(1)))
+            elif start and text[start - 1].isalnum():
+                continue  # cues begin words
+            elif kind == _TOKEN:
+                given = _GIVEN.match(text, last + 1) if start >= free["secret"] else None
+                hit = given and (_PASSWORD if word in PASSWORDS else _SECRET).match(text, given.end())
+                if hit and (word not in PASSWORDS or any(c in ":=" for c in given[0]) or not _DIGITS.isdisjoint(hit[0])):
+                    free["secret"] = hit.end()
+                    out["secret"].append(("secret", *hit.span()))
+            elif start >= free["account"]:
+                place = _AFTER_CUE.match(text, last + 1).end()
+                hit = _IDENTIFIER.match(text, place)
+                if hit and place > last + 1 and sum(c in _DIGITS for c in hit[0]) >= 4 and not _iban(text, place):
+                    free["account"] = hit.end()
+                    out["account"].append(("account", *hit.span()))
         return [s for k in BASE + ADDED for s in out[k]]
 
 
@@ -235,4 +281,4 @@ def op6_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -218,11 +218,64 @@ def test_added_spans():
     assert not [s for s in pii.Finder().spans(bad) if s[0] == "iban"]
 
 
+def iban_of(country, rng):
+    body = "".join(rng.choice("0123456789" if country != "GB" or i > 3 else "ABCDEFGH") for i in range(pii.IBAN_LENGTHS[country] - 4))
+    check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    return f"{country}{check:02d}{body}"
+
+
+def labelled(kind, rng):
+    """A text and what of it is of the kind."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    mixed = lambda n: "a1" + "".join(rng.choice("abcdef0123456789") for _ in range(n - 2))
+    word = lambda: rng.choice(["the sum", "see", "und", "voilà", "pay"])
+    if kind == "iban":
+        code = iban_of(rng.choice(sorted(pii.IBAN_LENGTHS)), rng)
+        value = rng.choice([code, " ".join(code[i : i + 4] for i in range(0, len(code), 4))])
+        head = rng.choice(["IBAN: ", "iban ", "pay to ", "", "account number ", "(", "Konto "])
+    elif kind == "account":
+        value = rng.choice([digits(8), digits(12), "X" + digits(7), f"{digits(3)}-{digits(2)}-{digits(4)}"])
+        head = rng.choice(["account number: ", "Acct #", "SSN ", "passport no. ", "tax id = ", "Customer ID "])
+    elif kind == "secret":
+        value = rng.choice([mixed(40), mixed(32).upper(), "sk-" + mixed(24), mixed(20) + "/+" + mixed(16)])
+        head = rng.choice(['token = "', "api_key: ", "API key is ", "Authorization: Bearer ", "client_secret='", 'SECRET="'])
+        if rng.random() < 0.3:
+            value, head = rng.choice(["hunter2!x", "Pa55-wörd", "correct-horse"]), rng.choice(["password: ", "passwd=", 'pwd = "'])
+    else:
+        value = rng.choice(["https://u:p4ss@db.example.org/x", "mailto:a.b@c.example", "postgres://me:pw@10.0.0.1:5432/db", "tel:+4930123456", "ftp://anna@files.example/a"])
+        head = rng.choice(["", "at ", "link=", "("])
+    tail = '"' if head.endswith('"') else "'" if head.endswith("'") else ")" if head.endswith("(") and kind == "iban" else rng.choice([",", " and on", "\n", ""])
+    if kind == "url":
+        tail = rng.choice([" and on", "\n", ""])
+    return f"{word()} {head}{value}{tail}", value
+
+
+@pytest.mark.parametrize("kind", pii.ADDED)
+def test_recall_of_added_kinds(kind):
+    rng, finder, hits, more = random.Random(kind), pii.Finder(), 0, 0
+    for _ in range(400):
+        text, value = labelled(kind, rng)
+        found = [text[s:e] for k, s, e in finder.spans(text) if k == kind]
+        hits += value in found
+        more += len(found) - (value in found)
+    assert hits >= 0.95 * 400 and more <= 0.02 * 400
+
+
+def test_added_kinds_leave_plain_text_alone():
+    plain = "The token of thanks is a secret: we account for 12 of 345 ids. No password is needed, is it? DE or GB12 KEY 1234567890123456 in the API key section, iban unknown. Passport control took 20 minutes; bearer of news arrived. " * 3
+    assert pii.Finder().spans(plain) == []
+    code = iban_of("DE", random.Random(1))
+    wrong = [code[:-1] + str((int(code[-1]) + 1) % 10), "X" + code, code + "7", code[:10], code.lower()]
+    assert not [s for t in wrong for s in pii.Finder().spans(t) if s[0] == "iban"]
+    for text in (f"IBAN: {code}", f"iban {code}", f"pay to {code[:4]} {code[4:8]} {code[8:12]} {code[12:16]} {code[16:20]} {code[20:]}", f"account {code}."):
+        assert [k for k, _, _ in pii.Finder().spans(text) if k in pii.ADDED] == ["iban"]
+
+
 def test_personal_data_query(spark, awkward, no_rows, folder):
     docs = awkward.withColumn("text", F.when(F.col("doc_id") == 7, "é mail a.b@c.de 10.0.0.1 ").otherwise(F.col("text")))
     rows = {r.doc_id: r for r in pii.op6_anchor_pii(spark, folder(docs)).collect()}
     assert rows[7].spans == "email:7:15,ip:16:24" and rows[7].base_sha256 == hashlib.sha256(b"email:7:15,ip:16:24").hexdigest()
-    assert (rows[7].n_email, rows[7].n_ip, rows[7].n_card, rows[7].n_phone) == (1, 1, 0, 0)
+    assert (rows[7].n_email, rows[7].n_ip, rows[7].n_card, rows[7].n_phone, rows[7].n_spans) == (1, 1, 0, 0, 2)
     assert rows[3].spans == "" and rows[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert pii.find_spans(no_rows).count() == 0
 
