@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..schema import CURVE_GROUPS, SURFACE_GROUPS
+from ..schema import CURVE_GROUPS, PROFILE, SURFACE_GROUPS, empty_states
 from ..storage import ship
 from . import program, solids
 
-RAW_FACE = "face_idx:int,kind:string,area:double,centroid:array<double>,normal:array<double>,size:array<double>,num_wires:int,num_edges:int,reversed:boolean,uv_range:array<double>,inertia:array<double>"
-RAW_EDGE = "edge_idx:int,kind:string,length:double,midpoint:array<double>,tangent:array<double>,closed:boolean,degenerate:boolean,faces:array<int>"
+RAW_FACE = "face_idx:int,kind:string,area:double,centroid:array<double>,normal:array<double>,size:array<double>,num_wires:int,num_edges:int,reversed:boolean,uv_range:array<double>,inertia:array<double>,uv:array<float>"
+RAW_EDGE = "edge_idx:int,kind:string,length:double,midpoint:array<double>,tangent:array<double>,closed:boolean,degenerate:boolean,faces:array<int>,u:array<float>"
+RAW_ACTION = f"step:int,operation_name:string,args:array<string>,kwargs:array<struct<k:string,v:string>>,ref_kind:int,ref_entity_indices:array<bigint>,ref_points:array<array<double>>,ref_directions:array<array<double>>,profile:{PROFILE}"
 RESULT = (
     "part_id string, status string, error string, duration_s double, "
     f"ops array<struct<step:int,depth:int,op_name:string,args:array<string>,kwargs:array<struct<k:string,v:string>>>>, "
-    f"states array<struct<step:int,num_solids:int,volume:double,surface_area:double,bbox:array<double>,centre:array<double>,faces:array<struct<{RAW_FACE}>>,edges:array<struct<{RAW_EDGE}>>>>"
+    f"states array<struct<step:int,num_solids:int,volume:double,surface_area:double,bbox:array<double>,centre:array<double>,faces:array<struct<{RAW_FACE}>>,edges:array<struct<{RAW_EDGE}>>>>, actions array<struct<{RAW_ACTION}>>"
 )
 
 
@@ -34,8 +35,18 @@ def _text(value) -> str:
     return value if isinstance(value, str) else json.dumps(value)
 
 
-def run_part(code: str | None, timeout_s: float) -> tuple[str, str | None, float, list, list]:
-    """(status, error, seconds, ops, states); the limit is kept inside the task."""
+def _call(name: str, args: list, kwargs: list) -> dict:
+    return {"args": [_text(a) for a in args], "kwargs": [{"k": k, "v": _text(v)} for k, v in kwargs]}
+
+
+def _sampled(rows: list[dict], index: str, sampler: str, name: str, n: int) -> list[dict]:
+    """Numbered entities with their samples as a flat list, if any are asked for."""
+    return [{index: i, **{k: v for k, v in r.items() if k != sampler}, name: r[sampler](n).astype("float32").ravel().tolist() if n else None} for i, r in enumerate(rows)]
+
+
+def run_part(code: str | None, timeout_s: float, grid: int = 0, samples: int = 0) -> tuple[str, str | None, float, list, list, list]:
+    """(status, error, seconds, ops, states, actions); the limit is kept inside the task, outside
+    the main thread (which alone gets signals) only after the part is done."""
     began, old = time.perf_counter(), None
     limited = threading.current_thread() is threading.main_thread()
 
@@ -46,16 +57,18 @@ def run_part(code: str | None, timeout_s: float) -> tuple[str, str | None, float
         if limited:
             old = signal.signal(signal.SIGALRM, stop)
             signal.setitimer(signal.ITIMER_REAL, timeout_s)
-        built = solids.build(program.operations(code or ""))
-        ops, states, step = [], [], 0
-        for name, args, kwargs, state in built:
-            ops.append({"step": step, "depth": 0, "op_name": name, "args": [_text(a) for a in args], "kwargs": [{"k": k, "v": _text(v)} for k, v in kwargs]})
+        chain, calls = program.parse(code or "")
+        ops, states, actions, step = [], [], [], 0
+        for i, (name, args, kwargs) in enumerate(calls):
+            ops.append({"step": i, "depth": 0, "op_name": name} | _call(name, args, kwargs))
+        for name, args, kwargs, reference, state in solids.build(chain):
             if state:
+                actions.append({"step": step, "operation_name": name} | _call(name, args, kwargs) | reference)
                 step += 1
-                faces = [{"face_idx": i} | f for i, f in enumerate(state["faces"])]
-                edges = [{"edge_idx": i} | e for i, e in enumerate(state["edges"])]
-                states.append({k: state[k] for k in ("num_solids", "volume", "surface_area", "bbox", "centre")} | {"step": step, "faces": faces, "edges": edges})
-        return "success", None, time.perf_counter() - began, ops, states
+                states.append({k: state[k] for k in ("num_solids", "volume", "surface_area", "bbox", "centre")} | {"step": step, "faces": _sampled(state["faces"], "face_idx", "patch", "uv", grid), "edges": _sampled(state["edges"], "edge_idx", "curve", "u", samples)})
+        if time.perf_counter() - began > timeout_s:
+            stop()
+        return "success", None, time.perf_counter() - began, ops, states, actions
     except SyntaxError as e:
         status, error = "syntax_error", f"SyntaxError: {e}"
     except program.Unsupported as e:
@@ -68,16 +81,19 @@ def run_part(code: str | None, timeout_s: float) -> tuple[str, str | None, float
         if limited:
             signal.setitimer(signal.ITIMER_REAL, 0)
             signal.signal(signal.SIGALRM, old)
-    return status, error, time.perf_counter() - began, [], []
+    return status, error, time.perf_counter() - began, [], [], []
+
 
+def extract(parts: DataFrame, timeout_s: float = 15.0, grid: int = 0, samples: int = 0) -> DataFrame:
+    """One result row per part; write it or persist it, then take the tables from it.
 
-def extract(parts: DataFrame, timeout_s: float = 15.0) -> DataFrame:
-    """One result row per part; write it or persist it, then take the tables from it."""
+    With `grid` and `samples` faces get a grid of grid x grid samples and edges so many samples.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, *run_part(c, timeout_s)) for p, c in zip(batch["part_id"], batch["code"], strict=True)]
-            yield pd.DataFrame(rows, columns=["part_id", "status", "error", "duration_s", "ops", "states"])
+            rows = [(p, *run_part(c, timeout_s, grid, samples)) for p, c in zip(batch["part_id"], batch["code"], strict=True)]
+            yield pd.DataFrame(rows, columns=["part_id", "status", "error", "duration_s", "ops", "states", "actions"])
 
     ship(parts.sparkSession)
     return parts.select("part_id", "code").mapInPandas(run, RESULT)
@@ -111,7 +127,7 @@ def faces(results: DataFrame) -> DataFrame:
         [S.log_area("area"), S.aspect(d[0], d[1]), S.aspect(d[1], d[2]), S.diagonal(*d), S.flag(F.col("kind") != "plane"), S.flag(F.col("num_wires") > 1)],
     )
     key = F.concat_ws("/", "part_id", F.col("step").cast("string"), F.lit("f"), F.col("face_idx").cast("string"))
-    return f.select("part_id", "step", "face_idx", key.alias("face_key"), S.nan_to_num_array(vector).cast("array<float>").alias("features"))
+    return f.select("part_id", "step", "face_idx", key.alias("face_key"), S.nan_to_num_array(vector).cast("array<float>").alias("features"), "uv")
 
 
 def edges(results: DataFrame) -> DataFrame:
@@ -123,8 +139,30 @@ def edges(results: DataFrame) -> DataFrame:
     convex = S.convexity(n(0), n(1), "midpoint", "centre", F.size("faces"))
     vector = S.assemble(16, S.one_hot("kind", CURVE_GROUPS, 6), [S.symlog(F.greatest(F.lit(0.0), F.col("length")))], F.transform("midpoint", lambda x: S.squash(x)), S.normalize("tangent"), [S.flag(F.col("closed")), S.flag(F.col("degenerate")), convex])
     key = F.concat_ws("/", "part_id", F.col("step").cast("string"), F.lit("e"), F.col("edge_idx").cast("string"))
-    return e.select("part_id", "step", "edge_idx", key.alias("edge_key"), S.nan_to_num_array(vector).cast("array<float>").alias("features"))
+    return e.select("part_id", "step", "edge_idx", key.alias("edge_key"), S.nan_to_num_array(vector).cast("array<float>").alias("features"), "u")
 
 
 def statuses(results: DataFrame) -> DataFrame:
     return results.select("part_id", "status", "error", "duration_s")
+
+
+def with_start(results: DataFrame) -> DataFrame:
+    """States of every successful part with the empty one it starts from."""
+    done = results.where("status = 'success'").select("part_id")
+    return empty_states(done).unionByName(states(results))
+
+
+def actions(results: DataFrame) -> DataFrame:
+    """The action that led from each state to the next, in the schema's form."""
+    a = results.where("status = 'success'").select("part_id", F.explode("actions").alias("a")).select("part_id", "a.*")
+    summary = S.action_summary("ref_points", "ref_directions", S.numeric_args("args", "kwargs"))
+    a = a.withColumn("_s", summary).withColumn("_tool", F.when(S.normalize_op("operation_name").isin("union", "fuse", "intersect"), F.struct(F.get("args", F.lit(0)).alias("tool_type"))))
+    floats = lambda c: F.col(c).cast("array<float>").alias(c.split(".")[-1])
+    deep = lambda c: F.col(c).cast("array<array<float>>").alias(c)
+    return a.select("part_id", "step", "operation_name", S.command_id("operation_name").cast("int").alias("cmd_id"), floats("_s.params_raw"), floats("_s.params"), "_s.param_mask", "ref_kind", "ref_entity_indices", deep("ref_points"), deep("ref_directions"), "profile", F.col("_tool").cast("struct<tool_type:string>").alias("tool_geometry"))
+
+
+def trajectories(results: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row per successful part: where it came from (split, source_shard, source_row of `parts`) and its steps."""
+    done = results.where("status = 'success'").select("part_id", F.size("states").alias("num_steps"))
+    return done.join(parts.select("part_id", F.col("split").alias("source_split"), "source_shard", "source_row"), "part_id").select("part_id", "source_split", "source_shard", "source_row", "num_steps")

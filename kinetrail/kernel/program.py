@@ -49,10 +49,16 @@ def _chain(node: ast.AST, names: dict, chains: dict[str, list]) -> list | None:
 
 
 def operations(code: str) -> list[tuple[str, list, list]]:
-    """(name, args, kwargs) of the result's chain: the value of `result`, else `part`, else the last chain."""
+    """(name, args, kwargs) of the result's chain: the value of `result`, else `part`, else of the
+    name that was the first to be given a chain, else of the first chain."""
+    return parse(code)[0]
+
+
+def parse(code: str) -> tuple[list[tuple[str, list, list]], list[tuple[str, list, list]]]:
+    """The result's chain, and the calls of all chains in the order they are made."""
     names: dict = {}
     chains: dict[str, list] = {}
-    last = None
+    first, calls = None, []
     for node in ast.parse(code).body:
         if isinstance(node, (ast.Import, ast.ImportFrom)):
             continue
@@ -62,11 +68,19 @@ def operations(code: str) -> list[tuple[str, list, list]]:
         targets = [t.id for t in getattr(node, "targets", [getattr(node, "target", None)]) if isinstance(t, ast.Name)]
         found = _chain(value, names, chains)
         if found is not None:
-            last = found
+            first = first or found
+            calls += found[_known(value, chains) :]
             chains |= dict.fromkeys(targets, found)
         elif not isinstance(node, ast.Expr):
             names |= dict.fromkeys(targets, _literal(value, names))
-    found = chains.get("result", chains.get("part", last))
+    found = chains.get("result") or chains.get("part") or next(iter(chains.values()), first)
     if found is None:
         raise Unsupported("unsupported program: no workplane")
-    return found
+    return found, calls
+
+
+def _known(node: ast.AST, chains: dict[str, list]) -> int:
+    """How many calls of a chain were made before, under the name it starts from."""
+    while isinstance(node, ast.Call):
+        node = node.func.value if isinstance(node.func, ast.Attribute) else None
+    return len(chains[node.id]) if isinstance(node, ast.Name) and node.id in chains else 0

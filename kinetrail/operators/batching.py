@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
 
 
+@dataclass(frozen=True)
+class GraphBatch:
+    """Graphs of batches as one disjoint union: tables of `collate`, and sizes of each graph."""
+
+    graphs: DataFrame
+    faces: DataFrame
+    edges: DataFrame
+    face_adjacency: DataFrame
+    face_edge: DataFrame
+
+    @property
+    def sizes(self) -> DataFrame:
+        """batch_id, batch_pos, num_faces and num_adj (directed edges) of each graph."""
+        return self.graphs.select("batch_id", "batch_pos", "num_faces", "num_adj")
+
+    def reverse_ids(self) -> DataFrame:
+        """batch_id, adj_idx, reverse_idx of the union's directed edges."""
+        return self.face_adjacency.select("batch_id", "adj_idx", "reverse_idx")
+
+
 def assign_batches(samples: DataFrame, batch_size: int, order: list, within: list[str] | None = None, shuffle_seed: int | None = None, key: str | None = None) -> DataFrame:
     """batch_id and batch_pos of every sample, the last batch kept.
 
@@ -75,3 +97,24 @@ def collate(states: DataFrame, faces: DataFrame, edges: DataFrame, adjacency: Da
 def stack(samples: DataFrame, values: list[Column], batch: str = "batch_id", pos: str = "batch_pos") -> DataFrame:
     """Fixed-size columns of a batch as arrays in position order."""
     return samples.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(pos, *values))).alias("samples"))
+
+
+def transition_batch(samples: DataFrame, tables: dict[str, DataFrame], batch_size: int, order: list, step: str = "step", shuffle_seed: int | None = None) -> dict:
+    """Batches of transition samples (from `transitions.transitions`): the current and the next
+    states' graphs as unions, and the actions stacked by position.
+
+    `tables`: states, faces, edges, face_adjacency, face_edge. Each side's graphs are those of the
+    samples' states, numbered by the sample's place; a state that several samples share is in
+    each of them.
+    """
+    key = "_key" if shuffle_seed is not None else None
+    keyed = samples.withColumn("_key", F.concat_ws("/", "part_id", step)) if key else samples
+    placed = written(assign_batches(keyed, batch_size, order, shuffle_seed=shuffle_seed, key=key).drop("_key"), "placed-samples")
+
+    def side(at: str) -> GraphBatch:
+        batches = placed.select("part_id", F.col(at).alias(step), "batch_id", "batch_pos")
+        names = ("states", "faces", "edges", "face_adjacency", "face_edge")
+        return GraphBatch(**collate(*[tables[n] for n in names], batches))
+
+    actions = stack(placed, [F.col("sequence")])
+    return {"current": side(step), "next": side("target_step"), "actions": actions, "metadata": placed.select("batch_id", "batch_pos", "part_id", step, "target_step", "horizon", "num_steps")}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import percent
 from ..schema import STATUSES, dim_command, dim_ref_kind
+from .batching import global_rank
 
 
 def dense_histogram(rows: DataFrame, key: str, dim: DataFrame) -> DataFrame:
@@ -44,10 +45,23 @@ def shards_per_split(rows: DataFrame, split: str = "split", shard: str = "source
 
 
 def duration_stats(rows: DataFrame, duration: str = "duration_s", by: list[str] | None = None) -> DataFrame:
-    """Mean, median and 95th percentile (linear interpolation), 0 for no rows."""
-    x = F.col(duration)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.groupBy(*(by or [])).agg(F.count(x).alias("n"), zero(F.avg(x)).alias("mean"), zero(F.median(x)).alias("median"), zero(F.percentile(x, F.lit(0.95))).alias("p95"))
+    """Mean, median and 95th percentile (linear interpolation), 0 for no rows.
+
+    Exact at any size: rows are ranked over a range partitioning, so no task holds a group, and only
+    the rows at the wanted ranks, four at most of a group, meet the groups again.
+    """
+    by, x = list(by or []), F.col("_x")
+    ranked = global_rank(rows.select(*by, F.col(duration).cast("double").alias("_x")), [*by, x.asc_nulls_last()], "_rank")
+    groups = ranked.groupBy(*by).agg(F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.min("_rank").alias("_start"))
+    ends = []
+    for name, share in (("median", 0.5), ("p95", 0.95)):
+        at = (F.col("n") - 1) * F.lit(share)
+        low, high = F.floor(at), F.floor(at) + 1
+        ends += [F.struct(F.lit(name).alias("name"), (F.col("_start") + p).alias("_rank"), w.alias("weight")) for p, w in ((low, high - at), (F.least(high, F.col("n") - 1), at - low))]
+    wanted = groups.select(*by, "n", "mean", F.explode(F.array(*ends)).alias("e")).select(*by, "n", "mean", "e.name", F.when(F.col("n") > 0, F.col("e._rank")).alias("_rank"), "e.weight")
+    met = wanted.join(ranked.select("_rank", "_x"), "_rank", "left")
+    value = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("weight") * x)), F.lit(0.0)).alias(name)
+    return met.groupBy(*by, "n", "mean").agg(value("median"), value("p95"))
 
 
 def run_summary(statuses: DataFrame, transitions: Column) -> DataFrame:
@@ -93,6 +107,11 @@ def outer_wire(wires: DataFrame, keys: list[str], area: Column, index: str) -> D
     return wires.groupBy(*keys).agg(F.max_by(F.col(index), F.struct(area, -F.col(index))).alias("outer_index"), F.max(area).alias("outer_area"))
 
 
+def wires_by_area(wires: DataFrame, keys: list[str], area: Column, index: str) -> DataFrame:
+    """The wires of each profile from the largest box area down, ties by index; profiles are small."""
+    return wires.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct((-area).alias("a"), F.col(index).alias("i")))), lambda w: w["i"]).alias("wires"))
+
+
 def classify_wires(wires: DataFrame, keys: list[str], area: Column, index: str) -> DataFrame:
     return wires.join(outer_wire(wires, keys, area, index).select(*keys, "outer_index"), keys).withColumn("is_inner_loop", F.col(index) != F.col("outer_index")).drop("outer_index")
 

@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import preprocess
 from ..config import compose
 from ..functions import scalar as S
 from ..kernel import extract
 from ..nn import encoder
 from ..operators import batching, graph, messages, stats, transitions, validate
-from ..schema import ALIASES, COMMANDS
+from ..schema import ALIASES, COMMANDS, SCHEMA_VERSION, blank_images, empty_states
 from ..sources import parts, shards
 from ..storage import rows_per_batch, work_path, written
 from ..streaming import oplog
@@ -210,12 +211,16 @@ def linspace_samples(spark, sf_dir):
 INCIDENCE = "inc AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS f FROM lineitem)"
 ADJACENCY = INCIDENCE + """,
 pairs AS (SELECT a.f AS src, b.f AS dst, a.e AS edge_idx FROM inc a JOIN inc b ON a.e = b.e AND a.f <> b.f),
-adj AS (SELECT *, row_number() OVER (PARTITION BY edge_idx % 97 ORDER BY src, dst, edge_idx) - 1 AS adj_idx, edge_idx % 97 AS g FROM pairs)"""
+adj AS (SELECT *, row_number() OVER (PARTITION BY edge_idx // 1000 ORDER BY src, dst, edge_idx) - 1 AS adj_idx, edge_idx // 1000 AS g FROM pairs)"""
+
+
+def _graph_of(edge: str):
+    return F.floor(F.col(edge) / 1000).alias("g")
 
 
 def _face_edge(spark, sf_dir) -> DataFrame:
-    """97 graphs: edge keys by remainder."""
-    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97).alias("g"), F.col("l_suppkey").alias("face_idx"), F.col("l_orderkey").alias("edge_idx"))
+    """A graph for every thousand edge keys, so that there are more graphs in larger tables."""
+    return table(spark, sf_dir, "lineitem").select(_graph_of("l_orderkey"), F.col("l_suppkey").alias("face_idx"), F.col("l_orderkey").alias("edge_idx"))
 
 
 def _adjacency(spark, sf_dir) -> DataFrame:
@@ -238,7 +243,11 @@ def face_adjacency(spark, sf_dir):
     return graph.adjacency(_face_edge(spark, sf_dir), keys=["g"], reverse=False).select("g", big("adj_idx").alias("adj_idx"), "src", "dst", "edge_idx")
 
 
-@query(f"WITH {ADJACENCY} SELECT a.g, a.adj_idx::BIGINT AS adj_idx, coalesce(b.adj_idx, a.adj_idx)::BIGINT AS reverse_idx FROM adj a LEFT JOIN adj b ON a.g = b.g AND a.src = b.dst AND a.dst = b.src AND a.edge_idx = b.edge_idx")
+#: Both directions of an edge are there, so a row's rank by (dst, src, edge) is its reverse's by (src, dst, edge).
+REVERSED = ADJACENCY + ", rev AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY dst, src, edge_idx) - 1 AS reverse_idx FROM adj)"
+
+
+@query(f"WITH {REVERSED} SELECT g, adj_idx::BIGINT AS adj_idx, reverse_idx::BIGINT AS reverse_idx FROM rev")
 def reverse_edge_index(spark, sf_dir):
     return _adjacency(spark, sf_dir).select("g", big("adj_idx").alias("adj_idx"), big("reverse_idx").alias("reverse_idx"))
 
@@ -249,14 +258,14 @@ def reverse_edge_simple(spark, sf_dir):
     return graph.with_reverse(adj, ["g"], simple=True).select("g", big("adj_idx").alias("adj_idx"), big("reverse_idx").alias("reverse_idx"))
 
 
-@query(f"WITH {ADJACENCY} SELECT a.g, a.adj_idx::BIGINT AS adj_idx, a.src, a.dst FROM adj a JOIN adj b ON a.g = b.g AND a.src = b.dst AND a.dst = b.src AND a.edge_idx = b.edge_idx WHERE a.adj_idx < b.adj_idx")
+@query(f"WITH {REVERSED} SELECT g, adj_idx::BIGINT AS adj_idx, src, dst FROM rev WHERE adj_idx < reverse_idx")
 def undirected_edges(spark, sf_dir):
     return graph.undirected(_adjacency(spark, sf_dir)).select("g", big("adj_idx").alias("adj_idx"), "src", "dst")
 
 
 @query(f"WITH {ADJACENCY} SELECT g, adj_idx::BIGINT AS adj_idx, round(o_totalprice, 2) AS price, o_orderstatus AS kind FROM adj JOIN orders ON o_orderkey = edge_idx")
 def directed_edge_features(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("g"), F.col("o_orderkey").alias("edge_idx"), F.round("o_totalprice", 2).alias("price"), F.col("o_orderstatus").alias("kind"))
+    edges = table(spark, sf_dir, "orders").select(_graph_of("o_orderkey"), F.col("o_orderkey").alias("edge_idx"), F.round("o_totalprice", 2).alias("price"), F.col("o_orderstatus").alias("kind"))
     adj = graph.adjacency(_face_edge(spark, sf_dir), keys=["g"], reverse=False)
     return graph.gather_edges(adj, edges, ["g"]).select("g", big("adj_idx").alias("adj_idx"), "price", "kind")
 
@@ -295,7 +304,7 @@ WITH o AS (SELECT o_orderkey, min(l_suppkey) AS f FROM orders LEFT JOIN lineitem
 SELECT o_orderkey AS edge_key, coalesce(f, 0) AS ref_entity_idx, true AS matched FROM o
 """)
 def reference_match_edges(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("g"), F.col("o_orderkey").alias("edge_key"), F.col("o_orderkey").alias("edge_idx"))
+    edges = table(spark, sf_dir, "orders").select(_graph_of("o_orderkey"), F.col("o_orderkey").alias("edge_key"), F.col("o_orderkey").alias("edge_idx"))
     return graph.match_edges(edges.drop("edge_idx"), edges, _face_edge(spark, sf_dir), ["g"]).select("edge_key", "ref_entity_idx", "matched")
 
 
@@ -413,14 +422,14 @@ def local_frame(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT s_suppkey, s_suppkey % 7 + 1.0::DOUBLE AS w, s_suppkey % 3 + 1.0::DOUBLE AS h FROM supplier), t AS (SELECT *, k * (w + h) / 8 AS d FROM s, range(0, 16) r(k))
+WITH s AS (SELECT s_suppkey, s_suppkey % 7 + 1.0::DOUBLE AS w, s_suppkey % 3 + 1.0::DOUBLE AS h FROM supplier), t AS (SELECT *, k * (w + h) / 32 AS d FROM s, range(0, 64) r(k))
 SELECT s_suppkey, k::BIGINT AS k, round(CASE WHEN d <= w THEN d WHEN d <= w + h THEN w WHEN d <= 2 * w + h THEN 2 * w + h - d ELSE 0 END, 6) + 0.0::DOUBLE AS x, round(CASE WHEN d <= w THEN 0 WHEN d <= w + h THEN d - w WHEN d <= 2 * w + h THEN h ELSE 2 * w + 2 * h - d END, 6) + 0.0::DOUBLE AS y FROM t
 """)
 def profile_resample(spark, sf_dir):
     """Points at equal arc lengths of rectangles."""
     w, h, zero = (F.col("s_suppkey") % 7 + 1).cast("double"), (F.col("s_suppkey") % 3 + 1).cast("double"), F.lit(0.0)
     ring = F.array(F.array(zero, zero), F.array(w, zero), F.array(w, h), F.array(zero, h))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(S.resample(ring, 16)).alias("k", "p"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(S.resample(ring)).alias("k", "p"))
     return rows.select("s_suppkey", big("k").alias("k"), r(F.get("p", F.lit(0))).alias("x"), r(F.get("p", F.lit(1))).alias("y"))
 
 
@@ -466,7 +475,7 @@ def disjoint_union_edges(spark, sf_dir):
     return batching.shift(edges, graphs, ["conv_id"], {"src": "face_offset", "dst": "face_offset"}).select(*[big(c).alias(c) for c in ("batch_id", "src", "dst")])
 
 
-@query(f"WITH {BATCHES} SELECT batch_id::BIGINT AS batch_id, batch_pos::BIGINT AS batch_pos, node::BIGINT AS node FROM o, range(0, 100) r(node) WHERE node < num_faces")
+@query(f"WITH {BATCHES} SELECT batch_id::BIGINT AS batch_id, batch_pos::BIGINT AS batch_pos, node::BIGINT AS node FROM (SELECT *, unnest(range(0, num_faces)) AS node FROM o)")
 def batch_vector(spark, sf_dir):
     return batching.batch_vector(_graph_batches(spark, sf_dir), "num_faces").select(*[big(c).alias(c) for c in ("batch_id", "batch_pos", "node")])
 
@@ -622,9 +631,9 @@ def message_pass_mean(spark, sf_dir):
     return _messages(spark, sf_dir, "mean")
 
 
-def _nn_conv_sql(edges: str) -> str:
+def _nn_conv_sql() -> str:
     return f"""
-WITH {INCIDENCE}, pairs AS (SELECT a.f AS src, b.f AS dst, a.e FROM inc a JOIN inc b ON a.e = b.e AND a.f <> b.f{edges}),
+WITH {INCIDENCE}, pairs AS (SELECT a.f AS src, b.f AS dst, a.e FROM inc a JOIN inc b ON a.e = b.e AND a.f <> b.f),
 n AS (SELECT s_suppkey AS f, (s_suppkey % 5)::DOUBLE AS h0, (s_suppkey % 3)::DOUBLE AS h1 FROM supplier),
 m AS (SELECT dst, sum(h0 * (e % 4) + h1) AS o0, sum(h0 + h1 * (e % 7)) AS o1 FROM pairs JOIN n ON f = src GROUP BY 1)
 SELECT f AS face_idx, (coalesce(o0, 0) + 0.5 * h0 + 1)::DOUBLE AS o0, (coalesce(o1, 0) + 2 * h1 - 1)::DOUBLE AS o1 FROM n LEFT JOIN m ON dst = f
@@ -640,18 +649,12 @@ def _nn_conv(spark, sf_dir, face_edge: DataFrame) -> DataFrame:
     return out.select("face_idx", F.get("h", F.lit(0)).alias("o0"), F.get("h", F.lit(1)).alias("o1"))
 
 
-@query(_nn_conv_sql(" WHERE a.e % 10 = 3"))
+@query(_nn_conv_sql())
 def nn_conv_sum(spark, sf_dir):
-    """Over the edges that its SQL takes, one in ten; nn_conv_sum_all takes every edge."""
-    return _nn_conv(spark, sf_dir, _face_edge(spark, sf_dir).where("edge_idx % 10 = 3"))
-
-
-@query(_nn_conv_sql(""))
-def nn_conv_sum_all(spark, sf_dir):
     return _nn_conv(spark, sf_dir, _face_edge(spark, sf_dir))
 
 
-@query(f"WITH {ADJACENCY} SELECT a.g, a.adj_idx::BIGINT AS adj_idx, (a.src + 2 * a.dst + b.src + 2 * b.dst)::DOUBLE AS fused FROM adj a JOIN adj b ON a.g = b.g AND a.src = b.dst AND a.dst = b.src AND a.edge_idx = b.edge_idx")
+@query(f"WITH {ADJACENCY} SELECT g, adj_idx::BIGINT AS adj_idx, ((src + 2 * dst) + (dst + 2 * src))::DOUBLE AS fused FROM adj")
 def fuse_reverse(spark, sf_dir):
     adj = _adjacency(spark, sf_dir).withColumn("x", F.array((F.col("src") + 2 * F.col("dst")).cast("double")))
     return messages.fuse(adj, "x", ["g"]).select("g", big("adj_idx").alias("adj_idx"), F.get("x", F.lit(0)).alias("fused"))
@@ -702,8 +705,13 @@ UNION ALL SELECT event_id::VARCHAR, 'action.params.shape', (12 - (event_id % 2))
 def violations_action(spark, sf_dir):
     n = F.lit(12) - (F.col("event_id") % 2).cast("int")
     params = F.transform(F.sequence(F.lit(1), n), lambda i: F.when((F.col("event_id") % 11 == 0) & (i == 1), float("nan")).otherwise(0.5))
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 18).alias("cmd_id"), params.alias("params"))
-    return validate.check(rows, ["event_id"], {"action.cmd_id": ((F.col("cmd_id") < 0) | (F.col("cmd_id") >= len(COMMANDS)), F.col("cmd_id")), "action.params.finite": (~S.all_finite("params"), F.lit("params")), "action.params.shape": (F.size("params") != 12, F.size("params"))})
+    full = lambda x: F.array_repeat(F.lit(x), 12)
+    three = F.array(F.array_repeat(F.lit(0.0), 3))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("part_id"), F.lit(0).alias("step"), (F.col("event_id") % 18).alias("cmd_id"), full(0.5).alias("params_raw"), params.alias("params"), full(True).alias("param_mask"),
+        F.lit(1).alias("ref_kind"), F.array(F.lit(0)).alias("ref_entity_indices"), three.alias("ref_points"), three.alias("ref_directions"), F.lit("box").alias("operation_name"),
+    )
+    return validate.actions(rows).select(F.substring_index("entity", "/", 1).alias("entity"), "rule", "detail")
 
 
 # --- op streams ------------------------------------------------------------
@@ -754,16 +762,8 @@ def windowed_histogram(spark, sf_dir):
 # --- sources and sinks -----------------------------------------------------
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 50 = 0")
-def lineage_lookup(spark, sf_dir):
-    """The references that its SQL takes, one in fifty; lineage_lookup_all traces every row."""
-    raw = parts.full_rows(spark, f"{sf_dir}/orders.parquet")
-    references = raw.where("o_orderkey % 50 = 0").select("source_shard", "source_row")
-    return parts.trace_back(references, raw).select("o_orderkey", "o_orderstatus")
-
-
 @query("SELECT o_orderkey, o_orderkey AS found_orderkey, o_orderstatus FROM orders")
-def lineage_lookup_all(spark, sf_dir):
+def lineage_lookup(spark, sf_dir):
     """Every row's reference, with the key it was taken from, traced back to the raw row."""
     raw = parts.full_rows(spark, f"{sf_dir}/orders.parquet")
     references = raw.select("o_orderkey", "source_shard", "source_row")
@@ -862,14 +862,287 @@ def program_graphs(spark, sf_dir):
 
 @query()
 def encoder_embeddings(spark, sf_dir):
-    """Encoder inference over every extracted part at the configured sizes, with synthetic grids."""
+    """Encoder inference over every extracted part at the configured sizes."""
     config = compose()
     data, model = config["data"], config["model"]
-    results = written(extract.extract(_programs(spark, sf_dir)), "extracted")
-    wave = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin(i.cast("double")))
-    faces = extract.faces(results).withColumn("uv", wave(data["surface_channels"] * data["uv_grid"] ** 2))
-    edges = extract.edges(results).withColumn("u", wave(data["curve_channels"] * data["curve_samples"]))
+    with rows_per_batch(spark, 64):  # a part's grids are some 50 KB
+        results = written(extract.extract(_programs(spark, sf_dir), grid=data["uv_grid"], samples=data["curve_samples"]), "extracted")
+    faces, edges = extract.faces(results), extract.edges(results)
     sizes = {"pointer": model["pointer_dims"], "outputs": model["output_dims"], "heads": model["heads"], "rounds": model["layers"], "seed": model["seed"]}
     out = encoder.embed(faces, graph.adjacency(extract.face_edge(results)), edges, data["uv_grid"], data["curve_samples"], **sizes)
     with rows_per_batch(spark, 64):  # a graph's grids are about 100 KB
         return written(out.select("part_id", "kind", "idx", r(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).alias("total")), "embeddings")
+
+
+def _plates(spark, sf_dir) -> DataFrame:
+    """Part keys as programs of several steps: a box, a hole through its upper face, a round cut beside it."""
+    size = (F.col("p_size") + 20).cast("string")
+    code = F.concat(F.lit("result = cq.Workplane('XY').box("), size, F.lit(", 20, 5).faces('>Z').workplane().hole(4).faces('>Z').workplane().center(7, 0).circle(1.5).cutThruAll()"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("part_id"), code.alias("code"), F.lit("train").alias("split"), F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("source_shard"), F.col("p_partkey").alias("source_row"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey::VARCHAR AS part_id, (p_size + 20)::DOUBLE AS a FROM part)
+SELECT part_id, 0::BIGINT AS step, 'box' AS operation, 6::BIGINT AS cmd_id, 1::BIGINT AS ref_kind, 0::BIGINT AS ref_idx, a AS first_arg, 3::BIGINT AS numbers, 0.0::DOUBLE AS ref_z, 0::BIGINT AS wires, 0.0::DOUBLE AS wire_length, round(sign(a) * ln(1 + abs(a)), 4) AS scaled FROM p
+UNION ALL SELECT part_id, 1, 'hole', 2, 2, 1, 4, 1, 2.5, 0, 0, round(ln(5::DOUBLE), 4) FROM p
+UNION ALL SELECT part_id, 2, 'cutThruAll', 1, 2, 1, 0, 0, 2.5, 1, round(3 * pi(), 4), 0 FROM p
+""")
+def program_actions(spark, sf_dir):
+    """Actions taken from programs: command, reference, arguments and pending profile."""
+    a = extract.actions(extract.extract(_plates(spark, sf_dir)))
+    number = lambda c, i: F.get(c, F.lit(i)).cast("double")
+    return a.select(
+        "part_id", big("step").alias("step"), F.col("operation_name").alias("operation"), big("cmd_id").alias("cmd_id"), big("ref_kind").alias("ref_kind"), F.get("ref_entity_indices", F.lit(0)).alias("ref_idx"), number("params_raw", 6).alias("first_arg"),
+        big(F.size(F.filter(F.slice("param_mask", 7, 6), lambda x: x))).alias("numbers"), number("params_raw", 2).alias("ref_z"), big(F.coalesce("profile.num_wires", F.lit(0))).alias("wires"), r(F.coalesce("profile.total_wire_length", F.lit(0.0)), 4).alias("wire_length"), r(number("params", 6), 4).alias("scaled"),
+    )
+
+
+@query("""
+WITH p AS (SELECT p_partkey::VARCHAR AS part_id, (p_size + 20)::DOUBLE AS a FROM part), s AS (SELECT unnest([1, 2, 3]) AS step)
+SELECT part_id, step::BIGINT AS step, (5 + step)::BIGINT AS num_faces, (9 + 3 * step)::BIGINT AS num_edges,
+  round(100 * a - 5 * pi() * (CASE WHEN step > 1 THEN 4 ELSE 0 END + CASE WHEN step > 2 THEN 2.25 ELSE 0 END), 3) AS volume,
+  round(2 * (20 * a + 5 * a + 100) - 2 * pi() * (CASE WHEN step > 1 THEN 4 ELSE 0 END + CASE WHEN step > 2 THEN 2.25 ELSE 0 END) + 10 * pi() * (CASE WHEN step > 1 THEN 2 ELSE 0 END + CASE WHEN step > 2 THEN 1.5 ELSE 0 END), 3) AS surface_area FROM p, s
+""")
+def program_steps(spark, sf_dir):
+    """States of programs of several steps."""
+    found = extract.states(extract.extract(_plates(spark, sf_dir)))
+    return found.select("part_id", *[big(c).alias(c) for c in ("step", "num_faces", "num_edges")], r("volume", 3).alias("volume"), r("surface_area", 3).alias("surface_area"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey::VARCHAR AS part_id, p_partkey % 5 AS kind, (p_size + 1)::DOUBLE AS s FROM part WHERE p_partkey % 5 < 2),
+f AS (
+  SELECT part_id, i AS face_idx, CASE WHEN i < 2 THEN s * 20 WHEN i IN (2, 4) THEN s * 30 ELSE 600 END::DOUBLE AS area,
+    CASE i WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END::DOUBLE AS normal_z, CASE i WHEN 2 THEN -1 WHEN 4 THEN 1 ELSE 0 END::DOUBLE AS normal_y,
+    CASE WHEN i < 2 THEN s * 20 * 400 / 12 WHEN i IN (2, 4) THEN s * 30 * 900 / 12 ELSE 600 * 1300.0 / 12 END::DOUBLE AS ixx,
+    CASE WHEN i < 2 THEN s * 20 * (s * s + 400) / 12 WHEN i IN (2, 4) THEN s * 30 * s * s / 12 ELSE 600 * 400.0 / 12 END::DOUBLE AS izz, CASE WHEN i < 2 THEN s WHEN i IN (2, 4) THEN s ELSE 20 END::DOUBLE AS u_len, 4::BIGINT AS num_edges
+  FROM p, range(0, 6) r(i) WHERE kind = 0
+  UNION ALL SELECT part_id, i, CASE WHEN i = 0 THEN 8 * pi() * s ELSE pi() * s * s END, CASE i WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END, 0,
+    CASE WHEN i = 0 THEN 8 * pi() * s * (s * s / 2 + 16 / 12.0::DOUBLE) ELSE pi() * s * s * s * s / 4 END, CASE WHEN i = 0 THEN 8 * pi() * s * s * s ELSE pi() * s * s * s * s / 2 END, CASE WHEN i = 0 THEN 2 * pi() ELSE 2 * s END, CASE WHEN i = 0 THEN 3 ELSE 1 END
+  FROM p, range(0, 3) r(i) WHERE kind = 1
+)
+SELECT part_id, face_idx::BIGINT AS face_idx, round(area / greatest(1, area), 4) AS area_share, round(ln(1 + area), 3) AS log_area, normal_y + 0.0::DOUBLE AS normal_y, normal_z + 0.0::DOUBLE AS normal_z, round(ln(1 + ixx), 3) AS log_ixx, round(ln(1 + izz), 3) AS log_izz, round(u_len, 3) AS u_len, num_edges FROM f
+""")
+def face_values(spark, sf_dir):
+    """Values of face features: area, mid normal, moments of inertia, parameter span, edge count."""
+    found = extract.faces(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 5 < 2")))
+    at = lambda i: F.get("features", F.lit(i)).cast("double")
+    return found.select(
+        "part_id", big("face_idx").alias("face_idx"), r(at(8) / F.greatest(F.lit(1.0), at(8)), 4).alias("area_share"), r(at(26), 3).alias("log_area"), r(at(13), 3).alias("normal_y"), r(at(14), 3).alias("normal_z"),
+        r(F.log1p(at(23)), 3).alias("log_ixx"), r(F.log1p(at(25)), 3).alias("log_izz"), r(at(21), 3).alias("u_len"), big(at(19)).alias("num_edges"),
+    )
+
+
+@query("""
+WITH p AS (SELECT p_partkey::VARCHAR AS part_id, p_partkey % 5 AS kind, (p_size + 1)::DOUBLE AS s FROM part WHERE p_partkey % 5 IN (0, 1))
+SELECT part_id, i::BIGINT AS edge_idx, round(CASE WHEN i % 3 = 2 THEN ln(31::DOUBLE) WHEN i // 3 % 2 = 0 THEN ln(1 + s) ELSE ln(21::DOUBLE) END, 4) AS length, 1.0::DOUBLE AS convexity, 0.0::DOUBLE AS closed, round(CASE WHEN i % 3 = 2 THEN 30 WHEN i // 3 % 2 = 0 THEN s ELSE 20 END, 3)::DOUBLE AS way FROM p, range(0, 12) r(i) WHERE kind = 0
+UNION ALL SELECT part_id, i, round(CASE WHEN i < 2 THEN ln(1 + 2 * pi() * s) ELSE ln(5::DOUBLE) END, 4), CASE WHEN i < 2 THEN 1 ELSE 0 END, CASE WHEN i < 2 THEN 1 ELSE 0 END, CASE WHEN i < 2 THEN 0 ELSE 4 END FROM p, range(0, 3) r(i) WHERE kind = 1
+""")
+def edge_values(spark, sf_dir):
+    """Values of edge features, and the distance between the first and the last curve sample."""
+    found = extract.edges(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 5 < 2"), samples=5))
+    at = lambda i: F.get("features", F.lit(i)).cast("double")
+    step = lambda c: F.get("u", F.lit(5 * c + 4)).cast("double") - F.get("u", F.lit(5 * c)).cast("double")
+    return found.select("part_id", big("edge_idx").alias("edge_idx"), r(at(6), 4).alias("length"), r(at(15)).alias("convexity"), r(at(13)).alias("closed"), r(S.diagonal(step(0), step(1), step(2)), 3).alias("way"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey::VARCHAR AS part_id, (p_size + 1)::DOUBLE AS s FROM part WHERE p_partkey % 5 = 1), g AS (SELECT part_id, s, u, v, hypot AS d FROM (SELECT *, sqrt((u * 2 / 8.0::DOUBLE - 1) ^ 2 + (v * 2 / 8.0::DOUBLE - 1) ^ 2) AS hypot FROM p, range(0, 9) a(u), range(0, 9) b(v)))
+SELECT part_id, 0::BIGINT AS face_idx, 81::BIGINT AS inside, round(81 * 2, 2)::DOUBLE AS sum_z, 81.0::DOUBLE AS normals FROM p
+UNION ALL SELECT part_id, f, count(*) FILTER (d <= 1 + 1e-9)::BIGINT, round(count(*) FILTER (d <= 1 + 1e-9) * CASE WHEN f = 1 THEN 0 ELSE 4 END, 2)::DOUBLE, (count(*) FILTER (d <= 1 + 1e-9))::DOUBLE FROM g, (SELECT unnest([1, 2]) AS f) GROUP BY part_id, f
+""")
+def surface_grids(spark, sf_dir):
+    """Grid samples of cylinders: cells inside the trim, heights, lengths of the normals."""
+    found = extract.faces(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 5 = 1"), grid=9))
+    channel = lambda c: F.transform(S.at_grid("uv", c, 9, 9), lambda x: x.cast("double"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    squares = F.zip_with(F.zip_with(channel(3), channel(4), lambda a, b: a * a + b * b), channel(5), lambda a, b: a + b * b)
+    return found.select("part_id", big("face_idx").alias("face_idx"), big(F.round(total(channel(6)))).alias("inside"), r(total(channel(2)), 2).alias("sum_z"), r(total(squares), 3).alias("normals"))
+
+
+@query("SELECT p_partkey::VARCHAR AS part_id, 0::BIGINT AS violations FROM part")
+def extracted_violations(spark, sf_dir):
+    """All rules of states, actions and trajectories on tables extracted from programs."""
+    rows = _plates(spark, sf_dir)
+    with rows_per_batch(spark, 512):
+        results = written(extract.extract(rows, grid=2, samples=2), "extracted")
+    states, inc, actions = extract.with_start(results), extract.face_edge(results), extract.actions(results)
+    bad = validate.states(states, extract.faces(results), extract.edges(results), graph.adjacency(inc), inc, grid=2, samples=2)
+    bad = bad.unionByName(validate.actions(actions)).unionByName(validate.trajectories(extract.trajectories(results, rows), states, actions)).unionByName(validate.empty_start(states))
+    n = bad.groupBy(F.substring_index("entity", "/", 1).alias("part_id")).agg(F.count(F.lit(1)).alias("violations"))
+    return rows.select("part_id").join(n, "part_id", "left").select("part_id", big(F.coalesce("violations", F.lit(0))).alias("violations"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey // 5 % 6 AS fault FROM part WHERE p_partkey % 5 = 0)
+SELECT k || '/1' AS entity, 'state.required.volume' AS rule, 'volume' AS detail FROM p WHERE fault = 0
+UNION ALL SELECT k || '/1', 'faces.count', '5!=6' FROM p WHERE fault = 1
+UNION ALL SELECT k || '/1/' || i, 'uv_mask.binary', 'mask' FROM p, range(0, 6) r(i) WHERE fault = 2
+UNION ALL SELECT k || '/1/0', 'edges.u.shape', '3' FROM p WHERE fault = 3
+UNION ALL SELECT k || '/1/' || i, 'adjacency.src', (i // 4 + 5)::VARCHAR FROM p, range(4, 24) r(i) WHERE fault = 4
+UNION ALL SELECT k || '/1/99/0', 'incidence.face', '99' FROM p WHERE fault = 5
+""")
+def violations_state(spark, sf_dir):
+    """Rules of states on extracted boxes with a fault each, by part key."""
+    with rows_per_batch(spark, 512):
+        results = written(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 5 = 0"), grid=2, samples=2), "extracted")
+    fault = F.floor(F.col("part_id").cast("int") / 5) % 6
+    inc = extract.face_edge(results)
+    first = F.col("edge_idx") == 0
+    states = extract.states(results).withColumn("volume", F.when(fault != 0, F.col("volume")))
+    faces = extract.faces(results).where((fault != 1) | (F.col("face_idx") > 0)).withColumn("uv", F.when(fault == 2, F.array_repeat(F.lit(0.5).cast("float"), 28)).otherwise(F.col("uv")))
+    edges = extract.edges(results).withColumn("u", F.when((fault == 3) & first, F.slice("u", 1, 3)).otherwise(F.col("u")))
+    adj = graph.adjacency(inc).withColumn("src", F.when(fault == 4, F.col("src") + 5).otherwise(F.col("src")))
+    broken = inc.where((fault != 5) | ~first).unionByName(inc.where((fault == 5) & first).withColumn("face_idx", F.lit(99)).distinct())
+    return validate.states(states, faces, edges, adj, broken, grid=2, samples=2)
+
+
+@query("SELECT s_suppkey::VARCHAR AS entity, 'shard.version' AS rule, '0.' || s_suppkey % 4 || '.0' AS detail FROM supplier WHERE s_suppkey % 4 <> 3")
+def violations_shard(spark, sf_dir):
+    version = F.concat(F.lit("0."), (F.col("s_suppkey") % 4).cast("string"), F.lit(".0"))
+    assert SCHEMA_VERSION == "0.3.0"
+    return validate.shards(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_shard"), version.alias("schema_version")))
+
+
+@query("SELECT p_partkey::VARCHAR AS entity, 's0.volume' AS rule, '1.5' AS detail FROM part WHERE p_partkey % 9 = 0")
+def violations_start(spark, sf_dir):
+    """Starts are empty but for every ninth part's volume."""
+    parts_of = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("part_id"))
+    return validate.empty_start(empty_states(parts_of).withColumn("volume", F.when(F.col("part_id").cast("int") % 9 == 0, 1.5).otherwise(F.col("volume").cast("double"))))
+
+
+@query("SELECT s_suppkey || '/' || v AS entity, 's0.canvas' AS rule, 'pixels' AS detail FROM supplier, (SELECT unnest(['iso', 'front', 'top', 'right']) AS v) WHERE s_suppkey % 5 = 0")
+def violations_canvas(spark, sf_dir):
+    """Blank canvases of the start, one pixel of which differs for every fifth part."""
+    canvases = blank_images(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("part_id")), 2)
+    return validate.blank_start(canvases.withColumn("pixels", F.when(F.col("part_id") % 5 == 0, F.concat(F.col("pixels"), F.unhex(F.lit("00")))).otherwise(F.col("pixels"))))
+
+
+@query("SELECT event_id::VARCHAR AS entity, 'symlog.round_trip' AS rule, 'NaN' AS detail FROM events WHERE event_id % 100 = 7")
+def violations_symlog(spark, sf_dir):
+    """Symlog and back: only what is not a number does not return."""
+    value = F.when(F.col("event_id") % 100 == 7, float("nan")).otherwise(F.col("value"))
+    return validate.symlog_round_trip(table(spark, sf_dir, "events").select("event_id", value.alias("value")), ["event_id"], "value")
+
+
+@query("SELECT p_partkey::VARCHAR AS part_id, CASE WHEN p_partkey % 5 < 3 THEN 'stored' ELSE 'reported' END AS route FROM part")
+def routed_statuses(spark, sf_dir):
+    """Results by status: successes to be stored, all others to be reported."""
+    good, bad = stats.route_by_status(extract.statuses(written(extract.extract(_programs(spark, sf_dir)), "extracted")))
+    return good.select("part_id", F.lit("stored").alias("route")).unionByName(bad.select("part_id", F.lit("reported").alias("route")))
+
+
+@query("SELECT op_name, count(*)::BIGINT AS n FROM (SELECT unnest(CASE p_partkey % 5 WHEN 0 THEN ['Workplane', 'box'] WHEN 1 THEN ['Workplane', 'circle', 'extrude'] WHEN 2 THEN ['Workplane', 'polyline', 'close', 'extrude'] ELSE [] END) AS op_name FROM part) GROUP BY 1")
+def program_ops(spark, sf_dir):
+    """Operation log of programs: one row a call."""
+    return extract.op_log(extract.extract(_programs(spark, sf_dir))).groupBy("op_name").agg(big(F.count(F.lit(1))).alias("n"))
+
+
+@query("SELECT vec_id, k::BIGINT AS k, round((embedding[k + 2] - embedding[k + 1])::DOUBLE, 5) + 0.0::DOUBLE AS delta FROM (SELECT *, unnest(range(0, 3)) AS k FROM embeddings)")
+def vector_delta(spark, sf_dir):
+    """Difference of two vectors, entry by entry."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("now"), F.slice("embedding", 2, 3).alias("later"))
+    return rows.select("vec_id", F.posexplode(transitions.delta("now", "later")).alias("k", "delta")).select("vec_id", big("k").alias("k"), r(F.col("delta").cast("double"), 5).alias("delta"))
+
+
+@query("""
+WITH g AS (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // 16 AS batch_id, (row_number() OVER (ORDER BY conv_id) - 1) % 16 AS pos, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT batch_id::BIGINT AS batch_id, string_agg(conv_id || ':' || n, ',' ORDER BY pos) AS stacked FROM g GROUP BY 1
+""")
+def batch_stack(spark, sf_dir):
+    """Fixed-size values of a batch in the order of their places."""
+    stacked = batching.stack(_graph_batches(spark, sf_dir), [F.concat_ws(":", F.col("conv_id").cast("string"), F.col("num_faces").cast("string")).alias("value")])
+    return stacked.select(big("batch_id").alias("batch_id"), F.array_join("samples.value", ",").alias("stacked"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey::VARCHAR AS part_id FROM part), s AS (SELECT part_id, unnest([0, 1, 2]) AS step FROM p), b AS (SELECT *, (row_number() OVER (ORDER BY part_id, step) - 1) // 16 AS batch_id, (row_number() OVER (ORDER BY part_id, step) - 1) % 16 AS pos FROM s),
+o AS (SELECT *, CASE WHEN step = 0 THEN 0 ELSE 5 + step END AS now, 6 + step AS later FROM b)
+SELECT batch_id::BIGINT AS batch_id, pos::BIGINT AS batch_pos, part_id, step::BIGINT AS step, coalesce(sum(now) OVER w, 0)::BIGINT AS now_offset, coalesce(sum(later) OVER w, 0)::BIGINT AS later_offset, CASE step WHEN 0 THEN 'box' WHEN 1 THEN 'hole' ELSE 'cutThruAll' END AS operation, 0::BIGINT AS violations
+FROM o WINDOW w AS (PARTITION BY batch_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+""")
+def transition_batches(spark, sf_dir):
+    """State, action, state samples of programs in batches: both graph unions and the stacked actions."""
+    results = written(extract.extract(_plates(spark, sf_dir)), "extracted")
+    states, inc = extract.with_start(results), extract.face_edge(results)
+    tables = {"states": states, "faces": extract.faces(results).drop("uv"), "edges": extract.edges(results).drop("u"), "face_adjacency": graph.adjacency(inc), "face_edge": inc}
+    samples = transitions.transitions(states, extract.actions(results), ["num_faces"], ["operation_name"])
+    found = batching.transition_batch(samples, tables, 16, ["part_id", "step"])
+    offsets = lambda side, name: found[side].graphs.select("batch_id", "batch_pos", big("face_offset").alias(name))
+    bad = lambda side: validate.batch({n: getattr(found[side], n) for n in ("graphs", "faces", "face_adjacency", "face_edge")}).agg(F.count(F.lit(1)).alias("n"))
+    wrong = bad("current").unionByName(bad("next")).agg(F.sum("n").alias("violations"))
+    named = found["actions"].select("batch_id", F.explode("samples").alias("x")).select("batch_id", "x.batch_pos", F.get("x.sequence", F.lit(0))["operation_name"].alias("operation"))
+    out = found["metadata"].select("batch_id", "batch_pos", "part_id", "step")
+    for other in (offsets("current", "now_offset"), offsets("next", "later_offset"), named):
+        out = out.join(other, ["batch_id", "batch_pos"])
+    return out.crossJoin(wrong).select(big("batch_id").alias("batch_id"), big("batch_pos").alias("batch_pos"), "part_id", big("step").alias("step"), "now_offset", "later_offset", "operation", big("violations").alias("violations"))  # one row
+
+
+@query("SELECT s_suppkey, round((s_suppkey % 256) / 255.0::DOUBLE, 5) AS plain, round(((s_suppkey % 256) / 255.0::DOUBLE - 0.485) / 0.229, 4) AS standard FROM supplier")
+def image_values(spark, sf_dir):
+    """Pixels to three planes, scaled to 0..1 and standardized by channel."""
+    pixel = F.lpad(F.hex(F.col("s_suppkey") % 256), 2, "0")
+    images = encoder.to_planes(table(spark, sf_dir, "supplier").select("s_suppkey", F.unhex(F.repeat(pixel, F.lit(12))).alias("pixels")), 2)
+    plain, standard = encoder.normalize_images(images), encoder.normalize_images(images, imagenet=True).select("s_suppkey", F.col("values").alias("standard"))
+    value = lambda c, digits: r(F.get(c, F.lit(0)).cast("double"), digits)
+    return plain.join(standard, "s_suppkey").select("s_suppkey", value("values", 5).alias("plain"), value("standard", 4).alias("standard"))
+
+
+@query("SELECT vec_id, k::BIGINT AS k, round(embedding[1 + k % 2 * 3 + k // 2]::DOUBLE, 5) + 0.0::DOUBLE AS x FROM (SELECT *, unnest(range(0, 6)) AS k FROM embeddings)")
+def transposed(spark, sf_dir):
+    """Two rows of three as three rows of two."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(S.transpose(F.slice("embedding", 1, 6), 2, 3)).alias("k", "x"))
+    return rows.select("vec_id", big("k").alias("k"), r(F.col("x").cast("double"), 5).alias("x"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END * round(c_acctbal, 2) + 0.0::DOUBLE AS x FROM customer")
+def flipped_normals(spark, sf_dir):
+    """Vectors turned round where the face is reversed."""
+    vector = F.array(F.round("c_acctbal", 2), F.lit(0.0), F.lit(1.0))
+    return table(spark, sf_dir, "customer").select("c_custkey", (F.get(S.flip(vector, F.col("c_custkey") % 2 == 0), F.lit(0)) + F.lit(0.0)).alias("x"))
+
+
+@query(f"SELECT event_id, (SELECT c FROM (VALUES {ALIAS_VALUES}) a(op, id, c) WHERE a.op = lower(trim(coalesce({OP_CASE}, '')))) AS command FROM events")
+def canonical_commands(spark, sf_dir):
+    """Commands of operation names, null where there is none."""
+    return table(spark, sf_dir, "events").select("event_id", S.canonical_command(_event_op()).alias("command"))
+
+
+@query("SELECT s_nationkey, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_acctbal DESC, s_suppkey) AS wires FROM supplier GROUP BY 1")
+def wires_by_area(spark, sf_dir):
+    """Wires of each profile from the largest box down."""
+    wires = stats.wires_by_area(table(spark, sf_dir, "supplier"), ["s_nationkey"], F.col("s_acctbal"), "s_suppkey")
+    return wires.select("s_nationkey", F.array_join(F.transform("wires", lambda w: w.cast("string")), ",").alias("wires"))
+
+
+def _raw_parts(spark, sf_dir) -> str:
+    """Part programs laid out as raw shards: data/train and data/val, several files each; returns the root."""
+    root = work_path(spark, "raw")
+    rows = _programs(spark, sf_dir).select(F.col("part_id").alias("uuid"), F.encode("code", "UTF-8").alias("cadquery_file"), F.lit(3).alias("cadquery_ops_count"), F.lit("unread").alias("more"))
+    key = F.col("uuid").cast("int")
+    rows.where(key % 7 != 0).repartitionByRange(3, key).write.parquet(f"{root}/data/train")
+    rows.where(key % 7 == 0).repartitionByRange(2, key).write.parquet(f"{root}/data/val")
+    return root
+
+
+@query("SELECT p_partkey::VARCHAR AS part_id, CASE WHEN p_partkey % 7 <> 0 THEN 'train' ELSE 'val' END AS split, 3::BIGINT AS ops, p_partkey % 5 < 3 AS good, 'pool' AS pooled FROM part")
+def part_scan(spark, sf_dir):
+    """Shards found by split, scanned by three columns, bytes as text; the pool of all files holds the same parts."""
+    root = _raw_parts(spark, sf_dir)
+    rows = parts.scan(spark, root).unionByName(parts.scan(spark, root, "validation").limit(0))
+    pooled = parts.pool(spark, root, "validation").select("part_id", F.when(F.col("split") == "val", "pool").alias("pooled"))
+    good = F.col("code").contains("Workplane") & ~F.col("code").contains("fillet")
+    return rows.join(pooled, "part_id").select("part_id", "split", big("ops_count").alias("ops"), good.alias("good"), "pooled")
+
+
+@query("""
+SELECT split, count(*)::BIGINT AS attempted, sum((p_partkey % 5 < 3)::INT)::BIGINT AS succeeded, true AS has_bytes, 32::BIGINT AS face_names, 16::BIGINT AS commands, '7x4x4' AS uv, 0::BIGINT AS left_over
+FROM (SELECT *, CASE WHEN p_partkey % 7 <> 0 THEN 'train' ELSE 'val' END AS split FROM part) WHERE split = 'train' GROUP BY 1
+""")
+def preprocess_run(spark, sf_dir):
+    """Offline extraction of a split to shards with their metadata; a second run finds nothing to do."""
+    root, out = _raw_parts(spark, sf_dir), work_path(spark, "shards")
+    choice = ["data=debug", "preprocess.split=train"]
+    meta = preprocess.run(spark, root, out, choice)
+    left = shards.pending(parts.scan(spark, root, "train"), out).count()
+    return meta.groupBy("split").agg(big(F.sum("attempted")).alias("attempted"), big(F.sum("succeeded")).alias("succeeded"), F.min(F.col("bytes") > 0).alias("has_bytes"), big(F.max(F.size("face_features"))).alias("face_names"), big(F.max(F.size("vocabulary"))).alias("commands"), F.max(F.array_join(F.col("shapes")["uv"].cast("array<string>"), "x")).alias("uv"), F.lit(left).cast("bigint").alias("left_over"))

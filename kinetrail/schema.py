@@ -41,6 +41,12 @@ EDGE_FEATURES = (
     "tangent_x tangent_y tangent_z is_closed is_degenerated convexity"
 ).split()
 
+PROFILE = (
+    "struct<num_wires:int,num_outer_loops:int,num_inner_loops:int,total_wire_length:double,points_2d:array<array<float>>,"
+    "wires:array<struct<wire_index:int,is_inner_loop:boolean,length:double,center:array<double>,bbox:array<double>>>,"
+    "primitives:array<struct<wire_index:int,is_inner_loop:boolean,type:string,start:array<double>,end:array<double>,radius:double>>>"
+)
+
 TABLES = {
     "parts": "part_id string, split string, source_shard string, source_row bigint, code string, ops_count int",
     "op_log": "part_id string, step int, depth int, op_name string, args array<string>, kwargs array<struct<k:string,v:string>>",
@@ -54,13 +60,11 @@ TABLES = {
     "actions": (
         "part_id string, step int, operation_name string, cmd_id int, params_raw array<float>, params array<float>, param_mask array<boolean>, ref_kind int, "
         "ref_entity_indices array<bigint>, ref_points array<array<float>>, ref_directions array<array<float>>, "
-        "profile struct<num_wires:int,num_outer_loops:int,num_inner_loops:int,total_wire_length:double,points_2d:array<array<float>>,"
-        "wires:array<struct<wire_index:int,is_inner_loop:boolean,length:double,center:array<double>,bbox:array<double>>>,"
-        "primitives:array<struct<wire_index:int,is_inner_loop:boolean,type:string,start:array<double>,end:array<double>,radius:double>>>, "
+        f"profile {PROFILE}, "
         "tool_geometry struct<tool_type:string>"
     ),
     "part_status": "part_id string, status string, error string, duration_s double",
-    "shard_metadata": "source_shard string, split string, schema_version string, vocabulary_version string, attempted int, succeeded int, bytes bigint, created_at timestamp",
+    "shard_metadata": "source_shard string, split string, schema_version string, vocabulary_version string, attempted int, succeeded int, bytes bigint, created_at timestamp, face_features array<string>, edge_features array<string>, vocabulary array<string>, shapes map<string,array<int>>",
 }
 
 

@@ -83,6 +83,11 @@ def trace_back(references: DataFrame, raw: DataFrame) -> DataFrame:
     return references.join(raw, ["source_shard", "source_row"])
 
 
+def first_parts(rows: DataFrame, limit: int | None) -> DataFrame:
+    """At most so many parts over all shards, in the order of split, shard and row."""
+    return rows if limit is None else rows.orderBy("split", "source_shard", "source_row").limit(limit)
+
+
 def with_ids(parts: DataFrame, ids: DataFrame, key: str = "part_id", limit: int | None = None) -> DataFrame:
     found = parts.join(ids.select(key).distinct(), key, "left_semi")
     return found if limit is None else found.orderBy(key).limit(limit)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import SCHEMA_VERSION, TABLES, VOCABULARY_VERSION
+from ..schema import COMMANDS, EDGE_FEATURES, FACE_FEATURES, PARAMS, SCHEMA_VERSION, TABLES, VOCABULARY_VERSION
 from .parts import normal_split
 
 PARTITIONS = ["split", "source_shard"]
@@ -25,29 +26,56 @@ def pending(parts: DataFrame, root: str, overwrite: bool = False) -> DataFrame:
     return parts.join(done, PARTITIONS, "left_anti")
 
 
-def write(tables: dict[str, DataFrame], attempted: DataFrame, root: str) -> DataFrame:
+def write(tables: dict[str, DataFrame], attempted: DataFrame, root: str, grid: int = 0, samples: int = 0) -> DataFrame:
     """Write child tables (each with split and source_shard) and the metadata of their shards.
 
     Only shards at hand are replaced (dynamic partition overwrite); a shard without any
     success gets metadata but no data. `attempted`: split, source_shard, status of each part.
-    Returns the metadata rows.
+    `grid` and `samples` are the sizes of the grids, for the metadata's shapes. Returns the metadata rows.
     """
     spark = attempted.sparkSession
     for name, rows in tables.items():
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(f"{root}/{name}")
     stamp = attempted.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).cast("int").alias("attempted"), F.count_if(F.col("status") == "success").cast("int").alias("succeeded"))
-    meta = stamp.select("source_shard", "split", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(VOCABULARY_VERSION).alias("vocabulary_version"), "attempted", "succeeded", F.current_timestamp().alias("created_at"))
+    stamp = stamp.join(shard_bytes(spark, [f"{root}/{name}" for name in tables]), PARTITIONS, "left")
+    texts = lambda values: F.array(*[F.lit(v) for v in values])
+    shapes = {"faces": [len(FACE_FEATURES)], "uv": [7, grid, grid], "edges": [len(EDGE_FEATURES)], "u": [6, samples], "params": [PARAMS]}
+    meta = stamp.select(
+        "source_shard", "split", F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(VOCABULARY_VERSION).alias("vocabulary_version"), "attempted", "succeeded", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.current_timestamp().alias("created_at"),
+        texts(FACE_FEATURES).alias("face_features"), texts(EDGE_FEATURES).alias("edge_features"), texts(COMMANDS).alias("vocabulary"), F.create_map(*[x for k, v in shapes.items() for x in (F.lit(k), texts(v))]).alias("shapes"),
+    )
     meta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(f"{root}/shard_metadata")
     return spark.read.parquet(f"{root}/shard_metadata")
 
 
 def read(spark: SparkSession, root: str, table: str, split: str = "all", skip_corrupt: bool = False) -> DataFrame:
     """A table of shards; the split is a partition filter, never a fallback to other files."""
-    rows = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(f"{root}/{table}")
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
+    try:
+        rows = reader.parquet(f"{root}/{table}")
+    except AnalysisException:
+        if not skip_corrupt:
+            raise
+        rows = reader.option("mergeSchema", "true").parquet(f"{root}/{table}")  # the file whose schema was taken is corrupt: take all
     split = normal_split(split)
     return rows if split == "all" else rows.where(F.col("split") == split)
 
 
+def shard_bytes(spark: SparkSession, tables: list[str]) -> DataFrame:
+    """split, source_shard, bytes of the data files under the table folders; only the listing is read."""
+    there = [t for t in tables if exists(spark, t)]
+    if not there:
+        return spark.createDataFrame([], "split string, source_shard string, bytes bigint")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(there).select("path", "length")
+    value = lambda name: F.try_url_decode(F.replace(F.regexp_extract("path", f"/{name}=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))).alias(name)
+    return files.select(value("split"), value("source_shard"), "length").groupBy("split", "source_shard").agg(F.sum("length").alias("bytes"))
+
+
+def write_trajectory(nested: DataFrame, part_id: str, path: str) -> None:
+    """One part's nested trajectory as a file of its own."""
+    nested.where(F.col("part_id") == part_id).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def bytes_written(spark: SparkSession, root: str, table: str) -> int:
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -22,13 +24,38 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _UNSET.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="kinetrail-")
-        _UNSET[spark.sparkContext.applicationId] = base
+        base = _UNSET.get(spark.sparkContext.applicationId)
+        if not base:
+            base = _UNSET[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="kinetrail-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base.rstrip("/")
 
 
+#: Paths handed out inside open scopes, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kinetrail/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kinetrail/{label}-{uuid.uuid4().hex}"
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Work tables written inside are deleted at the end; write the results before that."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -52,8 +79,7 @@ def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def clean(spark: SparkSession) -> None:
     """Delete all work tables. Results that were not written elsewhere cannot be read after that."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kinetrail")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/kinetrail")
 
 
 def ship(spark: SparkSession) -> None:

@@ -1 +1,5 @@
+"""Operation streams."""
 
+from . import oplog
+
+__all__ = ["oplog"]

@@ -6,6 +6,7 @@ committing ones advance the step and may change the tracked solid's measures.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +19,8 @@ from ..storage import ship
 
 Step = Callable[[tuple, dict], tuple[tuple, dict]]
 OUTPUT = "part_id string, seq bigint, step int, committed boolean, measure double"
-STATE = "step int, measure double"
+#: What is folded so far, the next (or last) sequence number, and rows that wait for earlier ones (JSON).
+STATE = "step int, measure double, seq bigint, waiting string"
 
 
 def advance(state: tuple, row: dict) -> tuple[tuple, dict]:
@@ -36,9 +38,16 @@ def _marked(ops: DataFrame, top_level: bool = True) -> DataFrame:
 
 
 def fold(ops: DataFrame, step: Step = advance) -> DataFrame:
-    """Any Python step over each part's operations in order (parts are small; one part is one group)."""
+    """Any Python step over each part's operations in order (parts are small; one part is one group).
+
+    The default step runs as cumulative sums, another one row at a time.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if step is advance:
+            rows = rows.sort_values("seq")
+            done = rows["committed"].astype(int)
+            return rows[["part_id", "seq"]].assign(step=done.cumsum().astype("int32"), committed=rows["committed"], measure=(done * rows["measure"]).cumsum())
         state, out = (0, 0.0), []
         for row in rows.sort_values("seq").to_dict("records"):
             state, made = step(state, row)
@@ -57,17 +66,29 @@ def fold_native(ops: DataFrame) -> DataFrame:
     return rows.select("part_id", "seq", F.sum(done).over(w).cast("int").alias("step"), "committed", F.sum(done * F.col("measure")).over(w).alias("measure"))
 
 
-def fold_stream(ops: DataFrame, step: Step = advance, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    """The same fold over a stream: state per part, rows of a micro batch in order of seq."""
+def fold_stream(ops: DataFrame, step: Step = advance, timeout: str = GroupStateTimeout.NoTimeout, start: int | None = None) -> DataFrame:
+    """The same fold over a stream, with state per part.
+
+    With `start`, sequence numbers of a part have no gaps from there on: a row that comes before its
+    predecessors, in whatever micro batch, waits in the state until they are there. Without it, gaps
+    are allowed, and a row that comes in a later micro batch than its successors is an error. A
+    sequence number that was folded already is an error in both cases.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for row in rows.to_dict("records"):
+        count, measure, seq, waiting = state.get if state.exists else (0, 0.0, start, "[]")
+        rows = pd.concat(list(batches)).to_dict("records") + [{"seq": s, "committed": c, "measure": m} for s, c, m in json.loads(waiting)]
+        held, out, later = (count, measure), [], []
+        for row in sorted(rows, key=lambda r: r["seq"]):
+            if seq is not None and row["seq"] < seq + (start is None):
+                raise ValueError(f"operation {row['seq']} of part {key[0]} comes after its successors or again")
+            if start is not None and row["seq"] != seq:
+                later.append([int(row["seq"]), bool(row["committed"]), float(row["measure"])])
+                continue
             held, made = step(held, row)
             out.append({"part_id": key[0], **made})
-        state.update(held)
+            seq = int(row["seq"]) + (start is not None)
+        state.update((int(held[0]), float(held[1]), seq, json.dumps(later)))
         yield pd.DataFrame(out, columns=["part_id", "seq", "step", "committed", "measure"])
 
     ship(ops.sparkSession)

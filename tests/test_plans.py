@@ -4,7 +4,7 @@ import pytest
 
 from kinetrail.plans.queries import QUERIES
 
-PYTHON = {"op_fold", "op_fold_stream", "program_statuses", "program_states", "program_graphs", "encoder_embeddings"}
+PYTHON = {"op_fold", "op_fold_stream", "program_statuses", "program_states", "program_graphs", "encoder_embeddings", "program_actions", "program_steps", "face_values", "edge_values", "surface_grids", "extracted_violations", "violations_state", "routed_statuses", "program_ops", "transition_batches", "image_values", "preprocess_run"}
 #: One row meets one row or a result.
 ONE_ROW = {"multi_ref_stats", "collated_incidence"}
 

@@ -1,18 +1,22 @@
 """Queries that must take every row: values against brute force on small tables."""
 
 import math
+import os
 
-import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+import kinetrail
+from kinetrail import storage
 from kinetrail.kernel import program, solids
-from kinetrail.llm import language_id
 from kinetrail.nn import layers as L
 from kinetrail.nn.encoder import Encoder
-from kinetrail.operators import graph
+from kinetrail.operators import graph, stats, transitions
 from kinetrail.plans import queries
+from kinetrail.sources import parts, shards
+from kinetrail.streaming import oplog
 
 # --- encoder ---------------------------------------------------------------
 
@@ -90,9 +94,10 @@ def test_encoder_query_takes_every_part_at_full_size(spark, tmp_path):
     want = {}
     for p, code in queries._programs(spark, str(tmp_path)).where("CAST(part_id AS INT) % 5 < 3").collect():
         solid = next(x[-1] for x in solids.build(program.operations(code)) if x[-1])
+        as_stored = lambda x: x.astype(np.float32).astype(float)
         triples = sorted({(a, b, i) for i, e in enumerate(solid["edges"]) for a in e["faces"] for b in e["faces"] if a != b})
         edges = [(a, b, triples.index((b, a, i))) for a, b, i in triples]
-        uv, u = [np.sin(np.arange(7 * 256.0)).reshape(7, 16, 16)] * len(solid["faces"]), [np.sin(np.arange(96.0)).reshape(6, 16)] * len(edges)
+        uv, u = [as_stored(f["patch"](16)) for f in solid["faces"]], [as_stored(solid["edges"][i]["curve"](16)) for _, _, i in triples]
         found = plain_forward(uv, u, edges, 128, 1024, 8)
         want |= {(p, "face", i): x.sum() for i, x in enumerate(found["node"])} | {(p, "edge", i): x.sum() for i, x in zip(found["edge_index"], found["edge"], strict=True)}
     assert got.keys() == want.keys() and len({p for p, _, _ in got}) == 3
@@ -112,7 +117,7 @@ def test_convolution_takes_every_edge(spark, tmp_path):
             if e == x and a != b:
                 want[b][0] += a % 5 * (e % 4) + a % 3
                 want[b][1] += a % 5 + a % 3 * (e % 7)
-    assert {x.face_idx: [x.o0, x.o1] for x in queries.QUERIES["nn_conv_sum_all"](spark, str(tmp_path)).collect()} == want
+    assert {x.face_idx: [x.o0, x.o1] for x in queries.QUERIES["nn_conv_sum"](spark, str(tmp_path)).collect()} == want
 
 
 # --- lineage ---------------------------------------------------------------
@@ -121,7 +126,7 @@ def test_convolution_takes_every_edge(spark, tmp_path):
 def test_every_row_is_traced_back(spark, tmp_path):
     rows = [(i, "FOP"[i % 3]) for i in range(1, 121)]
     spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
-    found = queries.QUERIES["lineage_lookup_all"](spark, str(tmp_path)).collect()
+    found = queries.QUERIES["lineage_lookup"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == [(k, k, s) for k, s in rows]
 
 
@@ -143,14 +148,171 @@ def test_ancestors_of_a_cycle_are_an_error(spark):
     assert [x.ancestor for x in graph.nearest_ancestor(chain, F.col("hit")).collect()] == [None] * 4
 
 
-# --- pipeline --------------------------------------------------------------
-
-
-def test_language_stage_without_labels(spark, tmp_path):
-    rows = [(0, "Ein Satz mit Worten darin", None, "a", 25), (1, "x", None, "a", 1), (2, "12 !!", None, "a", 5), (3, None, None, "b", 0), (4, "", None, "b", 0), (5, "Another clean text of some words", None, "b", 32)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(x.doc_id for x in language_id.language_stage(spark, docs, "").collect()) == [0, 1, 5]
-    labelled = docs.withColumn("lang", F.lit("en"))
-    assert sorted(x.doc_id for x in language_id.language_stage(spark, labelled, "").collect()) == [0, 1, 5]
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} >= {0, 5}
+# --- reverse edges ---------------------------------------------------------
+
+JOINED = f"""
+WITH {queries.ADJACENCY} SELECT a.g, a.adj_idx::BIGINT AS adj_idx, a.src, a.dst, coalesce(b.adj_idx, a.adj_idx)::BIGINT AS reverse_idx, (a.src + 2 * a.dst + b.src + 2 * b.dst)::DOUBLE AS fused
+FROM adj a LEFT JOIN adj b ON a.g = b.g AND a.src = b.dst AND a.dst = b.src AND a.edge_idx = b.edge_idx
+"""
+
+
+def test_ranks_are_the_reverse_edges(spark, sf, duck, same_rows):
+    """The registered SQL ranks reverse edges; here they are found by a join."""
+    joined = duck.sql(JOINED).df()
+    found = {n: queries.QUERIES[n](spark, sf).toPandas() for n in ("reverse_edge_index", "undirected_edges", "fuse_reverse")}
+    same_rows(found["reverse_edge_index"], joined[["g", "adj_idx", "reverse_idx"]])
+    same_rows(found["undirected_edges"], joined[joined.adj_idx < joined.reverse_idx][["g", "adj_idx", "src", "dst"]])
+    same_rows(found["fuse_reverse"], joined[["g", "adj_idx", "fused"]])
+
+
+# --- durations -------------------------------------------------------------
+
+
+def test_durations_of_any_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x)) for x in rng.normal(size=101)] + [("b", 3.0), ("c", None), (None, 1.0), (None, 2.0), ("d", None), ("d", 7.0)] + [("e", float(x)) for x in rng.integers(0, 3, 40)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {x.k: (x.n, x.mean, x.median, x.p95) for x in stats.duration_stats(df, "x", ["k"]).collect()}
+    for key in {k for k, _ in rows}:
+        values = [x for k, x in rows if k == key and x is not None]
+        want = (len(values), np.mean(values), np.median(values), np.quantile(values, 0.95)) if values else (0, 0, 0, 0)
+        assert got[key] == pytest.approx(want), key
+    assert len(got) == 6
+    whole = stats.duration_stats(df, "x").first()
+    assert (whole.n, whole.median) == (sum(x is not None for _, x in rows), pytest.approx(np.median([x for _, x in rows if x is not None])))
+    assert tuple(stats.duration_stats(df.limit(0), "x").first()) == (0, 0.0, 0.0, 0.0)
+
+
+# --- streams ---------------------------------------------------------------
+
+
+def _streamed(spark, tmp_path, batches, name, **options):
+    """Each batch is a file of its own, taken one a micro batch."""
+    source = tmp_path / f"{name}-in"
+    schema = "part_id string, seq long, op_name string, measure double"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        os.utime(max(source.glob("*.parquet"), key=lambda f: f.stat().st_ctime_ns), (1_600_000_000 + 10 * i,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    out = oplog.fold_stream(stream, **options).writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-at"))
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return sorted(map(tuple, spark.read.parquet(str(tmp_path / f"{name}-out")).collect()))
+
+
+def test_fold_over_micro_batches_out_of_order(spark, tmp_path):
+    rows = [(p, i, "box" if i % 3 else "faces", float(i)) for p in ("a", "b") for i in range(1, 10)]
+    order = [rows[k::4] for k in (2, 0, 3, 1)]
+    ops = spark.createDataFrame(rows, "part_id string, seq long, op_name string, measure double")
+    want = sorted(map(tuple, oplog.fold_native(ops).collect()))
+    assert _streamed(spark, tmp_path, order, "gapless", start=1) == want
+    assert sorted(map(tuple, oplog.fold(ops).collect())) == want == sorted(map(tuple, oplog.fold(ops, lambda s, r: oplog.advance(s, r)).collect()))
+    assert _streamed(spark, tmp_path, [[r for r in rows if r[1] < 5], [r for r in rows if r[1] > 5]], "gaps") != []
+    with pytest.raises(StreamingQueryException, match="after its successors"):
+        _streamed(spark, tmp_path, [[r for r in rows if r[1] > 4], [r for r in rows if r[1] < 5]], "late")
+
+
+# --- geometry --------------------------------------------------------------
+
+
+def _sampled_moments(solid, n=400):
+    """Area, centroid and moments of each face from its grid samples."""
+    for f in solid["faces"]:
+        grid = f["patch"](n)
+        p, mask = grid[:3], grid[6]
+        if f["kind"] == "sphere":
+            weight = np.cos(np.linspace(-np.pi / 2, np.pi / 2, n))[None, :] * mask
+        else:
+            weight = mask.copy()
+        for axis in (0, 1):  # trapezoids
+            edge = [slice(None)] * 2
+            for k in (0, -1):
+                edge[axis] = k
+                weight[tuple(edge)] *= 0.5
+        c = (p * weight).sum(axis=(1, 2)) / weight.sum()
+        second = (((p - c[:, None, None]) ** 2) * weight).sum(axis=(1, 2)) / weight.sum() * f["area"]
+        yield f, c, (second[1] + second[2], second[0] + second[2], second[0] + second[1])
+
+
+@pytest.mark.parametrize("code", ["box(3, 4, 5)", "cylinder(6, 2)", "sphere(2)", "polyline([(0, 0), (5, 0), (4, 3), (1, 2)]).close().extrude(2)", "rect(8, 6).circle(1.5).extrude(3)", "box(20, 20, 5).faces('>Z').workplane().hole(4).faces('>Z').workplane().center(7, 0).circle(1.5).cutThruAll()"])
+def test_faces_agree_with_their_grids(code):
+    solid = [x[-1] for x in solids.build(program.operations(f"r = cq.Workplane('XY').{code}")) if x[-1]][-1]
+    for f, centroid, inertia in _sampled_moments(solid):
+        assert np.allclose(centroid, f["centroid"], atol=0.05), f["kind"]
+        assert np.allclose(inertia, f["inertia"], rtol=0.03, atol=0.05), f["kind"]
+        middle = f["patch"](9)[:, 4, 4]
+        if middle[6]:
+            assert np.allclose(middle[3:6], f["normal"], atol=1e-6)
+    flux = 0.0
+    for f, centroid, _ in _sampled_moments(solid):  # the divergence theorem: outward normals and volume
+        grid = f["patch"](400)
+        weight = np.cos(np.linspace(-np.pi / 2, np.pi / 2, 400))[None, :] * grid[6] if f["kind"] == "sphere" else grid[6]
+        flux += ((grid[:3] * grid[3:6]).sum(axis=0) * weight).sum() / weight.sum() * f["area"]
+    assert flux / 3 == pytest.approx(solid["volume"], rel=0.01)
+    for e in solid["edges"]:
+        points = e["curve"](401)
+        assert np.hypot.reduce(np.diff(points[:3], axis=1), axis=0).sum() == pytest.approx(e["length"], rel=1e-3)
+        assert np.allclose(points[:, 200], e["midpoint"] + e["tangent"], atol=1e-6)
+
+
+def test_references_of_actions():
+    def actions(code):
+        return [(x[3]["ref_kind"], x[3]["ref_entity_indices"], x[3]["ref_points"]) for x in solids.build(program.operations(code)) if x[-1]]
+
+    start = "r = cq.Workplane().box(10, 10, 4)"
+    assert actions(start) == [(1, [0], [[0.0, 0.0, 0.0]])]
+    assert actions(f"{start}.faces('>Z').workplane().hole(2)")[1] == (2, [1], [[0.0, 0.0, 2.0]])
+    kind, hosts, points = actions(f"{start}.edges('|Z').hole(2)")[1]
+    assert kind == 3 and len(hosts) == 4 and all(abs(x) == abs(y) == 5 for x, y, _ in points)
+    kind, hosts, points = actions(f"{start}.vertices('>Z').hole(2)")[1]
+    assert kind == 4 and hosts == [0] * 4 and {p[2] for p in points} == {2.0}
+    for bad in ("edges('|Z').fillet(1)", "hole(20)", "faces('>X').workplane().hole(1)", "faces('>Z[1]').hole(1)", "hole(2).hole(2)", "box(1, 1, 1)"):
+        with pytest.raises(program.Unsupported):
+            solids.build(program.operations(f"{start}.{bad}"))
+    with pytest.raises(program.Unsupported):
+        solids.build(program.operations("r = cq.Workplane('XZ').box(1, 2, 3)"))
+
+
+def test_profiles_of_actions():
+    found = [x[3]["profile"] for x in solids.build(program.operations("r = cq.Workplane().rect(8, 6).circle(1.5).extrude(3)")) if x[-1]][0]
+    assert (found["num_wires"], found["num_outer_loops"], found["num_inner_loops"]) == (2, 1, 1) and found["total_wire_length"] == pytest.approx(28 + 3 * np.pi)
+    assert len(found["points_2d"]) == 64 and [w["is_inner_loop"] for w in found["wires"]] == [False, True]
+    assert [p["type"] for p in found["primitives"]] == ["LINE"] * 4 + ["CIRCLE"] and found["wires"][1]["bbox"] == [-1.5, -1.5, 0.0, 1.5, 1.5, 0.0]
+
+
+def test_first_chain_is_the_result():
+    ops, calls = program.parse("a = cq.Workplane().box(1, 2, 3)\nb = cq.Workplane().sphere(2)\nc = a.faces('>Z')")
+    assert [n for n, _, _ in ops] == ["Workplane", "box"] and [n for n, _, _ in calls] == ["Workplane", "box", "Workplane", "sphere", "faces"]
+    assert [n for n, _, _ in program.operations("a = cq.Workplane().box(1, 2, 3)\npart = cq.Workplane().sphere(2)")] == ["Workplane", "sphere"]
+
+
+# --- offline extraction ----------------------------------------------------
+
+
+def test_preprocessing_is_incremental(spark, sf, tmp_path):
+    root, out = queries._raw_parts(spark, sf), str(tmp_path / "out")
+    rows = lambda df: df.select("split", "source_shard", "attempted", "succeeded", "bytes", "created_at", "shapes", "vocabulary").collect()
+    first = rows(kinetrail.run(spark, root, out, ["data=debug", "preprocess.split=val"]))
+    assert {r.split for r in first} == {"val"} and all(r.bytes > 0 and r.shapes["uv"] == [7, 4, 4] and "EXTRUDE" in r.vocabulary for r in first)
+    both = rows(kinetrail.run(spark, root, out, ["data=debug", "preprocess.split=all"]))
+    assert {r.split for r in both} == {"train", "val"} and {r.source_shard: r for r in both if r.split == "val"} == {r.source_shard: r for r in first}
+    states = shards.read(spark, out, "states", "validation")
+    assert states.where("step = 0").count() == sum(r.succeeded for r in first)
+    nested = transitions.trajectories(states.drop("split", "source_shard"), shards.read(spark, out, "actions").drop("split", "source_shard"))
+    part = nested.select("part_id").first().part_id
+    shards.write_trajectory(nested, part, str(tmp_path / "one"))
+    assert [r.part_id for r in spark.read.parquet(str(tmp_path / "one")).collect()] == [part]
+    some = parts.first_parts(parts.scan(spark, root), 7).collect()
+    assert len(some) == 7 and {r.split for r in some} == {"train"}
+
+
+def test_corrupt_shards_are_skipped(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "states"))
+    (tmp_path / "states" / "bad.parquet").write_bytes(b"no parquet at all")
+    assert shards.read(spark, str(tmp_path), "states", skip_corrupt=True).count() == 3
+
+
+def test_work_tables_of_a_scope_are_deleted(spark):
+    with storage.scope(spark):
+        path = storage.written(spark.range(3), "scoped").inputFiles()[0]
+        assert os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
