@@ -65,6 +65,19 @@ def test_hot_group_is_cut(spark):
     assert len(total) == 24 and total.max() / total.mean() < 1.05 and total.min() / total.mean() > 0.95
 
 
+def test_shards_are_ranges_of_the_sorted_keys(corpus):
+    """A second way: sort all keys on one machine; shards are consecutive stretches near their fair shares."""
+    rows = sharding.shard(corpus, 7).join(corpus.select("doc_id", F.xxhash64("text").alias("h")), "doc_id").toPandas()
+    rows["hi"] = [(h + 2**63) >> 1 for h in rows.h]
+    rows = rows.sort_values(["hi", "doc_id"])
+    assert rows.shard.is_monotonic_increasing and set(rows.shard) == set(range(7))
+    fair, ends = rows["size"].sum() / 7, rows.groupby("shard")["size"].sum().cumsum()
+    for s, end in enumerate(ends[:-1], 1):  # no other cut between whole keys is nearer by more than the tolerance
+        sums = rows.groupby("hi", sort=True)["size"].sum().cumsum()
+        best = min(abs(x - fair * s) for x in [0, *sums])
+        assert abs(end - fair * s) <= max(best, 0.02 * fair) + 1
+
+
 def test_small_groups_stay_whole(spark):
     rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") / 3).cast("int").cast("string")).alias("text"))
     out = sharding.shard(rows, 24).toPandas()

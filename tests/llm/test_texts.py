@@ -1,6 +1,7 @@
 """Language, tokens, sketches, pages, repeats, personal data and near duplicates against brute force."""
 
 import base64
+import binascii
 import hashlib
 import html
 import random
@@ -161,6 +162,36 @@ def test_bundle_against_letters():
     assert np.array_equal(got[0], want) and n.tolist() == [4, 0, 0] and not got[1:].any()
 
 
+def test_language_by_its_definition(spark, folder):
+    """Bundles, prototypes, cosine and choice again, a letter and a trigram at a time."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice(SAMPLES[lang].split()) for _ in range(rng.randint(1, 9))), lang) for i, lang in enumerate(list(SAMPLES) * 12)] + [(90, "1 2 3", "en"), (91, None, None), (92, "Der Ö", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    letter = lambda c: np.random.default_rng([language_id.SEED, ord(c)]).integers(0, 2, language_id.DIMENSIONS, dtype=np.int8).astype(int) * 2 - 1
+
+    def bundle(text):
+        plain = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip() + " "
+        total = np.zeros(language_id.DIMENSIONS)
+        if plain.strip():
+            for i in range(len(plain) - 2):
+                total += np.prod([np.roll(letter(plain[i + k]), 2 - k) for k in range(3)], axis=0)
+        return total
+
+    learned = {lang: sum(bundle(t) for i, t, x in rows if x == lang and binascii.crc32(str(i).encode()) % 4 != 2) for lang in sorted(SAMPLES)}
+    unit = {k: v / np.linalg.norm(v) for k, v in learned.items()}
+    mean = np.mean(list(unit.values()), axis=0)
+    found = {r.doc_id: r for r in language_id.op1_language_id(spark, folder(docs)).collect()}
+    for i, text, _ in rows:
+        v, r = bundle(text), found[i]
+        assert r.held_out == (binascii.crc32(str(i).encode()) % 4 == 2)
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        near = {k: v @ (u - mean) / np.linalg.norm(u - mean) for k, u in unit.items()}
+        best = max(near, key=near.get)
+        assert r.lang_pred == best and r.score == pytest.approx(max(0.0, v @ unit[best] / np.linalg.norm(v)))
+
+
 def test_language_awkward(spark, awkward, no_rows, folder):
     rows = {r.doc_id: r for r in language_id.op1_language_id(spark, folder(awkward)).collect()}
     assert all((rows[i].lang_pred, rows[i].score) == ("und", 0.0) for i in (3, 4, 6))
