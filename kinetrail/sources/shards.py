@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,11 @@ def write(tables: dict[str, DataFrame], attempted: DataFrame, root: str, grid: i
     return spark.read.parquet(f"{root}/shard_metadata")
 
 
-def read(spark: SparkSession, root: str, table: str, split: str = "all", skip_corrupt: bool = False) -> DataFrame:
-    """A table of shards; the split is a partition filter, never a fallback to other files."""
+def read(spark: SparkSession, root: str, table: str, split: str = "all", skip_corrupt: bool = False, cached: bool = False) -> DataFrame:
+    """A table of shards; the split is a partition filter, never a fallback to other files.
+
+    `cached` keeps what was read in the executors' memory, and on their disks what does not fit.
+    """
     reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
     try:
         rows = reader.parquet(f"{root}/{table}")
@@ -58,7 +62,8 @@ def read(spark: SparkSession, root: str, table: str, split: str = "all", skip_co
             raise
         rows = reader.option("mergeSchema", "true").parquet(f"{root}/{table}")  # the file whose schema was taken is corrupt: take all
     split = normal_split(split)
-    return rows if split == "all" else rows.where(F.col("split") == split)
+    rows = rows if split == "all" else rows.where(F.col("split") == split)
+    return rows.persist(StorageLevel.MEMORY_AND_DISK) if cached else rows
 
 
 def shard_bytes(spark: SparkSession, tables: list[str]) -> DataFrame:
