@@ -8,9 +8,11 @@ import threading
 import time
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import scalar as S
 from ..schema import CURVE_GROUPS, PROFILE, SURFACE_GROUPS, empty_states
@@ -90,13 +92,17 @@ def extract(parts: DataFrame, timeout_s: float = 15.0, grid: int = 0, samples: i
     With `grid` and `samples` faces get a grid of grid x grid samples and edges so many samples.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(RESULT)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *run_part(c, timeout_s, grid, samples)) for p, c in zip(batch["part_id"], batch["code"], strict=True)]
-            yield pd.DataFrame(rows, columns=["part_id", "status", "error", "duration_s", "ops", "states", "actions"])
+            for at in range(0, batch.num_rows, 256):
+                keys, codes = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                columns = zip(*((p, *run_part(c, timeout_s, grid, samples)) for p, c in zip(keys, codes, strict=True)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     ship(parts.sparkSession)
-    return parts.select("part_id", "code").mapInPandas(run, RESULT)
+    return parts.select(F.col("part_id").cast("string").alias("part_id"), F.col("code").cast("string").alias("code")).mapInArrow(run, RESULT)
 
 
 def _states(results: DataFrame) -> DataFrame:

@@ -823,6 +823,11 @@ def json_documents(spark, sf_dir):
 # --- kernel and encoder ----------------------------------------------------
 
 
+def _spread(programs: DataFrame) -> DataFrame:
+    """A program is a few bytes and much work: small files alone would give one task."""
+    return programs.repartition(programs.sparkSession.sparkContext.defaultParallelism, "part_id")
+
+
 def _programs(spark, sf_dir) -> DataFrame:
     """Part keys as programs: boxes, cylinders, polygons, and faults of every kind."""
     size = (F.col("p_size") + 1).cast("string")
@@ -833,7 +838,7 @@ def _programs(spark, sf_dir) -> DataFrame:
         .when(F.col("p_partkey") % 5 == 3, F.lit("result = cq.Workplane().box(1, 2, 3).edges().fillet(0.1)"))
         .otherwise(F.lit("result = (("))
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("part_id"), code.alias("code"))
+    return _spread(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("part_id"), code.alias("code")))
 
 
 @query("SELECT CASE p_partkey % 5 WHEN 3 THEN 'unsupported_operation' WHEN 4 THEN 'syntax_error' ELSE 'success' END AS status, count(*)::BIGINT AS n FROM part GROUP BY 1")
@@ -878,7 +883,7 @@ def _plates(spark, sf_dir) -> DataFrame:
     """Part keys as programs of several steps: a box, a hole through its upper face, a round cut beside it."""
     size = (F.col("p_size") + 20).cast("string")
     code = F.concat(F.lit("result = cq.Workplane('XY').box("), size, F.lit(", 20, 5).faces('>Z').workplane().hole(4).faces('>Z').workplane().center(7, 0).circle(1.5).cutThruAll()"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("part_id"), code.alias("code"), F.lit("train").alias("split"), F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("source_shard"), F.col("p_partkey").alias("source_row"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("part_id"), code.alias("code"), F.lit("train").alias("split"), F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("source_shard"), F.col("p_partkey").alias("source_row")).repartition(spark.sparkContext.defaultParallelism, "part_id")
 
 
 @query("""

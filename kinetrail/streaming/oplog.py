@@ -38,16 +38,15 @@ def _marked(ops: DataFrame, top_level: bool = True) -> DataFrame:
 
 
 def fold(ops: DataFrame, step: Step = advance) -> DataFrame:
-    """Any Python step over each part's operations in order (parts are small; one part is one group).
+    """The step over each part's operations in order.
 
-    The default step runs as cumulative sums, another one row at a time.
+    The default step runs as windows (`fold_native`). Another one runs in Python, a row at a time,
+    with each part as one group: parts are small.
     """
+    if step is advance:
+        return fold_native(ops)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if step is advance:
-            rows = rows.sort_values("seq")
-            done = rows["committed"].astype(int)
-            return rows[["part_id", "seq"]].assign(step=done.cumsum().astype("int32"), committed=rows["committed"], measure=(done * rows["measure"]).cumsum())
         state, out = (0, 0.0), []
         for row in rows.sort_values("seq").to_dict("records"):
             state, made = step(state, row)
