@@ -50,10 +50,11 @@ def scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a table or folder of any file system that Spark writes."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -79,7 +80,7 @@ def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def clean(spark: SparkSession) -> None:
     """Delete all work tables. Results that were not written elsewhere cannot be read after that."""
-    _delete(spark, f"{shared_dir(spark)}/kinetrail")
+    delete(spark, f"{shared_dir(spark)}/kinetrail")
 
 
 def ship(spark: SparkSession) -> None:
