@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinetrail.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
-from kinetrail.llm.common import documents, written
+from kinetrail.llm.common import documents, work_path
+from kinetrail.storage import delete, scope
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id.language_stage),
@@ -24,7 +25,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. What a stage leaves behind is deleted as soon as its result is written,
+    and that result once the next stage's is."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        target = work_path(spark, f"pipeline-{name}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(target)
+        docs = spark.read.parquet(target)
+        if before:
+            delete(spark, before)
+        before = target
     return STAGES[-1][1](spark, docs, sf_dir)
