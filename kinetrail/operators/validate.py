@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import all_finite, symexp, symlog
@@ -65,13 +65,21 @@ def states(states: DataFrame, faces: DataFrame, edges: DataFrame, adjacency: Dat
     sizes = states.select(*STATE, F.col("num_faces").alias("_faces"), F.col("num_edges").alias("_edges"))
     outside = lambda index, size: ((F.col(index) < 0) | (F.col(index) >= F.col(size)), F.col(index))
     mask = F.slice("uv", 6 * grid * grid + 1, grid * grid)
+    directed = adjacency.join(sizes, STATE, "left").withColumn("_directed", F.count(F.lit(1)).over(Window.partitionBy(*STATE)))
+    directed = directed.join(edges.select(*STATE, "edge_idx", F.lit(True).alias("_edge"), "features"), [*STATE, "edge_idx"], "left")
+    there = lambda bad: F.col("_edge").isNotNull() & F.coalesce(bad, F.lit(True))
+    reverse = (F.col("reverse_idx") < 0) | (F.col("reverse_idx") >= F.col("_directed"))
+    shape, finite = (there(bad) for bad, _ in array_rules("features", 16, "").values())
     parts = [
         missing(states, STATE, REQUIRED["states"], "state.required"),
         check(with_counts, STATE, {"faces.count": differ("_f", "num_faces"), "edges.count": differ("_e", "num_edges")}),
         check(faces, [*STATE, "face_idx"], array_rules("features", 32, "faces.features") | array_rules("uv", 7 * grid * grid, "faces.uv") | {"uv_mask.binary": (~F.forall(mask, lambda x: x.isin(0.0, 1.0)), F.lit("mask"))}),
         check(edges, [*STATE, "edge_idx"], array_rules("features", 16, "edges.features") | array_rules("u", 6 * samples, "edges.u")),
-        check(adjacency.join(sizes, STATE, "left"), [*STATE, "adj_idx"], {"adjacency.src": outside("src", "_faces"), "adjacency.dst": outside("dst", "_faces"), "adjacency.edge": outside("edge_idx", "_edges"), "adjacency.reverse": (F.col("reverse_idx").isNull(), F.lit("no reverse index"))}),
-        dangling(adjacency, edges, [*STATE, "edge_idx"], "adjacency.features"),
+        check(directed, [*STATE, "adj_idx"], {
+            "adjacency.src": outside("src", "_faces"), "adjacency.dst": outside("dst", "_faces"), "adjacency.edge": outside("edge_idx", "_edges"),
+            "adjacency.reverse": (reverse, F.coalesce(F.col("reverse_idx").cast("string"), F.lit("no reverse index"))),
+            "adjacency.features": (F.col("_edge").isNull(), F.lit("no parent")), "adjacency.features.shape": (shape, F.size("features")), "adjacency.features.finite": (finite, F.lit("features")),
+        }),
         check(face_edge.join(sizes, STATE, "left"), [*STATE, "face_idx", "edge_idx"], {"incidence.face": outside("face_idx", "_faces"), "incidence.edge": outside("edge_idx", "_edges")}),
     ]
     if images is not None:

@@ -18,7 +18,7 @@ from ..functions import scalar as S
 from ..kernel import extract
 from ..nn import encoder
 from ..operators import batching, graph, messages, stats, transitions, validate
-from ..schema import ALIASES, COMMANDS, SCHEMA_VERSION, blank_images, empty_states
+from ..schema import ALIASES, COMMANDS, CURVE_GROUPS, SCHEMA_VERSION, blank_images, empty_states
 from ..sources import parts, shards
 from ..storage import rows_per_batch, work_path, written
 from ..streaming import oplog
@@ -971,13 +971,25 @@ def extracted_violations(spark, sf_dir):
     rows = _plates(spark, sf_dir)
     with rows_per_batch(spark, 512):
         results = written(extract.extract(rows, grid=2, samples=2), "extracted")
-    states, inc, actions = extract.with_start(results), extract.face_edge(results), extract.actions(results)
-    bad = validate.states(states, extract.faces(results), extract.edges(results), graph.adjacency(inc), inc, grid=2, samples=2)
+        tables = [written(t, "extracted-table") for t in (extract.with_start(results), extract.faces(results), extract.edges(results), extract.face_edge(results), extract.actions(results))]
+    states, faces, edges, inc, actions = tables  # written, as each rule would assemble the features again
+    bad = validate.states(states, faces, edges, graph.adjacency(inc), inc, grid=2, samples=2)
     bad = bad.unionByName(validate.actions(actions)).unionByName(validate.trajectories(extract.trajectories(results, rows), states, actions)).unionByName(validate.empty_start(states))
     n = bad.groupBy(F.substring_index("entity", "/", 1).alias("part_id")).agg(F.count(F.lit(1)).alias("violations"))
     return rows.select("part_id").join(n, "part_id", "left").select("part_id", big(F.coalesce("violations", F.lit(0))).alias("violations"))
 
 
+CURVES = [*CURVE_GROUPS, "helix"]
+
+
+@query(f"SELECT s_suppkey, k::BIGINT AS k, ({[CURVE_GROUPS.get(c, 5) for c in CURVES]}[s_suppkey % {len(CURVES)} + 1] = k)::INT::DOUBLE AS x FROM supplier, range(0, 6) r(k)")
+def one_hot_curve(spark, sf_dir):
+    """Curve kinds in six groups; unknown ones are in the last."""
+    kind = F.get(F.array(*[F.lit(c) for c in CURVES]), (F.col("s_suppkey") % len(CURVES)).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(S.one_hot(kind, CURVE_GROUPS, 6)).alias("k", "x"))
+    return rows.select("s_suppkey", big("k").alias("k"), "x")
+
+
 @query("""
 WITH p AS (SELECT p_partkey AS k, p_partkey // 5 % 6 AS fault FROM part WHERE p_partkey % 5 = 0)
 SELECT k || '/1' AS entity, 'state.required.volume' AS rule, 'volume' AS detail FROM p WHERE fault = 0
@@ -991,12 +1003,12 @@ def violations_state(spark, sf_dir):
     """Rules of states on extracted boxes with a fault each, by part key."""
     with rows_per_batch(spark, 512):
         results = written(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 5 = 0"), grid=2, samples=2), "extracted")
+        faces, edges, inc = (written(t, "extracted-table") for t in (extract.faces(results), extract.edges(results), extract.face_edge(results)))
     fault = F.floor(F.col("part_id").cast("int") / 5) % 6
-    inc = extract.face_edge(results)
     first = F.col("edge_idx") == 0
     states = extract.states(results).withColumn("volume", F.when(fault != 0, F.col("volume")))
-    faces = extract.faces(results).where((fault != 1) | (F.col("face_idx") > 0)).withColumn("uv", F.when(fault == 2, F.array_repeat(F.lit(0.5).cast("float"), 28)).otherwise(F.col("uv")))
-    edges = extract.edges(results).withColumn("u", F.when((fault == 3) & first, F.slice("u", 1, 3)).otherwise(F.col("u")))
+    faces = faces.where((fault != 1) | (F.col("face_idx") > 0)).withColumn("uv", F.when(fault == 2, F.array_repeat(F.lit(0.5).cast("float"), 28)).otherwise(F.col("uv")))
+    edges = edges.withColumn("u", F.when((fault == 3) & first, F.slice("u", 1, 3)).otherwise(F.col("u")))
     adj = graph.adjacency(inc).withColumn("src", F.when(fault == 4, F.col("src") + 5).otherwise(F.col("src")))
     broken = inc.where((fault != 5) | ~first).unionByName(inc.where((fault == 5) & first).withColumn("face_idx", F.lit(99)).distinct())
     return validate.states(states, faces, edges, adj, broken, grid=2, samples=2)

@@ -189,6 +189,10 @@ def test_state_violations(spark):
     assert rules(adjacency=adj.withColumn("src", F.col("src") + 5)) == ["adjacency.src"]
     assert rules(adjacency=adj.withColumn("dst", F.lit(-1))) == ["adjacency.dst"]
     assert rules(adjacency=adj.withColumn("reverse_idx", F.lit(None).cast("int"))) == ["adjacency.reverse"]
+    assert rules(adjacency=adj.withColumn("reverse_idx", F.lit(24))) == ["adjacency.reverse"]
+    assert rules(adjacency=adj.withColumn("edge_idx", F.lit(40))) == ["adjacency.edge", "adjacency.features"]
+    assert rules(edges=edges.withColumn("features", F.slice("features", 1, 15))) == ["adjacency.features.shape", "edges.features.shape"]
+    assert rules(edges=edges.withColumn("features", F.transform("features", lambda x: x * float("nan")))) == ["adjacency.features.finite", "edges.features.finite"]
     assert rules(face_edge=inc.withColumn("face_idx", F.lit(99))) == ["incidence.face"]
     assert rules(states=states.withColumn("volume", F.lit(None).cast("double"))) == ["state.required.volume"]
 
