@@ -121,20 +121,25 @@ def or_default(a, n, fill) -> Column:
 
 def resample(points, n: int = 64) -> Column:
     """n points at equal arc lengths along a closed polygon of 2-vectors, end excluded; null if it has no length."""
-    points = _col(points)
-    x, y = F.transform(points, lambda p: F.get(p, F.lit(0)).cast("double")), F.transform(points, lambda p: F.get(p, F.lit(1)).cast("double"))
-    size = F.size(points)
-    step = lambda v, k: F.get(v, (k + 1) % size) - F.get(v, k)
-    each = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.sqrt(step(x, k) * step(x, k) + step(y, k) * step(y, k)))
-    ends = F.aggregate(each, F.array(F.lit(0.0)), lambda s, d: F.concat(s, F.array(F.element_at(s, -1) + d)))
-
-    def at(t: Column) -> Column:
-        k = F.size(F.filter(ends, lambda e: e <= t)) - 1
-        share = F.coalesce(F.try_divide(t - F.get(ends, k), F.get(each, k)), F.lit(0.0))
-        return F.array(F.get(x, k) + share * step(x, k), F.get(y, k) + share * step(y, k))
-
-    total = F.element_at(ends, -1)
-    return F.when((size > 0) & (total > 0), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(i.cast("double") / n * total)))
+    step = lambda v, k: F.get(v, (k + 1) % F.size(v)) - F.get(v, k)
+    axis = lambda ps, i: F.transform(ps, lambda p: F.get(p, F.lit(i)).cast("double"))
+    lengths = lambda c: F.transform(F.sequence(F.lit(0), F.size(c["x"]) - 1), lambda k: F.hypot(step(c["x"], k), step(c["y"], k)))
+    cumulated = lambda each: F.aggregate(each, F.array(F.lit(0.0)), lambda s, d: F.concat(s, F.array(F.element_at(s, -1) + d)))
+
+    def at(c: Column, each: Column, ends: Column, t: Column) -> Column:
+        def between(k: Column) -> Column:
+            share = F.coalesce(F.try_divide(t - F.get(ends, k), F.get(each, k)), F.lit(0.0))
+            return let(share, lambda s: F.array(*[F.get(c[i], k) + s * step(c[i], k) for i in ("x", "y")]))
+
+        return let(F.size(F.filter(ends, lambda e: e <= t)) - 1, between)
+
+    def spread(c: Column, each: Column, ends: Column) -> Column:
+        total = F.element_at(ends, -1)
+        return F.when(total > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: let(i.cast("double") / n * total, lambda t: at(c, each, ends, t))))
+
+    bound = lambda ps: F.struct(axis(ps, 0).alias("x"), axis(ps, 1).alias("y"))
+    found = let(_col(points), lambda ps: let(bound(ps), lambda c: let(lengths(c), lambda each: let(cumulated(each), lambda ends: spread(c, each, ends)))))
+    return F.when(F.size(_col(points)) > 0, found)
 
 
 def masked(a, mask) -> Column:
