@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, html_text, language_id, mixing, pii, sharding, simhash, sketch, spelling, suffix_dedup
+from . import byte_bpe, exact_dedup, html_text, language_id, license_scan, mixing, pii, sharding, simhash, sketch, spelling, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash_vptree": simhash.op10_simhash_vptree,
     "op11_parity_bands": spelling.op11_parity_bands,
+    "op12_license_templates": license_scan.op12_license_templates,
 }
 ORACLE_SQL = {
     "op8_systematic_mix": mixing.OP8_SQL,

@@ -48,7 +48,7 @@ def test_awkward_pipeline(spark, awkward, folder):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 13)} and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "byte_bpe"]
 
 
