@@ -2,20 +2,27 @@
 
 The page is fed in pieces to the standard library's streaming parser. Its events make lines:
 one per text block, with the block's characters, its tags and the characters inside links.
-A line's text-to-tag ratio counts its characters outside links; lines of containers that are
-no content by their element, role, class or id (menus, headers and footers of the page,
-sidebars, notices, adverts, forms, comments, scripts, styles) are marked and count nothing.
+A line's text-to-tag ratio counts its characters outside links. Elements that are no content by
+HTML itself (nav, aside, footer, script, hidden ones, ...) are closed: their lines count nothing.
 Ratios are smoothed by a Gaussian, and lines above a threshold (a share of the deviation of
 the smoothed ratios) form the content clusters.
 
+Names are a prior that clusters overrule. A class, id or role names a part of a page (menu, advert,
+notice, comments, form, ...) only if the whole name or its head noun does: `share-buttons`, not
+`share-prices`. A container so named is left out if its lines are cold or the lesser share of the
+page's clustered text, or if an article or main element elsewhere has text; readers' comments, which
+may outgrow an article, unless no clustered text but headings stands outside named parts. Else the
+name counts for nothing.
+
 Clusters choose the region. A container is worth the characters of its clustered lines less
-those of its other unmarked lines; the region is the container worth most, widened to the article
+those of its other open lines; the region is the container worth most, widened to the article
 around it or to ancestors that add next to nothing. So an article element is the region only
 if its text is the page's content; a page with several articles, or with a story around a
 small article, gets the container of them all. From the region come all clustered lines and,
-since short lines belong to an article too, the other unmarked ones; where the region is the
+since short lines belong to an article too, the other open ones; where the region is the
 whole page, these only from containers that hold clustered lines, and no lists of links.
-Headings right before the region belong to it.
+Headings right before the region belong to it. If no container is worth anything, the clustered
+lines alone are the text.
 
 Work and memory are linear in the page: open elements are found by tag, containers are summed
 up once from the last to the first.
@@ -40,22 +47,37 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, text_or_empty
 
-# Element names and the words of class, id and role that mark containers.
+# Element names, and the words of class, id and role that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-DROPPED = frozenset("aside button canvas dialog footer form head iframe input menu nav noscript object option script select style svg template textarea title".split())
+DROPPED = frozenset("aside button canvas dialog footer head iframe input menu nav noscript object option script select style svg template textarea title".split())
 MARKED = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup popover promo promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # Of these, the words that mark even an article element.
 NO_ARTICLE = frozenset("advert advertisement comment comments promo promoted recommended related replies reply respond sponsor sponsored teaser".split())
-# Names such as has-sidebar or ad-free tell of a container that holds or lacks such a part.
+READERS = frozenset("comment comments disqus replies reply respond".split())
+# Words behind the noun that say no more than that it is a box, where it stands, or what it lists.
+GENERIC = frozenset("area articles bar block body bottom box button buttons column container content desktop first for form global group holder icons inner item items last left link links list main media mobile module networks outer panel post posts primary right row secondary section site slot stories text top trail tray unit wrap wrapper you zone".split())
+# Names such as has-sidebar or without-ads tell of a container that holds or lacks such a part.
 HOLDS = frozenset("has is no with without".split())
-STATES = frozenset("enabled free off on open".split())
 HEADINGS = frozenset(("header", "masthead", "topbar"))
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: A comment, declaration or tag that the page does not end goes on to the page's end.
 _UNENDED = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _PIECE = 1 << 16
+#: What a name says of a container: nothing, a part of the page, readers' comments.
+PLAIN, PART, COMMENTS = range(3)
+
+
+def head_noun(name: str) -> str:
+    """The noun that a class or id ends with, generic words and numbers behind it left out; "" if it has none."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if words and words[0] in HOLDS:
+        return ""
+    while words and (words[-1] in GENERIC or words[-1].isdigit()):
+        words.pop()
+    return words[-1] if words else ""
 
 
 class Open(NamedTuple):
@@ -64,14 +86,16 @@ class Open(NamedTuple):
 
     tag: str
     number: int
-    marked: bool
+    closed: bool
     block: int
     solid: int
-    #: Whether the nearest block is marked.
+    #: Whether the nearest block is closed.
     shut: bool
+    #: What the names of inline elements around say, inside the nearest block.
+    named: int
 
 
-_GROUND = Open("", 0, False, -1, -1, False)
+_GROUND = Open("", 0, False, -1, -1, False, PLAIN)
 #: Open elements that a start tag ends, and those that protect them.
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -85,16 +109,17 @@ _ENDS = {
 
 
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, link characters, marked, number of the container)."""
+    """Events to lines: (text, tags, link characters, closed, number of the container)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[Open] = []
         #: Places of the open elements of each tag.
         self.at: dict[str, list[int]] = defaultdict(list)
-        self.kind, self.parent = ["page"], [0]
+        self.kind, self.parent, self.named = ["page"], [0], [PLAIN]
         self.lines: list[tuple[str, int, int, bool, int]] = []
-        self.parts: list[str] = []
+        #: Text, and what the names of inline elements around it say.
+        self.parts: list[tuple[str, int]] = []
         self.tags = self.linked = 0
 
     def _top(self) -> Open:
@@ -109,30 +134,45 @@ class Lines(HTMLParser):
             self.at[element.tag].pop()
         del self.open[place:]
 
+    def _container(self, kind: str, parent: int, named: int) -> int:
+        self.kind.append(kind)
+        self.parent.append(parent)
+        self.named.append(named)
+        return len(self.kind) - 1
+
     def _flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
+        text = " ".join("".join(d for d, _ in self.parts).split())
         if text:
             top = self._top()
-            self.lines.append((text, self.tags, min(self.linked, len(text)), top.marked, top.number))
+            number, named = self.open[top.block].number if top.block >= 0 else 0, max(n for _, n in self.parts)
+            if named:  # named inline text leaves its line, or makes it a container if it is most of it
+                plain = " ".join("".join(d for d, n in self.parts if not n).split())
+                if 2 * len(plain) >= len(text):
+                    text = plain
+                else:
+                    number = self._container("span", number, named)
+            self.lines.append((text, self.tags, min(self.linked, len(text)), top.closed, number))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
 
-    def _marks(self, tag: str, attributes: dict) -> bool:
-        inside = bool(self.at["article"] or self.at["main"])
-        if tag in DROPPED or tag == "header" and not inside:
-            return True
-        if "hidden" in attributes or (attributes.get("aria-hidden") or "").lower() == "true" or "display:none" in (attributes.get("style") or "").replace(" ", "").lower():
+    def _closes(self, tag: str, attributes: dict) -> bool:
+        if tag in DROPPED or tag == "header" and not (self.at["article"] or self.at["main"]):
             return True
+        return "hidden" in attributes or (attributes.get("aria-hidden") or "").lower() == "true" or "display:none" in (attributes.get("style") or "").replace(" ", "").lower()
+
+    def _names(self, tag: str, attributes: dict) -> int:
+        """What the names of an element say of it."""
         if tag in ("html", "body", "main"):
-            return False
-        names = [_WORD.findall(name) for name in f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower().split()]
-        words = {word for name in names if name and name[0] not in HOLDS and name[-1] not in STATES for word in name}
+            return PLAIN
+        nouns = {head_noun(name) for name in f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split()}
         if tag == "article":
-            return bool(words & NO_ARTICLE)
-        if (attributes.get("role") or "").lower() in ROLES:
-            return True
-        return bool(words & MARKED) or not inside and bool(words & HEADINGS)
+            nouns &= NO_ARTICLE
+        if nouns & READERS:
+            return COMMENTS
+        inside = bool(self.at["article"] or self.at["main"])
+        role = (attributes.get("role") or "").lower() in ROLES and tag != "article"
+        return PART if tag == "form" or role or nouns & MARKED or not inside and nouns & HEADINGS else PLAIN
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -141,20 +181,20 @@ class Lines(HTMLParser):
             self._imply(tag)
         if tag in VOID:
             if tag == "br":
-                self.parts.append("\n")
+                self.parts.append(("\n", PLAIN))
             return
         if tag == "a" and self.at["a"] and self.at["a"][-1] > self._top().block:
             self._cut(self.at["a"][-1])  # links do not nest
-        top = self._top()
-        marked = top.marked or self._marks(tag, dict(attrs))
-        place, number, block, solid, shut = len(self.open), top.number, top.block, top.solid, top.shut
+        top, attributes = self._top(), dict(attrs)
+        closed, says = top.closed or self._closes(tag, attributes), self._names(tag, attributes)
+        place, number, block, solid, shut, named = len(self.open), top.number, top.block, top.solid, top.shut, max(top.named, says)
+        if tag in BLOCK or says:
+            number = self._container(tag if tag in BLOCK else "span", number, says)
         if tag in BLOCK:
-            number, block, shut = len(self.kind), place, marked
+            block, shut, named = place, closed, PLAIN
             solid = solid if tag == "p" else place
-            self.kind.append(tag)
-            self.parent.append(top.number)
         self.at[tag].append(place)
-        self.open.append(Open(tag, number, marked, block, solid, shut))
+        self.open.append(Open(tag, number, closed, block, solid, shut, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, where the slash has no meaning
@@ -188,10 +228,10 @@ class Lines(HTMLParser):
         top = self._top()
         if top.tag in ("script", "style"):
             return
-        # marked inline elements (buttons, hidden spans) do not mark the block around them
-        if top.marked and not top.shut and top.tag not in BLOCK:
+        # closed inline elements (buttons, hidden spans) do not close the block around them
+        if top.closed and not top.shut and top.tag not in BLOCK:
             return
-        self.parts.append(data)
+        self.parts.append((data, top.named))
         if self.at["a"]:
             self.linked += len(data.strip())
 
@@ -212,13 +252,48 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 def clusters(lines: list, sigma: float = 1.0, share: float = 0.5) -> np.ndarray:
     """Whether each line's smoothed text-to-tag ratio is above the threshold."""
-    ratios = np.array([0.0 if marked else (len(text) - linked) / max(1, tags) for text, tags, linked, marked, _ in lines])
+    ratios = np.array([0.0 if closed else (len(text) - linked) / max(1, tags) for text, tags, linked, closed, _ in lines])
+    if not ratios.any():  # all open text is links: then it counts
+        ratios = np.array([0.0 if closed else len(text) / max(1, tags) for text, tags, _, closed, _ in lines])
     smooth = smoothed(ratios, sigma)
     return (smooth > share * smooth.std()) & (ratios > 0)
 
 
+def _summed(parent: list[int], values: list) -> list:
+    """The values of each container with all inside it; parents have lower numbers."""
+    for i in range(len(values) - 1, 0, -1):
+        values[parent[i]] += values[i]
+    return values
+
+
+def without_parts(parser: Lines, lines: list) -> list:
+    """The lines with those of the page's parts closed, as far as the clusters let names say so."""
+    kind, parent, named, n = parser.kind, parser.parent, parser.named, len(parser.kind)
+    if not any(named):
+        return lines
+    hot, own, content = clusters(lines).tolist(), [0] * n, [0] * n
+    around = [-1] * n  # the innermost article or main element
+    for i in range(n):
+        around[i] = i if kind[i] in ("article", "main") and not named[i] else around[parent[i]] if i else -1
+    suspect = list(named)  # containers inside named ones
+    for i in range(1, n):
+        suspect[i] = max(named[i], suspect[parent[i]])
+    for (text, _, _, closed, number), inside in zip(lines, hot, strict=True):
+        own[number] += len(text) if inside else 0
+        content[number] += around[number] >= 0 and not closed and not suspect[number]
+    total, elsewhere = sum(own), sum(content)
+    story = any(own[i] and not suspect[i] and kind[i] not in _HEADINGS for i in range(n))
+    own, content = _summed(parent, own), _summed(parent, content)
+    out = [False] * n
+    for i in range(1, n):
+        share = not story if named[i] == COMMENTS else 2 * own[i] > total
+        void = own[i] > 0 and share and elsewhere == (content[around[i]] if around[i] >= 0 else 0)
+        out[i] = out[parent[i]] or bool(named[i]) and not void
+    return [(text, tags, linked, closed or out[number], number) for text, tags, linked, closed, number in lines]
+
+
 #: Containers that are parts of a text rather than regions of a page.
-_PARTS = frozenset("blockquote caption center dd dl dt figcaption h1 h2 h3 h4 h5 h6 hgroup li menu ol p pre table tbody td tfoot th thead tr ul".split())
+_PARTS = frozenset("blockquote caption center dd dl dt figcaption h1 h2 h3 h4 h5 h6 hgroup li menu ol p pre span table tbody td tfoot th thead tr ul".split())
 _WHOLE = frozenset(("page", "html", "body"))
 #: Shares of the best worth that an article, or another ancestor, has to have to become the region.
 ARTICLE_SHARE, WIDER_SHARE = 0.5, 0.9
@@ -229,15 +304,17 @@ def main_blocks(html: str | None) -> list[str]:
     for at in range(0, len(html or ""), _PIECE):
         parser.feed(html[at : at + _PIECE])
     lines = parser.done()
-    if all(marked for _, _, _, marked, _ in lines):
+    if lines:
+        lines = without_parts(parser, lines)
+    if all(closed for _, _, _, closed, _ in lines):
         return []
     hot = clusters(lines)
     if not hot.any():
-        hot = np.array([not marked for _, _, _, marked, _ in lines])
+        return []
     kind, parent, n = parser.kind, parser.parent, len(parser.kind)
     worth, warm, last = [0] * n, [False] * n, list(range(n))  # characters, whether it holds clustered lines, last container inside
-    for (text, _, _, marked, number), inside in zip(lines, hot.tolist(), strict=True):
-        worth[number] += len(text) if inside else 0 if marked else -len(text)
+    for (text, _, _, closed, number), inside in zip(lines, hot.tolist(), strict=True):
+        worth[number] += len(text) if inside else 0 if closed else -len(text)
         warm[number] |= inside
     direct = [warm[i] for i in range(n)]
     for i in range(n - 1, 0, -1):  # parents have lower numbers
@@ -248,8 +325,10 @@ def main_blocks(html: str | None) -> list[str]:
         direct[up] |= direct[i] and kind[i] in _PARTS
     region = max((i for i in range(n) if kind[i] not in _PARTS and warm[i]), key=lambda i: (worth[i], i))
     best, at = worth[region], region
+    if best <= 0:
+        return [line[0] for line, inside in zip(lines, hot.tolist(), strict=True) if inside]
     linked = lambda line: 2 * line[2] >= len(line[0])
-    idle = [0] * n  # unmarked lists of links
+    idle = [0] * n  # open lists of links
     for line in lines:
         idle[line[4]] += not line[3] and linked(line)
     for i in range(n - 1, 0, -1):
@@ -266,8 +345,8 @@ def main_blocks(html: str | None) -> list[str]:
             home[i] = home[parent[i]]
 
     def belongs(line: tuple, inside: bool) -> bool:
-        text, _, _, marked, number = line
-        if inside or marked:
+        text, _, _, closed, number = line
+        if inside or closed:
             return inside
         if named[number]:
             return True
