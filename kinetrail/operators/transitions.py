@@ -66,3 +66,15 @@ def evolution(states: DataFrame, values: list[str], parts: int = 8, part: str =
     """Series of the first parts (a report over a fixed number of parts)."""
     first = states.select(part).distinct().orderBy(part).limit(parts)
     return states.join(F.broadcast(first), part, "left_semi").select(part, "step", *values)
+
+
+def numbered_pairs(states: DataFrame, values: list[str], horizons: list[int], part=PART, step: str = "step", keep: list[str] | None = None) -> DataFrame:
+    """(S_t, S_t+H) for each horizon, where `step` numbers the rows of a part without gaps or repeats.
+
+    Rows meet by (part, step), so a part of any size is spread over all tasks, unlike `pairs`, whose
+    window holds a part in one. `values` also come as next_<values>; `keep` only of S_t.
+    """
+    wanted = F.explode(F.array(*[F.lit(horizon_of(h)) for h in horizons])).alias("horizon")
+    later = states.select(*part, F.col(step).alias("target_step"), *[F.col(v).alias(f"next_{v}") for v in values], wanted).withColumn(step, F.col("target_step") - F.col("horizon"))
+    found = states.select(*part, step, *values, *(keep or [])).join(later.where(F.col(step) >= 0), [*part, step])
+    return found.select(*part, step, *values, "target_step", *[f"next_{v}" for v in values], "horizon", *(keep or []))
