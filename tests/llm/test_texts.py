@@ -311,6 +311,32 @@ def test_personal_data_query(spark, awkward, no_rows, folder):
     assert pii.find_spans(no_rows).count() == 0
 
 
+ANCHORS = [*pii.SCHEMES, *(f"{t}{g}" for t in pii.TOKENS for g in ("=", " is ", " ", ": x=")), *(f"{c}: " for c in pii.CUES), "@", "a@b", "a@b.", "+", "+1 ", "1.", "1 ", "DE12", "ftp://a:", "https://a@", "secret=a.", "token=1", "pwd a1/"]
+
+
+@pytest.mark.parametrize("unit", ANCHORS)
+def test_spans_are_linear(unit):
+    finder = pii.Finder()
+
+    def seconds(size):
+        text, took = unit * (size // len(unit)), []
+        for _ in range(2):
+            began = time.perf_counter()
+            finder.spans(text)
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    short, long = seconds(50_000), seconds(400_000)
+    assert long < 0.8 or long < 16 * short  # eight times the text
+
+
+@pytest.mark.parametrize("unit", ["secret=", "mailto:", "tel:"])
+def test_a_megabyte_of_anchors(unit):
+    began = time.perf_counter()
+    pii.Finder().spans(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 2
+
+
 # --- pages -----------------------------------------------------------------
 
 
