@@ -10,7 +10,10 @@
    triangle bound (distance to the boundary <= 2) cannot rule out. The sample only shapes
    the shards; links are exact for any sample.
 4. In each shard a vantage-point tree over the home fingerprints answers all queries of the
-   shard with the same bound, and the links found there shrink to a spanning forest.
+   shard with the same bound, and the links found there shrink to a spanning forest. Where no
+   vantage splits a dense leaf (the variants of one large template), points meet in the values one
+   flipped bit away: two are within two bits if and only if they share one. Same links, but
+   n log n work and bounded memory.
 5. Components: rounds of contraction to the neighbour of least hashed order, each round's
    tables written to the shared folder.
 
@@ -42,6 +45,11 @@ MOST_SAMPLE = 1 << 20
 SHARD = 1 << 18
 LEAST_SHARD = 4096
 LEAF = 48
+#: A leaf of more points is matched by shared values one bit away; so many values are held at a time.
+DENSE = 2048
+VALUES = 1 << 22
+#: Points of a leaf, and queries, that are compared at once.
+BLOCK = (1024, 4096)
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -149,6 +157,42 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def meetings(points: np.ndarray, at: np.ndarray, leaf: np.ndarray, reach: int = MAX_BITS, most: int = VALUES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (i, j) that connect the points `leaf` and the points `at` (both indices of `points`) as
+    all their pairs within `reach` (1 or 2) bits would.
+
+    Points of the leaf stand at themselves and at all values one bit away; those of `at` too if reach
+    is 2, else only at themselves. All that stand at one value are linked to one of the other side
+    there. Values are taken in passes by their hash, about `most` at a time.
+    """
+    flips = np.concatenate(([np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)))
+    sides = [(leaf, flips), (at, flips if reach == 2 else flips[:1])]
+    passes = max(1, -(-sum(len(p) * len(f) for p, f in sides) // most))
+    step = max(1, most // 65)
+    for turn in range(passes):
+        values, owners, of_leaf = [], [], []
+        for side, (members, bits) in enumerate(sides):
+            for k in range(0, len(members), step):
+                some = members[k : k + step]
+                near = (points[some][:, None] ^ bits[None, :]).ravel()
+                mine = (near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(passes) == turn
+                values.append(near[mine])
+                owners.append(np.repeat(some, len(bits))[mine])
+                of_leaf.append(np.full(len(values[-1]), side == 0))
+        value, owner, is_leaf = np.concatenate(values), np.concatenate(owners), np.concatenate(of_leaf)
+        del values, owners, of_leaf
+        order = np.argsort(value, kind="stable")  # leaf points first at every value
+        value, owner, is_leaf = value[order], owner[order], is_leaf[order]
+        first = np.concatenate(([True], value[1:] != value[:-1]))
+        group = np.cumsum(first) - 1
+        start = np.nonzero(first)[0]
+        end = np.append(start[1:], len(value)) - 1
+        both = is_leaf[start] & ~is_leaf[end]
+        linked = both[group]
+        other = np.where(is_leaf, owner[end][group], owner[start][group])[linked]
+        yield owner[linked], other
+
+
 def shard_links(points: np.ndarray, home: np.ndarray, reach: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between a shard's home points and all its points."""
     points, where = np.unique(points, return_inverse=True)
@@ -165,17 +209,26 @@ def shard_links(points: np.ndarray, home: np.ndarray, reach: int = MAX_BITS) ->
             label = forest(len(points), np.concatenate([np.arange(len(points)), *found_a]), np.concatenate([label, *found_b]))
         found_a, found_b, held = [], [], 0
 
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal held
+        apart = label[i] != label[j]  # not linked yet
+        found_a.append(i[apart])
+        found_b.append(j[apart])
+        held += int(apart.sum())
+        if held > 2_000_000:
+            settle()
+
     for _, (leaf,), at in visit(tree, points, reach):
-        for k in range(0, len(at), 8192):
-            part = at[k : k + 8192]
-            i, j = np.nonzero(_distance(leaf[:, None], points[part][None, :]) <= reach)
-            i, j = np.searchsorted(points, leaf[i]), part[j]
-            apart = i != j
-            found_a.append(i[apart])
-            found_b.append(j[apart])
-            held += int(apart.sum())
-            if held > 2_000_000:
-                settle()
+        if len(leaf) > DENSE and reach in (1, 2):
+            for i, j in meetings(points, at, np.searchsorted(points, leaf), reach):
+                add(i, j)
+            continue
+        for h in range(0, len(leaf), BLOCK[0]):
+            some = leaf[h : h + BLOCK[0]]
+            for k in range(0, len(at), BLOCK[1]):
+                part = at[k : k + BLOCK[1]]
+                i, j = np.nonzero(_distance(some[:, None], points[part][None, :]) <= reach)
+                add(np.searchsorted(points, some[i]), part[j])
     settle()
     moved = np.nonzero(label != np.arange(len(points)))[0]
     return points[moved], points[label[moved]]
