@@ -49,6 +49,20 @@ def test_ids_equal_the_library(coder, reference):
         assert coder.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("unit", ["abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他", "a", "theingtion", "ABCdef+/0123456789"])
+def test_long_pieces(coder, reference, unit):
+    rng = random.Random(3)
+    for n in (1_000, 30_000, 300_000):
+        text = "".join(rng.choice(unit) for _ in range(n // len(unit[0].encode())))
+        began = time.perf_counter()
+        ids = coder.encode([text])[0]
+        took = time.perf_counter() - began
+        if n < 100_000 or len(set(text)) > 1:
+            assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text)
+        assert coder.decode(ids) == text.encode()
+    assert took < 6
+
+
 def test_memo_is_bounded(reference):
     small = byte_bpe.ByteBpe(byte_bpe.read_ranks(byte_bpe.default_path()), byte_bpe.default_pattern(), memo=12_000, cells=64)
     for n in range(40):
