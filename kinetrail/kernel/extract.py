@@ -7,10 +7,13 @@ import signal
 import threading
 import time
 from collections.abc import Iterator
+from multiprocessing import get_context
+from multiprocessing.connection import Connection
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
@@ -46,9 +49,34 @@ def _sampled(rows: list[dict], index: str, sampler: str, name: str, n: int) -> l
     return [{index: i, **{k: v for k, v in r.items() if k != sampler}, name: r[sampler](n).astype("float32").ravel().tolist() if n else None} for i, r in enumerate(rows)]
 
 
+def _in_child(pipe: Connection, *arguments) -> None:
+    pipe.send(_run_part(*arguments))
+
+
 def run_part(code: str | None, timeout_s: float, grid: int = 0, samples: int = 0) -> tuple[str, str | None, float, list, list, list]:
-    """(status, error, seconds, ops, states, actions); the limit is kept inside the task, outside
-    the main thread (which alone gets signals) only after the part is done."""
+    """(status, error, seconds, ops, states, actions); the limit is kept inside the task. Only the main
+    thread gets signals: elsewhere a forked process runs the part and is killed at the limit."""
+    if threading.current_thread() is threading.main_thread():
+        return _run_part(code, timeout_s, grid, samples)
+    began, forked = time.perf_counter(), get_context("fork")
+    here, there = forked.Pipe(duplex=False)
+    child = forked.Process(target=_in_child, args=(there, code, timeout_s, grid, samples), daemon=True)
+    child.start()
+    there.close()
+    try:
+        # The child stops itself by a signal; only one that cannot take it is killed.
+        if here.poll(timeout_s * 1.1 + 1):
+            return here.recv()
+        return "timeout", f"timeout after {timeout_s} s", time.perf_counter() - began, [], [], []
+    except EOFError:
+        return "runtime_error", f"process ended with {child.exitcode}", time.perf_counter() - began, [], [], []
+    finally:
+        child.kill()
+        child.join()
+        here.close()
+
+
+def _run_part(code: str | None, timeout_s: float, grid: int = 0, samples: int = 0) -> tuple[str, str | None, float, list, list, list]:
     began, old = time.perf_counter(), None
     limited = threading.current_thread() is threading.main_thread()
 
@@ -128,7 +156,7 @@ def faces(results: DataFrame) -> DataFrame:
     f = _states(results).select("part_id", "step", F.explode("faces").alias("f")).select("part_id", "step", "f.*")
     d = [F.get("size", F.lit(i)) for i in range(3)]
     vector = S.assemble(
-        32, S.one_hot("kind", SURFACE_GROUPS, 8), [F.col("area")], F.col("centroid"), S.flip(S.normalize("normal"), F.lit(False)), F.col("size"),
+        32, S.one_hot("kind", SURFACE_GROUPS, 8), [F.col("area")], F.col("centroid"), S.normalize("normal"), F.col("size"),  # normals come turned outward
         [F.col("num_wires").cast("double"), F.col("num_edges").cast("double"), F.when(F.col("reversed"), -1.0).otherwise(1.0)], F.col("uv_range"), F.col("inertia"),
         [S.log_area("area"), S.aspect(d[0], d[1]), S.aspect(d[1], d[2]), S.diagonal(*d), S.flag(F.col("kind") != "plane"), S.flag(F.col("num_wires") > 1)],
     )
@@ -172,3 +200,18 @@ def trajectories(results: DataFrame, parts: DataFrame) -> DataFrame:
     """One row per successful part: where it came from (split, source_shard, source_row of `parts`) and its steps."""
     done = results.where("status = 'success'").select("part_id", F.size("states").alias("num_steps"))
     return done.join(parts.select("part_id", F.col("split").alias("source_split"), "source_shard", "source_row"), "part_id").select("part_id", "source_split", "source_shard", "source_row", "num_steps")
+
+
+@udtf(returnType="step int, depth int, op_name string, args array<string>")
+class ProgramOperations:
+    """The operations of one program as rows; a program that fails has none."""
+
+    def eval(self, code: str | None) -> Iterator[tuple]:
+        for op in run_part(code, 15.0)[3]:
+            yield op["step"], op["depth"], op["op_name"], op["args"]
+
+
+def register(spark: SparkSession) -> None:
+    """Make the table function `program_operations(code)` known to SQL."""
+    ship(spark)
+    spark.udtf.register("program_operations", ProgramOperations)

@@ -46,16 +46,26 @@ def assign_batches(samples: DataFrame, batch_size: int, order: list, within: lis
     return out.withColumn("batch_id", F.floor(F.col("_rank") / batch_size)).withColumn("batch_pos", (F.col("_rank") % batch_size).cast("int")).drop("_rank")
 
 
+def ranged(rows: DataFrame, order: list) -> DataFrame:
+    """`rows` written in order, with _part, the number of their range, and _in, their place in it.
+
+    Equal keys, were they all the rows, are spread over ranges by a number of the row.
+    """
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ordered = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order).drop("_tie")
+    place = F.monotonically_increasing_id()  # partition number, then row number in 33 bits
+    return written(ordered.withColumn("_place", place).withColumns({"_part": F.shiftright("_place", 33), "_in": F.col("_place").bitwiseAND(2**33 - 1)}).drop("_place"), "ranged")
+
+
 def global_rank(rows: DataFrame, order: list, name: str) -> DataFrame:
     """0-based rank over all rows without a single-task window: a range partitioning keeps the
-    order, ranks inside each partition are shifted by the counts of those before it."""
-    # Written once, so that both readers below see the same partition numbers.
-    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    order, ranks inside each partition are shifted by the counts of those before it. The sorted
+    partitions are written with their row numbers, so ranking needs no further exchange."""
+    placed = ranged(rows, order)
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     #: one row per partition
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
 def offsets(graphs: DataFrame, counts: dict[str, str], batch: str = "batch_id", pos: str = "batch_pos") -> DataFrame:

@@ -915,7 +915,7 @@ def program_steps(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey::VARCHAR AS part_id, p_partkey % 5 AS kind, (p_size + 1)::DOUBLE AS s FROM part WHERE p_partkey % 5 < 2),
+WITH p AS (SELECT p_partkey::VARCHAR AS part_id, p_partkey % 5 AS kind, (p_size + 1)::DOUBLE AS s FROM part WHERE p_partkey % 5 < 3),
 f AS (
   SELECT part_id, i AS face_idx, CASE WHEN i < 2 THEN s * 20 WHEN i IN (2, 4) THEN s * 30 ELSE 600 END::DOUBLE AS area,
     CASE i WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END::DOUBLE AS normal_z, CASE i WHEN 2 THEN -1 WHEN 4 THEN 1 ELSE 0 END::DOUBLE AS normal_y,
@@ -925,12 +925,15 @@ f AS (
   UNION ALL SELECT part_id, i, CASE WHEN i = 0 THEN 8 * pi() * s ELSE pi() * s * s END, CASE i WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END, 0,
     CASE WHEN i = 0 THEN 8 * pi() * s * (s * s / 2 + 16 / 12.0::DOUBLE) ELSE pi() * s * s * s * s / 4 END, CASE WHEN i = 0 THEN 8 * pi() * s * s * s ELSE pi() * s * s * s * s / 2 END, CASE WHEN i = 0 THEN 2 * pi() ELSE 2 * s END, CASE WHEN i = 0 THEN 3 ELSE 1 END
   FROM p, range(0, 3) r(i) WHERE kind = 1
+  UNION ALL SELECT part_id, i, area, CASE i WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END, [0, 0, -1, 0, 0.8][i + 1], CASE WHEN i < 2 THEN 3 ELSE area * (dy * dy + s * s) / 12 END,
+    CASE WHEN i < 2 THEN 25 / 3.0::DOUBLE ELSE area * (dx * dx + dy * dy) / 12 END, CASE WHEN i < 2 THEN 4 ELSE sqrt(dx * dx + dy * dy) END, CASE WHEN i < 2 THEN 3 ELSE 4 END
+  FROM (SELECT *, CASE WHEN i < 2 THEN 6 ELSE s * sqrt(dx * dx + dy * dy) END AS area FROM (SELECT part_id, s, i, [0, 0, 4, 0, 4][i + 1]::DOUBLE AS dx, [0, 0, 0, 3, 3][i + 1]::DOUBLE AS dy FROM p, range(0, 5) r(i) WHERE kind = 2))
 )
 SELECT part_id, face_idx::BIGINT AS face_idx, round(area / greatest(1, area), 4) AS area_share, round(ln(1 + area), 3) AS log_area, normal_y + 0.0::DOUBLE AS normal_y, normal_z + 0.0::DOUBLE AS normal_z, round(ln(1 + ixx), 3) AS log_ixx, round(ln(1 + izz), 3) AS log_izz, round(u_len, 3) AS u_len, num_edges FROM f
 """)
 def face_values(spark, sf_dir):
     """Values of face features: area, mid normal, moments of inertia, parameter span, edge count."""
-    found = extract.faces(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 5 < 2")))
+    found = extract.faces(extract.extract(_programs(spark, sf_dir)))
     at = lambda i: F.get("features", F.lit(i)).cast("double")
     return found.select(
         "part_id", big("face_idx").alias("face_idx"), r(at(8) / F.greatest(F.lit(1.0), at(8)), 4).alias("area_share"), r(at(26), 3).alias("log_area"), r(at(13), 3).alias("normal_y"), r(at(14), 3).alias("normal_z"),
@@ -939,26 +942,30 @@ def face_values(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey::VARCHAR AS part_id, p_partkey % 5 AS kind, (p_size + 1)::DOUBLE AS s FROM part WHERE p_partkey % 5 IN (0, 1))
+WITH p AS (SELECT p_partkey::VARCHAR AS part_id, p_partkey % 5 AS kind, (p_size + 1)::DOUBLE AS s FROM part WHERE p_partkey % 5 < 3)
 SELECT part_id, i::BIGINT AS edge_idx, round(CASE WHEN i % 3 = 2 THEN ln(31::DOUBLE) WHEN i // 3 % 2 = 0 THEN ln(1 + s) ELSE ln(21::DOUBLE) END, 4) AS length, 1.0::DOUBLE AS convexity, 0.0::DOUBLE AS closed, round(CASE WHEN i % 3 = 2 THEN 30 WHEN i // 3 % 2 = 0 THEN s ELSE 20 END, 3)::DOUBLE AS way FROM p, range(0, 12) r(i) WHERE kind = 0
 UNION ALL SELECT part_id, i, round(CASE WHEN i < 2 THEN ln(1 + 2 * pi() * s) ELSE ln(5::DOUBLE) END, 4), CASE WHEN i < 2 THEN 1 ELSE 0 END, CASE WHEN i < 2 THEN 1 ELSE 0 END, CASE WHEN i < 2 THEN 0 ELSE 4 END FROM p, range(0, 3) r(i) WHERE kind = 1
+UNION ALL SELECT part_id, i, round(ln(1 + way), 4), 1, 0, way FROM (SELECT part_id, i, CASE WHEN i % 3 = 2 THEN s ELSE [4, 3, 5][i // 3 + 1] END::DOUBLE AS way FROM p, range(0, 9) r(i) WHERE kind = 2)
 """)
 def edge_values(spark, sf_dir):
     """Values of edge features, and the distance between the first and the last curve sample."""
-    found = extract.edges(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 5 < 2"), samples=5))
+    found = extract.edges(extract.extract(_programs(spark, sf_dir), samples=5))
     at = lambda i: F.get("features", F.lit(i)).cast("double")
     step = lambda c: F.get("u", F.lit(5 * c + 4)).cast("double") - F.get("u", F.lit(5 * c)).cast("double")
     return found.select("part_id", big("edge_idx").alias("edge_idx"), r(at(6), 4).alias("length"), r(at(15)).alias("convexity"), r(at(13)).alias("closed"), r(S.diagonal(step(0), step(1), step(2)), 3).alias("way"))
 
 
 @query("""
-WITH p AS (SELECT p_partkey::VARCHAR AS part_id, (p_size + 1)::DOUBLE AS s FROM part WHERE p_partkey % 5 = 1), g AS (SELECT part_id, s, u, v, hypot AS d FROM (SELECT *, sqrt((u * 2 / 8.0::DOUBLE - 1) ^ 2 + (v * 2 / 8.0::DOUBLE - 1) ^ 2) AS hypot FROM p, range(0, 9) a(u), range(0, 9) b(v)))
+WITH o AS (SELECT p_partkey::VARCHAR AS part_id, p_partkey % 5 AS kind, (p_size + 1)::DOUBLE AS s FROM part WHERE p_partkey % 5 < 3), p AS (SELECT * FROM o WHERE kind = 1),
+g AS (SELECT part_id, s, u, v, hypot AS d FROM (SELECT *, sqrt((u * 2 / 8.0::DOUBLE - 1) ^ 2 + (v * 2 / 8.0::DOUBLE - 1) ^ 2) AS hypot FROM p, range(0, 9) a(u), range(0, 9) b(v)))
 SELECT part_id, 0::BIGINT AS face_idx, 81::BIGINT AS inside, round(81 * 2, 2)::DOUBLE AS sum_z, 81.0::DOUBLE AS normals FROM p
 UNION ALL SELECT part_id, f, count(*) FILTER (d <= 1 + 1e-9)::BIGINT, round(count(*) FILTER (d <= 1 + 1e-9) * CASE WHEN f = 1 THEN 0 ELSE 4 END, 2)::DOUBLE, (count(*) FILTER (d <= 1 + 1e-9))::DOUBLE FROM g, (SELECT unnest([1, 2]) AS f) GROUP BY part_id, f
+UNION ALL SELECT part_id, f, 81, CASE f WHEN 0 THEN -1215 WHEN 1 THEN 1215 ELSE 0 END, 81 FROM o, range(0, 6) r(f) WHERE kind = 0
+UNION ALL SELECT part_id, f, CASE WHEN f < 2 THEN 45 ELSE 81 END, CASE f WHEN 0 THEN 0 WHEN 1 THEN 45 * s ELSE 81 * s / 2 END, CASE WHEN f < 2 THEN 45 ELSE 81 END FROM o, range(0, 5) r(f) WHERE kind = 2
 """)
 def surface_grids(spark, sf_dir):
-    """Grid samples of cylinders: cells inside the trim, heights, lengths of the normals."""
-    found = extract.faces(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 5 = 1"), grid=9))
+    """Grid samples of faces: cells inside the trim, heights, lengths of the normals."""
+    found = extract.faces(extract.extract(_programs(spark, sf_dir), grid=9))
     channel = lambda c: F.transform(S.at_grid("uv", c, 9, 9), lambda x: x.cast("double"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     squares = F.zip_with(F.zip_with(channel(3), channel(4), lambda a, b: a * a + b * b), channel(5), lambda a, b: a + b * b)
@@ -991,18 +998,20 @@ def one_hot_curve(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS k, p_partkey // 5 % 6 AS fault FROM part WHERE p_partkey % 5 = 0)
+WITH p AS (SELECT p_partkey AS k, p_partkey // 5 % 6 AS fault, p_partkey % 5 AS kind, [6, 3, 5][p_partkey % 5 + 1] AS n FROM part WHERE p_partkey % 5 < 3)
 SELECT k || '/1' AS entity, 'state.required.volume' AS rule, 'volume' AS detail FROM p WHERE fault = 0
-UNION ALL SELECT k || '/1', 'faces.count', '5!=6' FROM p WHERE fault = 1
-UNION ALL SELECT k || '/1/' || i, 'uv_mask.binary', 'mask' FROM p, range(0, 6) r(i) WHERE fault = 2
+UNION ALL SELECT k || '/1', 'faces.count', (n - 1) || '!=' || n FROM p WHERE fault = 1
+UNION ALL SELECT k || '/1/' || i, 'uv_mask.binary', 'mask' FROM p, range(0, 6) r(i) WHERE fault = 2 AND i < n
 UNION ALL SELECT k || '/1/0', 'edges.u.shape', '3' FROM p WHERE fault = 3
-UNION ALL SELECT k || '/1/' || i, 'adjacency.src', (i // 4 + 5)::VARCHAR FROM p, range(4, 24) r(i) WHERE fault = 4
+UNION ALL SELECT k || '/1/' || i, 'adjacency.src', (i // 4 + 5)::VARCHAR FROM p, range(4, 24) r(i) WHERE fault = 4 AND kind = 0
+UNION ALL SELECT k || '/1/' || i, 'adjacency.src', [5, 5, 6, 7][i + 1]::VARCHAR FROM p, range(0, 4) r(i) WHERE fault = 4 AND kind = 1
+UNION ALL SELECT k || '/1/' || i, 'adjacency.src', (CASE WHEN i < 6 THEN i // 3 ELSE 2 + (i - 6) // 4 END + 5)::VARCHAR FROM p, range(0, 18) r(i) WHERE fault = 4 AND kind = 2
 UNION ALL SELECT k || '/1/99/0', 'incidence.face', '99' FROM p WHERE fault = 5
 """)
 def violations_state(spark, sf_dir):
-    """Rules of states on extracted boxes with a fault each, by part key."""
+    """Rules of states on extracted parts with a fault each, by part key."""
     with rows_per_batch(spark, 512):
-        results = written(extract.extract(_programs(spark, sf_dir).where("CAST(part_id AS INT) % 5 = 0"), grid=2, samples=2), "extracted")
+        results = written(extract.extract(_programs(spark, sf_dir), grid=2, samples=2), "extracted")
         faces, edges, inc = (written(t, "extracted-table") for t in (extract.faces(results), extract.edges(results), extract.face_edge(results)))
     fault = F.floor(F.col("part_id").cast("int") / 5) % 6
     first = F.col("edge_idx") == 0
@@ -1146,7 +1155,7 @@ def _raw_parts(spark, sf_dir) -> str:
 def part_scan(spark, sf_dir):
     """Shards found by split, scanned by three columns, bytes as text; the pool of all files holds the same parts."""
     root = _raw_parts(spark, sf_dir)
-    rows = parts.scan(spark, root).unionByName(parts.scan(spark, root, "validation").limit(0))
+    rows = parts.scan(spark, root)
     pooled = parts.pool(spark, root, "validation").select("part_id", F.when(F.col("split") == "val", "pool").alias("pooled"))
     good = F.col("code").contains("Workplane") & ~F.col("code").contains("fillet")
     return rows.join(pooled, "part_id").select("part_id", "split", big("ops_count").alias("ops"), good.alias("good"), "pooled")
@@ -1163,3 +1172,6 @@ def preprocess_run(spark, sf_dir):
     meta = preprocess.run(spark, root, out, choice)
     left = shards.pending(parts.scan(spark, root, "train"), out).count()
     return meta.groupBy("split").agg(big(F.sum("attempted")).alias("attempted"), big(F.sum("succeeded")).alias("succeeded"), F.min(F.col("bytes") > 0).alias("has_bytes"), big(F.max(F.size("face_features"))).alias("face_names"), big(F.max(F.size("vocabulary"))).alias("commands"), F.max(F.array_join(F.col("shapes")["uv"].cast("array<string>"), "x")).alias("uv"), F.lit(left).cast("bigint").alias("left_over"))
+
+
+from . import reading  # noqa: E402, F401  (registers its queries)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .config import compose
+from .functions.scalar import split_alias
 from .kernel import extract
 from .operators import graph
 from .sources import parts, shards
@@ -38,12 +42,40 @@ def run(spark: SparkSession, root: str, out: str, overrides: list[str] | None =
     Part keys are taken to be unique. Work tables are deleted at the end.
     """
     config = compose(overrides)
-    job, data = config["preprocess"], config["data"]
+    job = config["preprocess"]
     with scope(spark), rows_per_batch(spark, 64):  # a part's grids are some 100 KB
         rows = parts.first_parts(parts.scan(spark, root, job["split"], job["max_shards"], skip_corrupt=True), job["max_parts"])
         rows = written(shards.pending(rows, out, job["overwrite"]), "pending-parts")
         if rows.isEmpty():
             return spark.read.parquet(f"{out}/shard_metadata")
-        results = written(extract.extract(rows, job["timeout_s"], data["uv_grid"], data["curve_samples"]), "extracted")
-        attempted = rows.select("part_id", *shards.PARTITIONS).join(results.select("part_id", "status"), "part_id", "left")
-        return shards.write(tables_of(results, rows), attempted, out, data["uv_grid"], data["curve_samples"])
+        return _write(rows, out, config)
+
+
+def _write(rows: DataFrame, out: str, config: dict[str, Any]) -> DataFrame:
+    """Extract `rows` and write the shards they come from; each is replaced whole."""
+    job, data = config["preprocess"], config["data"]
+    results = written(extract.extract(rows, job["timeout_s"], data["uv_grid"], data["curve_samples"]), "extracted")
+    attempted = rows.select("part_id", *shards.PARTITIONS).join(results.select("part_id", "status"), "part_id", "left")
+    return shards.write(tables_of(results, rows), attempted, out, data["uv_grid"], data["curve_samples"])
+
+
+def follow(spark: SparkSession, root: str, out: str, checkpoint: str, overrides: list[str] | None = None, files_per_batch: int = 8, columns: dict[str, str] = parts.COLUMNS) -> StreamingQuery:
+    """Extract raw shards as they arrive under <root>/data/<split>: those not taken before, then stop.
+
+    A shard is one file, so a micro batch holds shards whole, and the same files make the same batch. What
+    a batch wrote before a crash is replaced shard by shard when it is replayed: nothing is there twice.
+    """
+    config = compose(overrides)
+    folders = f"{root}/data/*"
+    raw = spark.readStream.schema(spark.read.parquet(folders).schema).option("maxFilesPerTrigger", files_per_batch).parquet(folders)
+    split = split_alias(F.element_at(F.split("_metadata.file_path", "/"), -2))
+    arrived = parts.with_lineage(raw, split, columns)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        with scope(session), rows_per_batch(session, 64):
+            rows = written(batch, "arrived-parts")
+            if not rows.isEmpty():
+                _write(rows, out, config)
+
+    return arrived.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

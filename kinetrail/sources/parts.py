@@ -44,7 +44,8 @@ def as_text(column: Column | str) -> Column:
     return F.col(column).cast("string") if isinstance(column, str) else column.cast("string")
 
 
-def _with_lineage(raw: DataFrame, split: Column, columns: dict[str, str]) -> DataFrame:
+def with_lineage(raw: DataFrame, split: Column, columns: dict[str, str]) -> DataFrame:
+    """The three columns with split, file and row, of a table or stream of raw files."""
     return raw.select(
         as_text(columns["part_id"]).alias("part_id"), split.alias("split"), F.col("_metadata.file_name").alias("source_shard"), F.col("_metadata.row_index").alias("source_row"),
         as_text(columns["code"]).alias("code"), F.col(columns["ops_count"]).cast("int").alias("ops_count"),
@@ -58,7 +59,7 @@ def scan(spark: SparkSession, root: str, split: str = "all", max_shards: int | N
     """Parts of the split with file and row lineage; only the three columns are read."""
     reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
     shards = find_shards(spark, root, split, max_shards)
-    frames = [_with_lineage(reader.parquet(*[f for s, f in shards if s == name]), F.lit(name), columns) for name in dict.fromkeys(s for s, _ in shards)]
+    frames = [with_lineage(reader.parquet(*[f for s, f in shards if s == name]), F.lit(name), columns) for name in dict.fromkeys(s for s, _ in shards)]
     if not frames:
         return pool(spark, root, "train" if normal_split(split) == "all" else split, columns, skip_corrupt)
     out = frames[0]
@@ -70,7 +71,7 @@ def scan(spark: SparkSession, root: str, split: str = "all", max_shards: int | N
 def pool(spark: SparkSession, root: str, label: str, columns: dict[str, str] = COLUMNS, skip_corrupt: bool = False) -> DataFrame:
     """All files under root, however deep, as one split."""
     raw = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(root)
-    return _with_lineage(raw, F.lit(normal_split(label)), columns)
+    return with_lineage(raw, F.lit(normal_split(label)), columns)
 
 
 def full_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import is_commit_op
+from ..operators.batching import ranged
 from ..storage import ship
 
 Step = Callable[[tuple, dict], tuple[tuple, dict]]
@@ -40,11 +41,11 @@ def _marked(ops: DataFrame, top_level: bool = True) -> DataFrame:
 def fold(ops: DataFrame, step: Step = advance) -> DataFrame:
     """The step over each part's operations in order.
 
-    The default step runs as windows (`fold_native`). Another one runs in Python, a row at a time,
-    with each part as one group: parts are small.
+    The default step is a sum, so a part of any size is folded in ranges (`fold_ranges`). Another one
+    runs in Python, a row at a time, with each part as one group: such parts are small.
     """
     if step is advance:
-        return fold_native(ops)
+        return fold_ranges(ops)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         state, out = (0, 0.0), []
@@ -57,8 +58,21 @@ def fold(ops: DataFrame, step: Step = advance) -> DataFrame:
     return _marked(ops).groupBy("part_id").applyInPandas(run, OUTPUT)
 
 
+def fold_ranges(ops: DataFrame) -> DataFrame:
+    """The default step as a prefix scan in two levels: rows are cut into ranges of (part, seq), each range
+    is summed up by itself, and the totals of the ranges of a part before it are added."""
+    done = F.col("committed").cast("int")
+    rows = ranged(_marked(ops).withColumns({"_step": done, "_add": done * F.col("measure")}), ["part_id", "seq"])
+    inside = Window.partitionBy("part_id", "_part").orderBy("_in").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("part_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("part_id", "_part").agg(F.sum("_step").alias("_steps"), F.sum("_add").alias("_sum"))
+    before = totals.select("part_id", "_part", F.coalesce(F.sum("_steps").over(earlier), F.lit(0)).alias("_steps"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_sum"))
+    running = rows.select("part_id", "_part", "seq", "committed", F.sum("_step").over(inside).alias("_step"), F.sum("_add").over(inside).alias("_add"))
+    return running.join(before, ["part_id", "_part"]).select("part_id", "seq", (F.col("_steps") + F.col("_step")).cast("int").alias("step"), "committed", (F.col("_sum") + F.col("_add")).alias("measure"))
+
+
 def fold_native(ops: DataFrame) -> DataFrame:
-    """The default step as running windows: the form to use where no Python step is needed."""
+    """The default step as running windows, a part in one task: for many small parts."""
     w = Window.partitionBy("part_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = _marked(ops)
     done = F.col("committed").cast("int")
