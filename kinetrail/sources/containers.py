@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import ship
-from .parts import COLUMNS, find_shards
+from .parts import COLUMNS, sized_shards
 
 ROWS = "part_id string, split string, source_shard string, source_row bigint, code string, ops_count int, status string, error string"
 #: Files beyond this are not opened: the binary reader holds one in memory.
@@ -31,22 +31,20 @@ def read(spark: SparkSession, root: str, split: str = "all", max_shards: int | N
 
     Splits choose the files that are listed; of a file only the three columns are decoded.
     """
-    shards = find_shards(spark, root, split, max_shards)
-    if not shards:
-        return spark.createDataFrame([], ROWS)
-    frames = [spark.read.format("binaryFile").load([f for s, f in shards if s == name]).withColumn("split", F.lit(name)) for name in dict.fromkeys(s for s, _ in shards)]
-    files = frames[0]
-    for f in frames[1:]:
-        files = files.unionByName(f)
-    shard = F.element_at(F.split("path", "/"), -1)
-    names = [columns[c] for c in ("part_id", "code", "ops_count")]
+    shards = sized_shards(spark, root, split, max_shards)
+    named = lambda file: file.rsplit("/", 1)[-1]
+    # The binary reader skips empty files, and is kept from those that are too large.
+    failed = [(None, name, named(file), None, None, None, "corrupt_shard" if size == 0 else "too_large", f"{size} bytes") for name, file, size in shards if size == 0 or size > most_bytes]
+    found = spark.createDataFrame(failed, ROWS)
+    columns_of = [columns[c] for c in ("part_id", "code", "ops_count")]
     ship(spark)
-    small = files.where(F.col("length") <= most_bytes).select("split", F.try_url_decode(F.replace(shard, F.lit("+"), F.lit("%2B"))).alias("source_shard"), "content")
-    rows = small.mapInArrow(lambda batches: _opened(batches, names), ROWS)
-    large = files.where(F.col("length") > most_bytes).select("split", F.try_url_decode(F.replace(shard, F.lit("+"), F.lit("%2B"))).alias("source_shard"), "length")
-    none = lambda kind: F.lit(None).cast(kind)
-    status = large.select(none("string").alias("part_id"), "split", "source_shard", none("bigint").alias("source_row"), none("string").alias("code"), none("int").alias("ops_count"), F.lit("too_large").alias("status"), F.concat("length", F.lit(" bytes")).alias("error"))
-    return rows.unionByName(status)
+    for name in dict.fromkeys(s for s, _, _ in shards):
+        files = [f for s, f, size in shards if s == name and 0 < size <= most_bytes]
+        if files:
+            shard = F.element_at(F.split(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/"), -1)
+            raw = spark.read.format("binaryFile").load(files).select(F.lit(name).alias("split"), shard.alias("source_shard"), "content")
+            found = found.unionByName(raw.mapInArrow(lambda batches: _opened(batches, columns_of), ROWS))
+    return found
 
 
 _SCHEMA = pa.schema([("part_id", pa.string()), ("split", pa.string()), ("source_shard", pa.string()), ("source_row", pa.int64()), ("code", pa.string()), ("ops_count", pa.int32()), ("status", pa.string()), ("error", pa.string())])

@@ -18,27 +18,32 @@ def split_glob(split: str) -> str | None:
     return None if split == "all" else f"*{split}*"
 
 
-def _files(spark: SparkSession, folder: str) -> list[str]:
-    """Sorted Parquet files directly in a folder of any file system Spark reads; [] if there is none."""
+def _files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Sorted Parquet files, with their bytes, directly in a folder of any file system Spark reads; [] if there is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    return sorted(str(s.getPath()) for s in fs.listStatus(path) if s.isFile() and s.getPath().getName().endswith(".parquet"))
+    return sorted((str(s.getPath()), s.getLen()) for s in fs.listStatus(path) if s.isFile() and s.getPath().getName().endswith(".parquet"))
 
 
-def find_shards(spark: SparkSession, root: str, split: str = "all", max_shards: int | None = None) -> list[tuple[str, str]]:
-    """(split, file) in order: <root>/data/<split> before <root>/<split>; an absent requested split is an error."""
+def sized_shards(spark: SparkSession, root: str, split: str = "all", max_shards: int | None = None) -> list[tuple[str, str, int]]:
+    """(split, file, bytes) in order: <root>/data/<split> before <root>/<split>; an absent requested split is an error."""
     split = normal_split(split)
-    found: list[tuple[str, str]] = []
+    found: list[tuple[str, str, int]] = []
     for name in SPLITS if split == "all" else (split,):
         files = _files(spark, f"{root}/data/{name}") or _files(spark, f"{root}/{name}")
         if not files and split != "all":
             raise FileNotFoundError(f"no shards of split {split} under {root}")
-        found += [(name, f) for f in files]
+        found += [(name, *f) for f in files]
     return found if max_shards is None else found[:max_shards]
 
 
+def find_shards(spark: SparkSession, root: str, split: str = "all", max_shards: int | None = None) -> list[tuple[str, str]]:
+    """(split, file) of `sized_shards`."""
+    return [(name, file) for name, file, _ in sized_shards(spark, root, split, max_shards)]
+
+
 def as_text(column: Column | str) -> Column:
     """Bytes or text as text."""
     return F.col(column).cast("string") if isinstance(column, str) else column.cast("string")
