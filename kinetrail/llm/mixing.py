@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD, documents, text_or_empty, written
+from .common import ASCII_WORD, documents, maybe_listed, text_or_empty, written
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -90,13 +90,44 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+#: Rows of one id beyond which they are spread over SALTS tasks where they meet its copies.
+HOT_ROWS, SALTS = 1000, 16
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs`, each as many times as the mix takes it. Rows that share a doc_id share its copies."""
-    copies = mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0").select(F.col("doc_id").alias("_id"), "_copies", "_rows")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    order = F.when(F.col("_rows") > 1, F.row_number().over(Window.partitionBy("_id").orderBy("text"))).otherwise(1)
-    mine = F.floor(F.col("_copies") / F.col("_rows")) + (order <= F.pmod("_copies", "_rows")).cast("int")
-    return joined.withColumn("_mine", mine).where("_mine > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mine").cast("long")))).select(docs.columns)
+    """The rows of `docs`, each as many times as the mix takes it. Rows that share a doc_id (null, say)
+    share its copies, equal rows first taken together: what cannot be dealt evenly goes to the first
+    rows in an order by hash."""
+    counts = written(mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "mix-copies")
+    copies = counts.where("_copies > 0").select(F.col("doc_id").alias("_id"), "_copies", "_rows")
+    hot = counts.where(F.col("_rows") > HOT_ROWS).select("doc_id")
+    salt, rows = F.lit(0), docs
+    if not hot.isEmpty():
+        # Both sides tell by the same bit table whether an id may be hot.
+        rows, salt = maybe_listed(docs, "doc_id", hot), F.when(F.col("_maybe"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
+        copies = maybe_listed(copies, "_id", hot).withColumn("_salt", F.explode(F.when(F.col("_maybe"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_maybe")
+    else:
+        copies = copies.withColumn("_salt", F.lit(0))
+    rows = rows.select(*docs.columns, salt.alias("_at"))
+    joined = rows.join(copies, rows["doc_id"].eqNullSafe(copies["_id"]) & (F.col("_at") == F.col("_salt"))).drop("_id", "_at", "_salt")
+    repeat = lambda df, n: df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select(docs.columns)
+    alone = repeat(joined.where("_rows = 1"), F.col("_copies"))
+    if counts.where("_rows > 1").isEmpty():
+        return alone
+    return alone.unionByName(repeat(_dealt(joined.where("_rows > 1"), docs.columns), F.col("_mine")))
+
+
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Equal rows as one, with `_mine`, their copies together: the whole share of each, and one more for those
+    that come first. Places are counted in 256 slices of the hash, each ranked by itself."""
+    same = rows.groupBy(*columns, "_copies", "_rows").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64(*columns))
+    same = written(same.withColumn("_slice", F.shiftright("_h", 56).cast("int")), "mix-shared")
+    totals = same.groupBy("doc_id", "_slice").agg(F.sum("_n").alias("_total"))
+    before = totals.select(F.col("doc_id").alias("_id"), F.col("_slice").alias("_of"), (F.sum("_total").over(Window.partitionBy("doc_id").orderBy("_slice")) - F.col("_total")).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy("doc_id", "_slice").orderBy("_h", *columns).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    placed = same.withColumn("_inside", inside).join(before, same["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_slice") == F.col("_of")))
+    extra = F.least(F.col("_n"), F.greatest(F.lit(0), F.pmod("_copies", "_rows") - F.col("_before") - F.col("_inside")))
+    return placed.withColumn("_mine", F.floor(F.col("_copies") / F.col("_rows")) * F.col("_n") + extra).where("_mine > 0")
 
 
 OP8_SQL = r"""

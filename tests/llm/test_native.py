@@ -1,6 +1,7 @@
 """Exact deduplication, sharding and mixing."""
 
 import zlib
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -137,3 +138,21 @@ def test_mix_awkward(spark, awkward, no_rows):
     assert counts.sum() == want.sum() and counts.reindex(want[want > 0].index).tolist() == want[want > 0].tolist()
     assert mixing.mix_stage(spark, no_rows, "").count() == 0
     assert isinstance(pd.DataFrame(out), pd.DataFrame)
+
+
+@pytest.mark.parametrize("hot", [10, 10**9])
+def test_rows_that_share_an_id_share_its_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(mixing, "HOT_ROWS", hot)
+    rows = [(None, f"text {i % 50} of five words", "en", "a", i % 3) for i in range(600)] + [(5, "five words in this text", "en", "b", 1)] * 40 + [(i, "some words", None, f"s{i % 3}", 2) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.copies
+    out = Counter(tuple(r) for r in mixing.mix_stage(spark, docs, "").collect())
+    given = Counter(rows)
+    assert set(out) <= set(given)
+    for key in (None, 5, *range(10, 60)):
+        mine, n = [r for r in given if r[0] == key], sum(c for r, c in given.items() if r[0] == key)
+        assert sum(out[r] for r in mine) == taken[key]
+        assert all(given[r] * (taken[key] // n) <= out[r] <= given[r] * -(-taken[key] // n) for r in mine)
+    assert out == Counter(tuple(r) for r in mixing.mix_stage(spark, docs.repartition(3), "").collect())
