@@ -115,6 +115,24 @@ def test_sketch_query(corpus):
         assert np.array_equal(sketch.from_string(r.fingerprint), a)
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_one_id_for_most_rows(spark, same):
+    """Ids null for most rows, whose texts differ or are all equal: whole results, no task with most of them."""
+    rows = [(None, "one text for all of them" if same else f"text {i} of so many words {i * i}") for i in range(4000)] + [(i, f"own {i} text") for i in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = sketch.edited_likeness(docs).collect()
+    hashed = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (-(2**63) if r.doc_id is None else r.doc_id, r.h, r.text))
+    want = []
+    for r, after in zip(order, [*order[1:], order[0]], strict=True):
+        cut = len(r.text) // 4
+        want.append((r.doc_id, len(r.text), hashlib.sha256((r.text[: len(r.text) - cut] + after.text[:cut]).encode()).hexdigest()))
+    key = lambda x: (x[0] or 0, *x[1:])
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in found), key=key) == sorted(want, key=key)
+    sizes = [r["count"] for r in sketch.with_successor(docs).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= (1 if same else 4) and max(sizes) < (100 if same else 2000)
+
+
 def test_sketch_estimates():
     rng = random.Random(3)
     words = [f"v{i}" for i in range(5000)]
