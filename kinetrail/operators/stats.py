@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import percent
@@ -75,6 +75,32 @@ def run_summary(statuses: DataFrame, transitions: Column) -> DataFrame:
     )
 
 
+class RunMetrics:
+    """What `run_summary` and `failure_breakdown` tell, collected by the job that writes the rows.
+
+    Write `watch(rows, transitions)` instead of the rows, then ask; nothing is read again.
+    """
+
+    def __init__(self, known: list[str] = STATUSES):
+        self.known, self.seen = known, Observation()
+
+    def watch(self, rows: DataFrame, transitions: Column) -> DataFrame:
+        ok = F.col("status") == "success"
+        each = [F.count_if(F.col("status") == s).alias(f"status.{s}") for s in self.known]
+        other = F.count_if(F.col("status").isNull() | ~F.col("status").isin(self.known)).alias("status.other")
+        return rows.observe(self.seen, F.count(F.lit(1)).alias("attempted"), F.sum(F.when(ok, transitions.cast("double"))).alias("transitions"), *each, other)
+
+    def summary(self) -> dict[str, float]:
+        """attempted, succeeded, success_rate and mean_transitions, as `run_summary` has them."""
+        seen = self.seen.get
+        n, good = seen["attempted"], seen["status.success"]
+        return {"attempted": n, "succeeded": good, "success_rate": 100.0 * good / n if n else 0.0, "mean_transitions": (seen["transitions"] or 0.0) / good if good else 0.0}
+
+    def breakdown(self) -> dict[str, int]:
+        """Rows of every known status, and of all others together."""
+        return {s: self.seen.get[f"status.{s}"] for s in [*self.known, "other"]}
+
+
 def route_by_status(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.where("status = 'success'"), results.where("status != 'success' OR status IS NULL")
 

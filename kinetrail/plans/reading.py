@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import preprocess
 from ..kernel import extract
-from ..operators import epochs, transitions
+from ..operators import epochs, stats, transitions
 from ..sources import assets, containers, samples, shards
-from ..storage import work_path
+from ..storage import settings, work_path, written
 from ..streaming import oplog
 from . import queries as q
 from .queries import big, query, r, table
@@ -69,6 +69,28 @@ def epoch_batches(spark, sf_dir):
     return both.select("epoch", "number", "part_id", "step", "batch_id", big("batch_pos").alias("batch_pos"), here.alias("here"))
 
 
+@query("SELECT status, n FROM (SELECT count(*)::BIGINT AS attempted, count(*) FILTER (p_partkey % 5 < 3)::BIGINT AS success, count(*) FILTER (p_partkey % 5 = 3)::BIGINT AS unsupported_operation, count(*) FILTER (p_partkey % 5 = 4)::BIGINT AS syntax_error, 0::BIGINT AS timeout, 0::BIGINT AS runtime_error, 0::BIGINT AS extraction_error, 0::BIGINT AS render_error, 0::BIGINT AS other FROM part) UNPIVOT (n FOR status IN (attempted, success, unsupported_operation, syntax_error, timeout, runtime_error, extraction_error, render_error, other))")
+def observed_breakdown(spark, sf_dir):
+    """Extraction results by status, counted by the job that writes them."""
+    metrics = stats.RunMetrics()
+    written(metrics.watch(extract.extract(q._programs(spark, sf_dir)), F.size("states")), "observed")
+    rows = {"attempted": metrics.summary()["attempted"]} | metrics.breakdown()
+    return spark.createDataFrame(list(rows.items()), "status string, n long")
+
+
+@query(q.FOLD_SQL)
+def op_fold_keyed(spark, sf_dir):
+    """The fold with map state and timers off, over five micro batches that mix the order of every part."""
+    source = work_path(spark, "op-log")
+    log = q._op_stream(spark, sf_dir)
+    log.repartition(5, F.xxhash64("part_id", "seq")).write.parquet(source)
+    out, state = work_path(spark, "op-states"), work_path(spark, "op-fold")
+    stream = oplog.fold_keyed(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source), start=1)
+    with settings(spark, oplog.ROCKSDB):
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return q._folded(spark.read.parquet(out).where("NOT late"))
+
+
 @query("""
 SELECT p_partkey::VARCHAR AS part_id, CASE WHEN p_partkey % 7 <> 0 THEN 'train' ELSE 'val' END AS split, 'success' AS status, 3::BIGINT AS ops FROM part
 UNION ALL SELECT NULL, 'train', 'corrupt_shard', NULL UNION ALL SELECT NULL, 'val', 'missing_column', NULL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from .config import compose
 from .functions.scalar import split_alias
 from .kernel import extract
-from .operators import graph
+from .operators import graph, stats
 from .sources import parts, shards
 from .storage import rows_per_batch, scope, written
 
+log = logging.getLogger(__name__)
+
 
 def tables_of(results: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     """All tables of the extracted parts, each with split and source_shard."""
@@ -54,7 +57,10 @@ def run(spark: SparkSession, root: str, out: str, overrides: list[str] | None =
 def _write(rows: DataFrame, out: str, config: dict[str, Any]) -> DataFrame:
     """Extract `rows` and write the shards they come from; each is replaced whole."""
     job, data = config["preprocess"], config["data"]
-    results = written(extract.extract(rows, job["timeout_s"], data["uv_grid"], data["curve_samples"]), "extracted")
+    metrics = stats.RunMetrics()
+    extracted = extract.extract(rows, job["timeout_s"], data["uv_grid"], data["curve_samples"])
+    results = written(metrics.watch(extracted, F.size("states")), "extracted")
+    log.info("extracted %s; by status: %s", metrics.summary(), metrics.breakdown())
     attempted = rows.select("part_id", *shards.PARTITIONS).join(results.select("part_id", "status"), "part_id", "left")
     return shards.write(tables_of(results, rows), attempted, out, data["uv_grid"], data["curve_samples"])
 

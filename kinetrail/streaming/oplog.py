@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.scalar import is_commit_op
 from ..operators.batching import ranged
@@ -108,6 +109,91 @@ def fold_stream(ops: DataFrame, step: Step = advance, timeout: str = GroupStateT
     return _marked(ops).groupBy("part_id").applyInPandasWithState(run, OUTPUT, STATE, "append", timeout)
 
 
+class KeyedFold(StatefulProcessor):
+    """The fold of `fold_stream` with a row that waits for its predecessors as a map entry of its own, so a
+    batch reads and writes only what it needs. Late rows and rows that come again are marked, not errors."""
+
+    def __init__(self, step: Step, start: int, gap_ms: int | None):
+        self.step, self.start, self.gap_ms = step, start, gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        #: What is folded so far, the next sequence number, and how many rows wait.
+        self.folded = handle.getValueState("folded", "step int, measure double, next bigint, waiting bigint")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "committed boolean, measure double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        step, measure, following, waiting = self.folded.get() if self.folded.exists() else (0, 0.0, self.start, 0)
+        self.held, self.following, self.count, out = (step, measure), following, waiting, []
+        for row in pd.concat(list(rows)).sort_values("seq").to_dict("records"):
+            seq = int(row["seq"])
+            if seq < self.following or self.count and self.waiting.containsKey((seq,)):
+                out.append({"seq": seq, "step": None, "committed": bool(row["committed"]), "measure": float(row["measure"]), "late": True})
+            elif seq > self.following:
+                self.waiting.updateValue((seq,), (bool(row["committed"]), float(row["measure"])))
+                self.count += 1
+            else:
+                out.append(self._advance(seq, row["committed"], row["measure"]))
+                out += self._released()
+        if self.gap_ms is not None and (self.following != following or not list(self.handle.listTimers())):
+            self._watch(timerValues)  # the time of a gap runs from when the fold came to it
+        yield from self._done(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A gap that nothing filled in time is passed over: the fold goes on from the least row that waits."""
+        step, measure, following, waiting = self.folded.get()
+        self.held, self.following, self.count, out = (step, measure), following, waiting, []
+        if self.count:
+            self.following = min(seq for (seq,) in self.waiting.keys())
+            out = self._released()
+            self._watch(timerValues)
+        yield from self._done(key, out)
+
+    def _advance(self, seq: int, committed: bool, measure: float) -> dict:
+        self.held, made = self.step(self.held, {"seq": seq, "committed": bool(committed), "measure": float(measure)})
+        self.following = seq + 1
+        return made | {"late": False}
+
+    def _released(self) -> list[dict]:
+        """Rows that waited for the last one."""
+        out = []
+        while self.count and self.waiting.containsKey((self.following,)):
+            seq, value = self.following, self.waiting.getValue((self.following,))
+            self.waiting.removeKey((seq,))
+            self.count -= 1
+            out.append(self._advance(seq, *value))
+        return out
+
+    def _watch(self, timers: TimerValues) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if self.count:
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.gap_ms)
+
+    def _done(self, key: tuple, out: list[dict]) -> Iterator[pd.DataFrame]:
+        self.folded.update((int(self.held[0]), float(self.held[1]), int(self.following), int(self.count)))
+        frame = pd.DataFrame(out, columns=["seq", "step", "committed", "measure", "late"])
+        frame.insert(0, "part_id", key[0])
+        yield frame.astype({"step": "Int32"})
+
+
+#: The state store that keyed maps and timers need; without batches of no data, which timers would go on to ask for.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def fold_keyed(ops: DataFrame, step: Step = advance, start: int = 0, gap_ms: int | None = None) -> DataFrame:
+    """The fold over a stream in any order, with map state: OUTPUT and `late`, which marks rows that come after
+    their number was folded (or again); these have no step. Sequence numbers have no gaps from `start` on;
+    with `gap_ms` a gap that stays open so long is passed over. Start the query under the ROCKSDB settings.
+    """
+    ship(ops.sparkSession)
+    mode = "None" if gap_ms is None else "ProcessingTime"
+    return _marked(ops).groupBy("part_id").transformWithStateInPandas(KeyedFold(step, start, gap_ms), f"{OUTPUT}, late boolean", "Append", mode)
+
+
 def windowed_histogram(ops: DataFrame, time: str = "ts", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Operations by event-time window and command; works on streams and tables."""
     rows = ops.withWatermark(time, late) if ops.isStreaming else ops
