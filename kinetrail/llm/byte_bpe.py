@@ -8,8 +8,8 @@ over the merged places. Rows without a mergeable pair leave the matrix. A row to
 a bucket takes its pairs from a queue by (rank, place) instead, so that a piece of a megabyte,
 as text without spaces is, costs n log n.
 
-Memory is bounded: a fixed number of pieces and bytes a matrix, a memo of pieces that is
-emptied when its pieces and their bytes are too many, texts of one slice (bounded in bytes)
+Memory is bounded: a fixed number of pieces and bytes a matrix, a memo of pieces in two
+generations of which the older goes when their bytes are too many, texts of one slice (bounded in bytes)
 at a time, each distinct text of a slice once. The rank file is read on the driver; what
 tasks get is its tables, a few MB for any input.
 
@@ -108,7 +108,7 @@ class PairTable:
 class ByteBpe:
     """Encoder and decoder for one vocabulary and pattern."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, memo: int = 64_000_000, bucket: int = 256, cells: int = 1 << 18):
+    def __init__(self, tokens: list[bytes], pattern: str, memo: int = 192_000_000, bucket: int = 256, cells: int = 1 << 18):
         self.tokens = tokens
         self.find = regex.compile(pattern).findall
         self.pairs = PairTable(tokens)
@@ -117,18 +117,22 @@ class ByteBpe:
             if len(t) == 1:
                 self.of_byte[t[0]] = i
         self.whole = {t: i for i, t in enumerate(tokens)}
+        #: Pieces met since the memo was last full, and those met before that, which come back when met again.
         self.memo: dict[str, bytes] = {}
-        self.most, self.held, self.bucket, self.cells = memo, 0, bucket, cells
+        self.old: dict[str, bytes] = {}
+        self.most, self.held, self.bucket, self.cells = memo // 2, 0, bucket, cells
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = {t: self.find(t) for t in dict.fromkeys(texts)}
         new = {p for pieces in split.values() for p in pieces if p not in self.memo}
         if self.held + self._cost(new) > self.most:
-            self.memo, self.held = {}, 0
+            self.old, self.memo, self.held = self.memo, {}, 0
             new = {p for pieces in split.values() for p in pieces}
         self.held += self._cost(new)
-        self._learn(sorted(new))
+        known = new & self.old.keys()
+        self.memo.update((p, self.old[p]) for p in known)
+        self._learn(sorted(new - known))
         get = self.memo.__getitem__
         found = {t: b"".join(map(get, pieces)) for t, pieces in split.items()}
         return [found[t] for t in texts]
@@ -281,7 +285,7 @@ def _mapped(docs, path, pattern, id_col, text_col, schema, finish) -> DataFrame:
 
         return apply
 
-    return map_texts(docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("long").alias("id")), make, schema, rows=64)
+    return map_texts(docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("long").alias("id")), make, schema, rows=512)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,4 +314,4 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         return apply
 
     rows = docs.select(text_or_empty().alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return map_texts(rows, make, "doc_id long, lang string, source string, n_tokens long, ids array<int>, decoded_sha256 string", rows=64)
+    return map_texts(rows, make, "doc_id long, lang string, source string, n_tokens long, ids array<int>, decoded_sha256 string", rows=512)
