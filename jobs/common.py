@@ -30,8 +30,13 @@ def configured(spark: SparkSession, module: str, path: str | None) -> dict[str,
     return config
 
 
-def write(rows: DataFrame, path: str, by: list[str], replace: str = "static") -> None:
-    """`rows` partitioned by `by`; replaces the table, or with replace="dynamic" only the partitions at hand."""
+def write(rows: DataFrame, path: str, by: list[str], replace: str = "static", rebalance: bool = True) -> None:
+    """`rows` partitioned by `by`; replaces the table, or with replace="dynamic" only the partitions at hand.
+
+    Rebalanced first, so that not every task writes a small file to every partition: rows of one partition
+    come together, and adaptive execution splits those that are too many for a task.
+    """
+    rows = rows.hint("rebalance", *by) if rebalance else rows
     rows.write.mode("overwrite").option("partitionOverwriteMode", replace).partitionBy(*by).parquet(path)
 
 

@@ -49,7 +49,8 @@ def write_batch(target: str, names: dict[str, str]):
 
     def sink(events: DataFrame, number: int) -> None:
         found = operations(events, names).withColumn("batch", F.lit(number).cast("long"))
-        write(found, f"{target}/op_log", ["status", "day", "batch"], "dynamic")
+        # New events are mostly of one day: rows stay in the tasks that read them.
+        write(found, f"{target}/op_log", ["status", "day", "batch"], "dynamic", rebalance=False)
 
     return sink
 

@@ -126,8 +126,8 @@ def test_event_days_after_a_crash(spark, growing, tmp_path, monkeypatch, lost):
     add(2)
     real = event_days.write
 
-    def failing(rows, path, by, replace="static"):
-        real(rows, path, by, replace)
+    def failing(rows, path, *arguments, **options):
+        real(rows, path, *arguments, **options)
         if path.endswith({"after the log": "op_log", "after the days": "days"}.get(lost, "-")):
             raise RuntimeError("lost")
 
