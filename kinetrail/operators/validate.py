@@ -28,8 +28,7 @@ def _entity(keys: list[str]) -> Column:
 
 def check(rows: DataFrame, keys: list[str], rules: dict[str, tuple[Column, Column]]) -> DataFrame:
     """rules: name -> (violated, detail). One pass; null conditions count as violated."""
-    found = F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail"))) for name, (bad, detail) in rules.items()])
-    return rows.select(_entity(keys).alias("entity"), F.explode(F.filter(found, lambda v: v.isNotNull())).alias("v")).select("entity", "v.rule", "v.detail")
+    return rows.select(_entity(keys).alias("entity"), F.explode(_violated(rules)).alias("v")).select("entity", "v.rule", "v.detail")
 
 
 def missing(rows: DataFrame, keys: list[str], required: list[str], rule: str) -> DataFrame:
@@ -58,36 +57,68 @@ def dangling(children: DataFrame, parents: DataFrame, on: list[str], rule: str)
 
 
 def states(states: DataFrame, faces: DataFrame, edges: DataFrame, adjacency: DataFrame, face_edge: DataFrame, images: DataFrame | None = None, grid: int = 16, samples: int = 16) -> DataFrame:
-    """All rules of a state and its children, one pass over each table."""
-    counts = lambda rows, name: rows.groupBy(*STATE).agg(F.count(F.lit(1)).alias(name))
-    with_counts = states.join(counts(faces, "_f"), STATE, "left").join(counts(edges, "_e"), STATE, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_f", "_e")})
+    """All rules of a state and its children; each table is scanned once.
+
+    Rules that one row decides are checked where the row is read, so that only keys, indices and their
+    outcomes are shuffled, once. The rows of a state then meet in windows, which bring counts and
+    bounds to every row and an edge's outcome to its adjacency, and the other rules are checked.
+    """
+    mask = F.slice("uv", 6 * grid * grid + 1, grid * grid)
+    features = array_rules("features", 16, "edges.features")
+    bad = lambda name: F.coalesce(features[f"edges.features.{name}"][0], F.lit(True))
+    required = {f"state.required.{c}": (F.col(c).isNull(), F.lit(c)) for c in REQUIRED["states"]}
+    rows = reduce(DataFrame.unionByName, [
+        _rows(states, "state", [], required, _faces="num_faces", _edges="num_edges"),
+        _rows(faces, "face", ["face_idx"], array_rules("features", 32, "faces.features") | array_rules("uv", 7 * grid * grid, "faces.uv") | {"uv_mask.binary": (~F.forall(mask, lambda x: x.isin(0.0, 1.0)), F.lit("mask"))}),
+        _rows(edges, "edge", ["edge_idx"], features | array_rules("u", 6 * samples, "edges.u"), _edge="edge_idx", _shape=bad("shape").cast("bigint"), _finite=bad("finite").cast("bigint"), _size=F.size("features")),
+        _rows(adjacency, "adjacency", ["adj_idx"], {}, _src="src", _dst="dst", _edge="edge_idx", _reverse="reverse_idx"),
+        _rows(face_edge, "incidence", ["face_idx", "edge_idx"], {}, _src="face_idx", _dst="edge_idx"),
+    ]).repartition(*STATE)
+    here = F.col("part_id").isNotNull() & F.col("step").isNotNull()  # rows without a key have no relatives
+    state, edge, is_a = Window.partitionBy(*STATE), Window.partitionBy(*STATE, "_edge"), lambda table: F.col("_table") == table
+    children = lambda table: F.when(here, F.count_if(is_a(table)).over(state)).otherwise(0)
+    of_edge = lambda x: F.when(here & F.col("_edge").isNotNull(), F.max(F.when(is_a("edge"), x)).over(edge))
+    rows = rows.withColumns({"_there": of_edge(F.lit(1)), "_no_shape": of_edge(F.col("_shape")), "_no_finite": of_edge(F.col("_finite")), "_features": of_edge(F.col("_size"))})
+    rows = rows.withColumns({"_f": children("face"), "_e": children("edge"), "_directed": F.count_if(is_a("adjacency")).over(state), **{f"{c}_of": F.when(here, F.max(c).over(state)) for c in ("_faces", "_edges")}})
+
     differ = lambda a, b: (F.col(a) != F.col(b), F.concat_ws("!=", F.col(a).cast("string"), F.col(b).cast("string")))
-    sizes = states.select(*STATE, F.col("num_faces").alias("_faces"), F.col("num_edges").alias("_edges"))
     outside = lambda index, size: ((F.col(index) < 0) | (F.col(index) >= F.col(size)), F.col(index))
-    mask = F.slice("uv", 6 * grid * grid + 1, grid * grid)
-    directed = adjacency.join(sizes, STATE, "left").withColumn("_directed", F.count(F.lit(1)).over(Window.partitionBy(*STATE)))
-    directed = directed.join(edges.select(*STATE, "edge_idx", F.lit(True).alias("_edge"), "features"), [*STATE, "edge_idx"], "left")
-    there = lambda bad: F.col("_edge").isNotNull() & F.coalesce(bad, F.lit(True))
-    reverse = (F.col("reverse_idx") < 0) | (F.col("reverse_idx") >= F.col("_directed"))
-    shape, finite = (there(bad) for bad, _ in array_rules("features", 16, "").values())
-    parts = [
-        missing(states, STATE, REQUIRED["states"], "state.required"),
-        check(with_counts, STATE, {"faces.count": differ("_f", "num_faces"), "edges.count": differ("_e", "num_edges")}),
-        check(faces, [*STATE, "face_idx"], array_rules("features", 32, "faces.features") | array_rules("uv", 7 * grid * grid, "faces.uv") | {"uv_mask.binary": (~F.forall(mask, lambda x: x.isin(0.0, 1.0)), F.lit("mask"))}),
-        check(edges, [*STATE, "edge_idx"], array_rules("features", 16, "edges.features") | array_rules("u", 6 * samples, "edges.u")),
-        check(directed, [*STATE, "adj_idx"], {
-            "adjacency.src": outside("src", "_faces"), "adjacency.dst": outside("dst", "_faces"), "adjacency.edge": outside("edge_idx", "_edges"),
-            "adjacency.reverse": (reverse, F.coalesce(F.col("reverse_idx").cast("string"), F.lit("no reverse index"))),
-            "adjacency.features": (F.col("_edge").isNull(), F.lit("no parent")), "adjacency.features.shape": (shape, F.size("features")), "adjacency.features.finite": (finite, F.lit("features")),
-        }),
-        check(face_edge.join(sizes, STATE, "left"), [*STATE, "face_idx", "edge_idx"], {"incidence.face": outside("face_idx", "_faces"), "incidence.edge": outside("edge_idx", "_edges")}),
-    ]
+    there = F.col("_there").isNotNull()
+    related = {
+        "state": {"faces.count": differ("_f", "_faces"), "edges.count": differ("_e", "_edges")},
+        "adjacency": {
+            "adjacency.src": outside("_src", "_faces_of"), "adjacency.dst": outside("_dst", "_faces_of"), "adjacency.edge": outside("_edge", "_edges_of"),
+            "adjacency.reverse": (outside("_reverse", "_directed")[0], F.coalesce(F.col("_reverse").cast("string"), F.lit("no reverse index"))),
+            "adjacency.features": (~there, F.lit("no parent")), "adjacency.features.shape": (there & (F.col("_no_shape") == 1), F.col("_features")), "adjacency.features.finite": (there & (F.col("_no_finite") == 1), F.lit("features")),
+        },
+        "incidence": {"incidence.face": outside("_src", "_faces_of"), "incidence.edge": outside("_dst", "_edges_of")},
+    }
+    more = [F.when(is_a(table), _violated(rules)).otherwise(F.array().cast(FOUND)) for table, rules in related.items()]
+    parts = [rows.select(F.col("_entity").alias("entity"), F.explode(F.concat("_found", *more)).alias("v")).select("entity", "v.rule", "v.detail")]
     if images is not None:
         views = images.groupBy(*STATE).agg(F.countDistinct("view").alias("n"), F.min(F.octet_length("pixels")).alias("low"), F.max(F.octet_length("pixels")).alias("high"))
         parts.append(check(states.join(views, STATE, "left"), STATE, {"images.shape": ((F.col("n") != 4) | (F.col("low") != F.col("high")) | (F.col("low") % 3 != 0), F.col("n"))}))
     return reduce(DataFrame.unionByName, parts)
 
 
+FOUND = "array<struct<rule:string,detail:string>>"
+#: What rows of a state bring to its windows, by table.
+_BROUGHT = ("_faces", "_edges", "_edge", "_shape", "_finite", "_size", "_src", "_dst", "_reverse")
+
+
+def _violated(rules: dict[str, tuple[Column, Column]]) -> Column:
+    """The violated rules of a row; null conditions count as violated."""
+    if not rules:
+        return F.array().cast(FOUND)
+    found = F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail"))) for name, (bad, detail) in rules.items()])
+    return F.filter(found, lambda v: v.isNotNull()).cast(FOUND)
+
+
+def _rows(rows: DataFrame, table: str, index: list[str], rules: dict[str, tuple[Column, Column]], **brought: Column | str) -> DataFrame:
+    value = lambda c: F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c
+    return rows.select(*STATE, F.lit(table).alias("_table"), _entity([*STATE, *index]).alias("_entity"), _violated(rules).alias("_found"), *[value(brought.get(c)).cast("bigint").alias(c) for c in _BROUGHT])
+
+
 def actions(actions: DataFrame) -> DataFrame:
     keys = ["part_id", "step"]
     m = F.size("ref_entity_indices")

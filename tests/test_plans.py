@@ -2,9 +2,11 @@
 
 import pytest
 
+from kinetrail.operators import validate
 from kinetrail.plans.queries import QUERIES
+from kinetrail.storage import written
 
-PYTHON = {"op_fold", "op_fold_stream", "program_statuses", "program_states", "program_graphs", "encoder_embeddings", "program_actions", "program_steps", "face_values", "edge_values", "surface_grids", "extracted_violations", "violations_state", "routed_statuses", "program_ops", "transition_batches", "image_values", "preprocess_run"}
+PYTHON = {"op_fold_step", "op_fold_stream", "container_scan", "program_ops_sql", "program_statuses", "program_states", "program_graphs", "encoder_embeddings", "program_actions", "program_steps", "face_values", "edge_values", "surface_grids", "extracted_violations", "violations_state", "routed_statuses", "program_ops", "transition_batches", "image_values", "preprocess_run"}
 #: One row meets one row or a result.
 ONE_ROW = {"multi_ref_stats", "collated_incidence"}
 
@@ -35,3 +37,14 @@ def test_filters_reach_the_scan(spark, sf):
 
 def test_adjacency_shuffles_by_edge_and_by_state_only(spark, sf):
     assert plan(QUERIES["reverse_edge_index"](spark, sf)).count("Exchange hashpartitioning") == 2
+
+
+def test_validators_scan_each_table_once(spark):
+    keys = "part_id string, step int, "
+    columns = {
+        "states": "num_faces int, num_edges int, num_solids int, volume double, surface_area double, bbox array<float>", "faces": "face_idx int, features array<float>, uv array<float>",
+        "edges": "edge_idx int, features array<float>, u array<float>", "adjacency": "adj_idx int, src int, dst int, edge_idx int, reverse_idx int", "face_edge": "face_idx int, edge_idx int",
+    }
+    tables = {name: written(spark.createDataFrame([], keys + c), f"empty-{name}") for name, c in columns.items()}
+    text = plan(validate.states(**tables))
+    assert text.count("FileScan parquet") == 5 and text.count("Exchange hashpartitioning") == 1 and "Join" not in text
