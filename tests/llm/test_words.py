@@ -198,7 +198,7 @@ def test_licenses_by_brute_force(spark):
 
 def test_altered_wording_has_no_label():
     scanner, rng = license_scan.Scanner(), random.Random(5)
-    mit = filled(dict(license_scan.TEMPLATES)["mit"], rng)
+    mit = filled(next(t for label, t in license_scan.TEMPLATES if label == "mit"), rng)
     assert {m.label for m in scanner.scan(mit)[1]} == {"mit"}
     n, found, score = scanner.scan(mit.replace("sublicense", "relicense"))
     assert not found and 0.1 < score < 1
@@ -247,4 +247,5 @@ def test_license_query(spark, awkward, no_rows, folder, sf):
         starts = [s for _, s in base]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(base), min(starts, default=None), max(starts, default=None))
         assert r.base_labels == ",".join(sorted({b for b, _ in base})) and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
-    assert any("gpl-3" in r.labels for r in rows)
+        stands = "gnu general public license version 3" in " ".join(words_of(texts[r.doc_id] or ""))
+        assert ("gpl-3" in r.labels.split(",")) == stands
