@@ -109,7 +109,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     else:
         copies = copies.withColumn("_salt", F.lit(0))
     rows = rows.select(*docs.columns, salt.alias("_at"))
-    joined = rows.join(copies, rows["doc_id"].eqNullSafe(copies["_id"]) & (F.col("_at") == F.col("_salt"))).drop("_id", "_at", "_salt")
+    # The counts grow with the documents: they meet them by a shuffle at every size, never by a broadcast.
+    joined = rows.join(copies.hint("merge"), rows["doc_id"].eqNullSafe(copies["_id"]) & (F.col("_at") == F.col("_salt"))).drop("_id", "_at", "_salt")
     repeat = lambda df, n: df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select(docs.columns)
     alone = repeat(joined.where("_rows = 1"), F.col("_copies"))
     if counts.where("_rows > 1").isEmpty():
