@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import documents, map_texts, text_or_empty
 
 # Phrases with their labels, and wordings of public licenses and of their usual notices.
-BASE = (("mit", "the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
+BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 TEMPLATES = (
     ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
         (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
@@ -95,6 +95,7 @@ TEMPLATES = (
     ("lgpl-3", "GNU Lesser General Public License [(LGPL)] [version] 3"),
     ("agpl-3", "GNU Affero General Public License [(AGPL)] [version] 3"),
     ("mpl-2", "Mozilla Public License [(MPL)] [version] 2"),
+    ("mit", "the MIT License"),
     ("cc0", "CC0 1.0 [Universal]"),
     ("cc-by", "Creative Commons Attribution [<version:1-1> 0] [International] License"),
     ("cc-by-sa", "Creative Commons Attribution-ShareAlike [<version:1-1> 0]"),

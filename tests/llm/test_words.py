@@ -196,6 +196,16 @@ def test_licenses_by_brute_force(spark):
     assert all(any((label, n) for label, n in brute_places(f"Intro é {t}", license_scan.TEMPLATES)[1]) for t in texts if t and t.startswith("Intro"))
 
 
+def test_base_places_by_the_contract(spark, folder):
+    """Base phrases as the contract lists them, whatever the module holds."""
+    texts = ["Under the MIT license; the MIT license", "under\nTHE mit-license, under the mit license", "under an mit license", "the mit license", "Apache License, Version 2.0 under the MIT license", "cc by nc cc-by-nc by nc", "under the mit licenses", None]
+    at = folder(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {r.doc_id: r for r in license_scan.op12_license_templates(spark, at).collect()}
+    found = [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for _, r in sorted(rows.items())]
+    assert found == [(7, 1, 0, 0, "mit"), (8, 2, 0, 4, "mit"), (4, 0, None, None, ""), (3, 0, None, None, ""), (9, 2, 0, 5, "apache-2,mit"), (8, 2, 0, 3, "cc-by-nc"), (4, 0, None, None, ""), (0, 0, None, None, "")]
+    assert rows[3].labels == "mit" and rows[0].labels == "mit"  # the method's own
+
+
 def test_altered_wording_has_no_label():
     scanner, rng = license_scan.Scanner(), random.Random(5)
     mit = filled(next(t for label, t in license_scan.TEMPLATES if label == "mit"), rng)
