@@ -6,7 +6,8 @@ import json
 import signal
 import threading
 import time
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterator, Sequence
 from multiprocessing import get_context
 from multiprocessing.connection import Connection
 
@@ -15,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import scalar as S
 from ..schema import CURVE_GROUPS, PROFILE, SURFACE_GROUPS, empty_states
-from ..storage import ship
+from ..storage import ship, tasks_for
 from . import program, solids
 
 RAW_FACE = "face_idx:int,kind:string,area:double,centroid:array<double>,normal:array<double>,size:array<double>,num_wires:int,num_edges:int,reversed:boolean,uv_range:array<double>,inertia:array<double>,uv:array<float>"
@@ -114,46 +115,101 @@ def _run_part(code: str | None, timeout_s: float, grid: int = 0, samples: int =
     return status, error, time.perf_counter() - began, [], [], []
 
 
-def extract(parts: DataFrame, timeout_s: float = 15.0, grid: int = 0, samples: int = 0) -> DataFrame:
-    """One result row per part; write it or persist it, then take the tables from it.
+#: Bytes of results that a task remembers by program.
+MEMO_BYTES = 32_000_000
+#: Parts of a task; results that depend on the program alone, not on the machine's load.
+PARTS_A_TASK = 25_000
+#: Parts whose graphs are paired in one task.
+GRAPHS_A_TASK = 10_000
+SETTLED = ("success", "syntax_error", "unsupported_operation")
+
+
+def spread(parts: DataFrame) -> DataFrame:
+    """Parts over tasks: a program is a few bytes and much work, so files alone would give too few."""
+    return parts.repartition(tasks_for(parts.sparkSession, parts.count(), PARTS_A_TASK), "part_id")
+
+
+class Remembered:
+    """Results of programs as one-row Arrow batches; of those seen again, the latest are kept up to `size` bytes."""
+
+    def __init__(self, schema: pa.Schema, run, size: int = MEMO_BYTES):
+        self.schema, self.run, self.size = schema, run, size
+        self.kept: OrderedDict[str | None, pa.RecordBatch] = OrderedDict()
+        self.bytes = 0
+
+    def of(self, code: str | None) -> pa.RecordBatch:
+        found = self.kept.get(code)
+        if found is not None:
+            self.kept.move_to_end(code)
+            return found
+        values = self.run(code)
+        found = pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, self.schema, strict=True)], schema=self.schema)
+        if values[0] in SETTLED:
+            self.kept[code] = found
+            self.bytes += found.nbytes
+            while self.bytes > self.size:
+                self.bytes -= self.kept.popitem(last=False)[1].nbytes
+        return found
+
+    def rows(self, codes: list[str | None]) -> list[pa.Array]:
+        """The results of `codes`, column by column; equal programs of the list are copied by Arrow."""
+        places = {code: i for i, code in enumerate(dict.fromkeys(codes))}
+        each = [self.of(code) for code in places]
+        index = pa.array([places[c] for c in codes], pa.int32())
+        columns = [pa.concat_arrays([b.column(i) for b in each]) for i in range(len(self.schema))]
+        return columns if len(places) == len(codes) else [c.take(index) for c in columns]
+
+
+def extract(parts: DataFrame, timeout_s: float = 15.0, grid: int = 0, samples: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """One result row per part; write it or persist it, then take the tables from it. Columns to `keep` follow.
 
     With `grid` and `samples` faces get a grid of grid x grid samples and edges so many samples.
+    A result depends on the program alone, so a task runs a program that it remembers once; its
+    other parts carry the duration of that run. Programs that ran out of time or failed while they
+    ran are tried again for every part.
     """
 
-    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(RESULT)])
+    rows = parts.select(F.col("part_id").cast("string").alias("part_id"), F.col("code").cast("string").alias("code"), *keep)
+    result = StructType([*_parse_datatype_string(RESULT), *[rows.schema[c] for c in keep]])
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in result])
+    last = len(schema) - len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered(pa.schema(list(schema)[1:last]), lambda code: run_part(code, timeout_s, grid, samples))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                keys, codes = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                columns = zip(*((p, *run_part(c, timeout_s, grid, samples)) for p, c in zip(keys, codes, strict=True)), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                part = batch.slice(at, 256)
+                kept = [c.cast(f.type) for c, f in zip(part.columns[2:], list(schema)[last:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema[0].type), *known.rows(part.column(1).to_pylist()), *kept], schema=schema)
 
     ship(parts.sparkSession)
-    return parts.select(F.col("part_id").cast("string").alias("part_id"), F.col("code").cast("string").alias("code")).mapInArrow(run, RESULT)
+    return rows.mapInArrow(run, result)
+
+
+# Of all tables below, columns of the results to `keep` follow the part's key.
 
 
-def _states(results: DataFrame) -> DataFrame:
-    return results.where("status = 'success'").select("part_id", F.explode("states").alias("s")).select("part_id", "s.*")
+def _states(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return results.where("status = 'success'").select("part_id", *keep, F.explode("states").alias("s")).select("part_id", *keep, "s.*")
 
 
-def states(results: DataFrame) -> DataFrame:
-    s = _states(results)
-    return s.select("part_id", "step", F.size("faces").alias("num_faces"), F.size("edges").alias("num_edges"), "num_solids", "volume", "surface_area", F.transform("bbox", lambda x: S.nan_to_num(x).cast("float")).alias("bbox"))
+def states(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    s = _states(results, keep)
+    return s.select("part_id", *keep, "step", F.size("faces").alias("num_faces"), F.size("edges").alias("num_edges"), "num_solids", "volume", "surface_area", F.transform("bbox", lambda x: S.nan_to_num(x).cast("float")).alias("bbox"))
 
 
-def op_log(results: DataFrame) -> DataFrame:
-    return results.select("part_id", F.explode("ops").alias("o")).select("part_id", "o.*")
+def op_log(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return results.select("part_id", *keep, F.explode("ops").alias("o")).select("part_id", *keep, "o.*")
 
 
-def face_edge(results: DataFrame) -> DataFrame:
-    e = _states(results).select("part_id", "step", F.explode("edges").alias("e"))
-    return e.select("part_id", "step", F.explode("e.faces").alias("face_idx"), F.col("e.edge_idx").alias("edge_idx")).distinct()
+def face_edge(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    e = _states(results, keep).select("part_id", *keep, "step", F.explode("edges").alias("e"))
+    return e.select("part_id", *keep, "step", F.explode(F.array_distinct("e.faces")).alias("face_idx"), F.col("e.edge_idx").alias("edge_idx"))  # a seam has one face twice
 
 
-def faces(results: DataFrame) -> DataFrame:
+def faces(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """32 features of each face from its raw values."""
-    f = _states(results).select("part_id", "step", F.explode("faces").alias("f")).select("part_id", "step", "f.*")
+    f = _states(results, keep).select("part_id", *keep, "step", F.explode("faces").alias("f")).select("part_id", *keep, "step", "f.*")
     d = [F.get("size", F.lit(i)) for i in range(3)]
     vector = S.assemble(
         32, S.one_hot("kind", SURFACE_GROUPS, 8), [F.col("area")], F.col("centroid"), S.normalize("normal"), F.col("size"),  # normals come turned outward
@@ -161,45 +217,46 @@ def faces(results: DataFrame) -> DataFrame:
         [S.log_area("area"), S.aspect(d[0], d[1]), S.aspect(d[1], d[2]), S.diagonal(*d), S.flag(F.col("kind") != "plane"), S.flag(F.col("num_wires") > 1)],
     )
     key = F.concat_ws("/", "part_id", F.col("step").cast("string"), F.lit("f"), F.col("face_idx").cast("string"))
-    return f.select("part_id", "step", "face_idx", key.alias("face_key"), S.nan_to_num_array(vector).cast("array<float>").alias("features"), "uv")
+    return f.select("part_id", *keep, "step", "face_idx", key.alias("face_key"), S.nan_to_num_array(vector).cast("array<float>").alias("features"), "uv")
 
 
-def edges(results: DataFrame) -> DataFrame:
+def edges(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """16 features of each edge; convexity from the normals of its two faces."""
-    s = _states(results)
+    s = _states(results, keep)
     normals = F.transform("faces", lambda f: f["normal"])
-    e = s.select("part_id", "step", "centre", normals.alias("normals"), F.explode("edges").alias("e")).select("part_id", "step", "centre", "normals", "e.*")
+    e = s.select("part_id", *keep, "step", "centre", normals.alias("normals"), F.explode("edges").alias("e")).select("part_id", *keep, "step", "centre", "normals", "e.*")
     n = lambda i: F.coalesce(F.get("normals", F.get("faces", F.lit(i))), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
     convex = S.convexity(n(0), n(1), "midpoint", "centre", F.size("faces"))
     vector = S.assemble(16, S.one_hot("kind", CURVE_GROUPS, 6), [S.symlog(F.greatest(F.lit(0.0), F.col("length")))], F.transform("midpoint", lambda x: S.squash(x)), S.normalize("tangent"), [S.flag(F.col("closed")), S.flag(F.col("degenerate")), convex])
     key = F.concat_ws("/", "part_id", F.col("step").cast("string"), F.lit("e"), F.col("edge_idx").cast("string"))
-    return e.select("part_id", "step", "edge_idx", key.alias("edge_key"), S.nan_to_num_array(vector).cast("array<float>").alias("features"), "u")
+    return e.select("part_id", *keep, "step", "edge_idx", key.alias("edge_key"), S.nan_to_num_array(vector).cast("array<float>").alias("features"), "u")
 
 
-def statuses(results: DataFrame) -> DataFrame:
-    return results.select("part_id", "status", "error", "duration_s")
+def statuses(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return results.select("part_id", *keep, "status", "error", "duration_s")
 
 
-def with_start(results: DataFrame) -> DataFrame:
+def with_start(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """States of every successful part with the empty one it starts from."""
-    done = results.where("status = 'success'").select("part_id")
-    return empty_states(done).unionByName(states(results))
+    done = results.where("status = 'success'").select("part_id", *keep)
+    return empty_states(done, keep).unionByName(states(results, keep))
 
 
-def actions(results: DataFrame) -> DataFrame:
+def actions(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The action that led from each state to the next, in the schema's form."""
-    a = results.where("status = 'success'").select("part_id", F.explode("actions").alias("a")).select("part_id", "a.*")
+    a = results.where("status = 'success'").select("part_id", *keep, F.explode("actions").alias("a")).select("part_id", *keep, "a.*")
     summary = S.action_summary("ref_points", "ref_directions", S.numeric_args("args", "kwargs"))
     a = a.withColumn("_s", summary).withColumn("_tool", F.when(S.normalize_op("operation_name").isin("union", "fuse", "intersect"), F.struct(F.get("args", F.lit(0)).alias("tool_type"))))
     floats = lambda c: F.col(c).cast("array<float>").alias(c.split(".")[-1])
     deep = lambda c: F.col(c).cast("array<array<float>>").alias(c)
-    return a.select("part_id", "step", "operation_name", S.command_id("operation_name").cast("int").alias("cmd_id"), floats("_s.params_raw"), floats("_s.params"), "_s.param_mask", "ref_kind", "ref_entity_indices", deep("ref_points"), deep("ref_directions"), "profile", F.col("_tool").cast("struct<tool_type:string>").alias("tool_geometry"))
+    return a.select("part_id", *keep, "step", "operation_name", S.command_id("operation_name").cast("int").alias("cmd_id"), floats("_s.params_raw"), floats("_s.params"), "_s.param_mask", "ref_kind", "ref_entity_indices", deep("ref_points"), deep("ref_directions"), "profile", F.col("_tool").cast("struct<tool_type:string>").alias("tool_geometry"))
 
 
 def trajectories(results: DataFrame, parts: DataFrame) -> DataFrame:
     """One row per successful part: where it came from (split, source_shard, source_row of `parts`) and its steps."""
     done = results.where("status = 'success'").select("part_id", F.size("states").alias("num_steps"))
-    return done.join(parts.select("part_id", F.col("split").alias("source_split"), "source_shard", "source_row"), "part_id").select("part_id", "source_split", "source_shard", "source_row", "num_steps")
+    # Files of equal results are small for their rows: their size must not make the planner broadcast them.
+    return done.hint("merge").join(parts.select("part_id", F.col("split").alias("source_split"), "source_shard", "source_row"), "part_id").select("part_id", "source_split", "source_shard", "source_row", "num_steps")
 
 
 @udtf(returnType="step int, depth int, op_name string, args array<string>")

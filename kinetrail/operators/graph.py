@@ -6,12 +6,16 @@ states spread over tasks and no state meets another.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import tasks_for, written
 
 KEYS = ("part_id", "step")
+#: Nodes and entities of a task.
+NODES_A_TASK, ENTITIES_A_TASK = 500_000, 500_000
 
 
 def incidence(face_edge: DataFrame, keys=KEYS, face: str = "face_idx", edge: str = "edge_idx") -> DataFrame:
@@ -40,12 +44,17 @@ def directed_edges(face_edge: DataFrame, keys=KEYS, face: str = "face_idx", edge
     )
 
 
-def adjacency(face_edge: DataFrame, keys=KEYS, face: str = "face_idx", edge: str = "edge_idx", reverse: bool = True) -> DataFrame:
+def adjacency(face_edge: DataFrame, keys=KEYS, face: str = "face_idx", edge: str = "edge_idx", reverse: bool = True, tasks: int | None = None) -> DataFrame:
     """Directed edges with their dense index in (src, dst, edge) order, and the reverse edge's.
 
     Both directions of an edge are always there, so the reverse edge's index is the rank in
     (dst, src, edge) order: a second sort of the same partitions instead of a self-join.
+    With `tasks` the incidence is spread over so many by state, and pairs are made where their state is:
+    one shuffle of narrow rows, and a task holds no more in a larger table. Without, edges are gathered
+    first, then states.
     """
+    if tasks is not None:
+        face_edge = face_edge.select(*keys, face, edge).repartition(tasks, *keys)
     pairs = directed_edges(face_edge, keys, face, edge)
     state = Window.partitionBy(*keys)
     dense = pairs.withColumn("adj_idx", F.row_number().over(state.orderBy("src", "dst", "edge_idx")) - 1)
@@ -57,11 +66,17 @@ def with_reverse(adj: DataFrame, keys=KEYS, simple: bool = False, missing: Colum
 
     simple: by (dst, src) only, of parallel edges the last, and 0 (or `missing`) if there is none.
     """
-    on = [*keys, "src", "dst"] + ([] if simple else ["edge_idx"])
-    back = adj.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), *([] if simple else ["edge_idx"]), F.col("adj_idx").alias("reverse_idx"))
     if simple:
-        back = back.groupBy(*on).agg(F.max("reverse_idx").alias("reverse_idx"))
-    default = (F.lit(0) if simple else F.col("adj_idx")) if missing is None else missing
+        # Parallel edges of both directions meet in a window inside their state: nothing is joined or computed twice.
+        src, dst = F.col("src"), F.col("dst")
+        both = Window.partitionBy(*keys, F.least(src, dst), F.greatest(src, dst))
+        latest = lambda direction: F.max(F.when(direction, F.col("adj_idx"))).over(both)
+        there = reduce(Column.__and__, [F.col(k).isNotNull() for k in (*keys, "src", "dst")])
+        other = F.when(src < dst, latest(src > dst)).when(src > dst, latest(src < dst)).otherwise(latest(src == dst))
+        return adj.withColumn("reverse_idx", F.coalesce(F.when(there, other), F.lit(0) if missing is None else missing))
+    on = [*keys, "src", "dst", "edge_idx"]
+    back = adj.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_idx", F.col("adj_idx").alias("reverse_idx"))
+    default = F.col("adj_idx") if missing is None else missing
     return adj.join(back, on, "left").withColumn("reverse_idx", F.coalesce("reverse_idx", default))
 
 
@@ -104,11 +119,12 @@ def nearest_ancestor(nodes: DataFrame, has_reference: Column) -> DataFrame:
     still open after more steps than there are nodes is on a cycle, which is an error.
     """
     marked = nodes.select("node", "parent", has_reference.alias("_hit"))
+    tasks = tasks_for(nodes.sparkSession, nodes.count(), NODES_A_TASK)
     state = marked.select("node", F.when(F.col("_hit"), F.col("node")).alias("found"), F.when(~F.col("_hit"), F.col("parent")).alias("up"), F.lit(0).alias("depth"), F.lit(1).alias("step"))
     reach, most = 1, None
     while True:
         hop = state.select(F.col("node").alias("up"), F.col("found").alias("_found"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("step").alias("_step"))
-        met = state.join(hop, "up", "left")
+        met = state.repartition(tasks, "up").join(hop.repartition(tasks, "up").hint("merge"), "up", "left")
         state = met.select(
             "node",
             F.coalesce("found", "_found").alias("found"),
@@ -126,6 +142,8 @@ def nearest_ancestor(nodes: DataFrame, has_reference: Column) -> DataFrame:
     return state.select("node", F.col("found").alias("ancestor"), F.when(F.col("found").isNotNull(), F.col("depth")).alias("depth"))
 
 
-def topology_counts(entities: DataFrame, keys=KEYS) -> DataFrame:
-    """Distinct entities of each kind, from rows (keys, kind, entity_key)."""
+def topology_counts(entities: DataFrame, keys=KEYS, tasks: int | None = None) -> DataFrame:
+    """Distinct entities of each kind, from rows (keys, kind, entity_key); with `tasks`, counted where so many by state hold them."""
+    if tasks is not None:
+        entities = entities.repartition(tasks, *keys)
     return entities.groupBy(*keys, "kind").agg(F.countDistinct("entity_key").alias("n"))

@@ -43,7 +43,9 @@ def nn_conv(nodes: DataFrame, edges: DataFrame, weight: Column, in_dims: int, ou
     return nodes.join(got, [*keys, node], "left").select(*keys, node, out.alias("h"))
 
 
-def fuse(adj: DataFrame, feature: str, keys=("part_id", "step")) -> DataFrame:
-    """Each directed edge's feature plus that of its reverse (before any linear layer)."""
+def fuse(adj: DataFrame, feature: str, keys=("part_id", "step"), tasks: int | None = None) -> DataFrame:
+    """Each directed edge's feature plus that of its reverse (before any linear layer); edges meet in `tasks`, if given."""
     back = adj.select(*keys, F.col("adj_idx").alias("reverse_idx"), F.col(feature).alias("_back"))
+    if tasks is not None:
+        adj, back = adj.repartition(tasks, *keys, "reverse_idx"), back.repartition(tasks, *keys, "reverse_idx").hint("merge")
     return adj.join(back, [*keys, "reverse_idx"]).withColumn(feature, F.zip_with(feature, "_back", lambda a, b: a + b)).drop("_back")

@@ -56,12 +56,13 @@ def dangling(children: DataFrame, parents: DataFrame, on: list[str], rule: str)
     return children.join(parents.select(*on).distinct(), on, "left_anti").select(_entity(on).alias("entity"), F.lit(rule).alias("rule"), F.lit("no parent").alias("detail"))
 
 
-def states(states: DataFrame, faces: DataFrame, edges: DataFrame, adjacency: DataFrame, face_edge: DataFrame, images: DataFrame | None = None, grid: int = 16, samples: int = 16) -> DataFrame:
+def states(states: DataFrame, faces: DataFrame, edges: DataFrame, adjacency: DataFrame, face_edge: DataFrame, images: DataFrame | None = None, grid: int = 16, samples: int = 16, tasks: int | None = None) -> DataFrame:
     """All rules of a state and its children; each table is scanned once.
 
     Rules that one row decides are checked where the row is read, so that only keys, indices and their
     outcomes are shuffled, once. The rows of a state then meet in windows, which bring counts and
-    bounds to every row and an edge's outcome to its adjacency, and the other rules are checked.
+    bounds to every row and an edge's outcome to its adjacency, and the other rules are checked; with
+    `tasks`, in so many.
     """
     mask = F.slice("uv", 6 * grid * grid + 1, grid * grid)
     features = array_rules("features", 16, "edges.features")
@@ -73,7 +74,8 @@ def states(states: DataFrame, faces: DataFrame, edges: DataFrame, adjacency: Dat
         _rows(edges, "edge", ["edge_idx"], features | array_rules("u", 6 * samples, "edges.u"), _edge="edge_idx", _shape=bad("shape").cast("bigint"), _finite=bad("finite").cast("bigint"), _size=F.size("features")),
         _rows(adjacency, "adjacency", ["adj_idx"], {}, _src="src", _dst="dst", _edge="edge_idx", _reverse="reverse_idx"),
         _rows(face_edge, "incidence", ["face_idx", "edge_idx"], {}, _src="face_idx", _dst="edge_idx"),
-    ]).repartition(*STATE)
+    ])
+    rows = rows.repartition(*STATE) if tasks is None else rows.repartition(tasks, *STATE)
     here = F.col("part_id").isNotNull() & F.col("step").isNotNull()  # rows without a key have no relatives
     state, edge, is_a = Window.partitionBy(*STATE), Window.partitionBy(*STATE, "_edge"), lambda table: F.col("_table") == table
     children = lambda table: F.when(here, F.count_if(is_a(table)).over(state)).otherwise(0)
@@ -135,7 +137,7 @@ def actions(actions: DataFrame) -> DataFrame:
 def trajectories(trajectories: DataFrame, states: DataFrame, actions: DataFrame) -> DataFrame:
     """Required fields, and one state more than actions, which num_steps counts."""
     count = lambda rows, name: rows.groupBy("part_id").agg(F.count(F.lit(1)).alias(name))
-    joined = trajectories.join(count(states, "_s"), "part_id", "left").join(count(actions, "_a"), "part_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_s", "_a")})
+    joined = trajectories.join(count(states, "_s").hint("merge"), "part_id", "left").join(count(actions, "_a").hint("merge"), "part_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_s", "_a")})
     rules = {"trajectory.causal": (F.col("_s") != F.col("_a") + 1, F.concat_ws("/", F.col("_s").cast("string"), F.col("_a").cast("string"))), "trajectory.num_steps": (F.col("num_steps") != F.col("_a"), F.col("num_steps"))}
     return missing(trajectories, ["part_id"], REQUIRED["trajectories"], "trajectory.required").unionByName(check(joined, ["part_id"], rules))
 

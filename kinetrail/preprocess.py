@@ -14,29 +14,34 @@ from .functions.scalar import split_alias
 from .kernel import extract
 from .operators import graph, stats
 from .sources import parts, shards
-from .storage import rows_per_batch, scope, written
+from .storage import rows_per_batch, scope, tasks_for, written
 
 log = logging.getLogger(__name__)
 
 
-def tables_of(results: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the extracted parts, each with split and source_shard."""
-    incidence = extract.face_edge(results)
-    found = {
-        "op_log": extract.op_log(results),
-        "states": extract.with_start(results),
-        "faces": extract.faces(results),
-        "edges": extract.edges(results),
+#: What every table of extracted parts carries of the raw rows.
+LINEAGE = [*shards.PARTITIONS, "source_row"]
+
+
+def tables_of(results: DataFrame, rows: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of the extracted parts, each with split and source_shard. Results that carry these are
+    joined with nothing, and only their adjacency is shuffled; others take them from `rows`."""
+    keep = shards.PARTITIONS
+    if rows is not None and not {*LINEAGE} <= {*results.columns}:
+        results = results.join(rows.select("part_id", *LINEAGE), "part_id")
+    incidence = extract.face_edge(results, keep)
+    done = results.where("status = 'success'")
+    return {
+        "op_log": extract.op_log(results, keep),
+        "states": extract.with_start(results, keep),
+        "faces": extract.faces(results, keep),
+        "edges": extract.edges(results, keep),
         "face_edge": incidence,
-        "face_adjacency": graph.adjacency(incidence),
-        "actions": extract.actions(results),
-        "part_status": extract.statuses(results),
+        "face_adjacency": graph.adjacency(incidence, [*graph.KEYS, *keep], tasks=tasks_for(results.sparkSession, results.count(), extract.GRAPHS_A_TASK)),
+        "actions": extract.actions(results, keep),
+        "part_status": extract.statuses(results, keep),
+        "trajectories": done.select("part_id", F.col("split").alias("source_split"), "source_row", F.size("states").alias("num_steps"), *keep),
     }
-    lineage = rows.select("part_id", *shards.PARTITIONS)
-    tables = {name: t.join(lineage, "part_id") for name, t in found.items()}
-    trajectories = extract.trajectories(results, rows)
-    tables["trajectories"] = trajectories.select("*", F.col("source_split").alias("split")).select("part_id", "source_split", "source_row", "num_steps", "split", "source_shard")
-    return tables
 
 
 def run(spark: SparkSession, root: str, out: str, overrides: list[str] | None = None) -> DataFrame:
@@ -58,11 +63,10 @@ def _write(rows: DataFrame, out: str, config: dict[str, Any]) -> DataFrame:
     """Extract `rows` and write the shards they come from; each is replaced whole."""
     job, data = config["preprocess"], config["data"]
     metrics = stats.RunMetrics()
-    extracted = extract.extract(rows, job["timeout_s"], data["uv_grid"], data["curve_samples"])
+    extracted = extract.extract(extract.spread(rows), job["timeout_s"], data["uv_grid"], data["curve_samples"], LINEAGE)
     results = written(metrics.watch(extracted, F.size("states")), "extracted")
     log.info("extracted %s; by status: %s", metrics.summary(), metrics.breakdown())
-    attempted = rows.select("part_id", *shards.PARTITIONS).join(results.select("part_id", "status"), "part_id", "left")
-    return shards.write(tables_of(results, rows), attempted, out, data["uv_grid"], data["curve_samples"])
+    return shards.write(tables_of(results), results.select(*shards.PARTITIONS, "status"), out, data["uv_grid"], data["curve_samples"])
 
 
 def follow(spark: SparkSession, root: str, out: str, checkpoint: str, overrides: list[str] | None = None, files_per_batch: int = 8, columns: dict[str, str] = parts.COLUMNS) -> StreamingQuery:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import _parse_datatype_string
 
@@ -84,9 +86,9 @@ def dim_ref_kind(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(REF_KINDS)), "ref_kind int, name string")
 
 
-def empty_states(parts: DataFrame) -> DataFrame:
-    """S_0 of every part: a constant row, never a computed one."""
-    return parts.selectExpr("part_id", "0 AS step", "0 AS num_faces", "0 AS num_edges", "0 AS num_solids", "0D AS volume", "0D AS surface_area", "array_repeat(CAST(0 AS FLOAT), 6) AS bbox")
+def empty_states(parts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """S_0 of every part: a constant row, never a computed one. Columns to `keep` follow the part's key."""
+    return parts.selectExpr("part_id", *keep, "0 AS step", "0 AS num_faces", "0 AS num_edges", "0 AS num_solids", "0D AS volume", "0D AS surface_area", "array_repeat(CAST(0 AS FLOAT), 6) AS bbox")
 
 
 def blank_images(parts: DataFrame, size: int = 224) -> DataFrame:
