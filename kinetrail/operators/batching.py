@@ -77,7 +77,7 @@ def offsets(graphs: DataFrame, counts: dict[str, str], batch: str = "batch_id",
 def shift(children: DataFrame, graphs: DataFrame, on: list[str], shifts: dict[str, str], batch: str = "batch_id", pos: str = "batch_pos") -> DataFrame:
     """Child rows of the batch's graphs with their indices moved; shifts: column -> offset column."""
     names = sorted({*shifts.values()})
-    joined = children.join(graphs.select(*on, batch, pos, *names), on)
+    joined = children.join(graphs.select(*on, batch, pos, *names).hint("merge"), on)
     return joined.withColumns({c: F.col(c) + F.col(o) for c, o in shifts.items()}).drop(*names)
 
 
@@ -89,12 +89,14 @@ def batch_vector(graphs: DataFrame, count: str, batch: str = "batch_id", pos: st
 def collate(states: DataFrame, faces: DataFrame, edges: DataFrame, adjacency: DataFrame, face_edge: DataFrame, batches: DataFrame, keys=("part_id", "step")) -> dict[str, DataFrame]:
     """A batch's tables: graphs with offsets, and children with shifted indices.
 
-    `batches` has the keys, batch_id and batch_pos; nothing is dropped from the children.
+    `batches` has the keys, batch_id and batch_pos; nothing is dropped from the children. The graphs are
+    written once, as every child table meets them; joins are by merge: files of like rows are much smaller
+    than their rows, and the planner would broadcast whole tables through the driver.
     """
     keys = list(keys)
-    graphs = offsets(states.join(batches.select(*keys, "batch_id", "batch_pos"), keys), {"num_faces": "face_offset", "num_edges": "edge_offset"})
+    graphs = offsets(states.join(batches.select(*keys, "batch_id", "batch_pos").hint("merge"), keys), {"num_faces": "face_offset", "num_edges": "edge_offset"})
     adj_counts = adjacency.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_adj"))
-    graphs = offsets(graphs.join(adj_counts, keys, "left").withColumn("num_adj", F.coalesce("num_adj", F.lit(0))), {"num_adj": "adj_offset"})
+    graphs = written(offsets(graphs.join(adj_counts.hint("merge"), keys, "left").withColumn("num_adj", F.coalesce("num_adj", F.lit(0))), {"num_adj": "adj_offset"}), "graphs")
     return {
         "graphs": graphs,
         "faces": shift(faces, graphs, keys, {"face_idx": "face_offset"}),

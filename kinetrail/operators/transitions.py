@@ -42,7 +42,7 @@ def transitions(states: DataFrame, actions: DataFrame, state_values: list[str],
     """Samples (current state, H actions, next state) with their metadata."""
     steps = pairs(states, state_values, horizon, part)
     sequences = action_sequences(actions, F.struct(*action_values), horizon, part)
-    samples = steps.join(sequences, [*part, "step"]).withColumn("action", F.get("sequence", F.lit(0)))
+    samples = steps.join(sequences.hint("merge"), [*part, "step"]).withColumn("action", F.get("sequence", F.lit(0)))
     return samples if max_samples is None else samples.orderBy(*part, "step").limit(max_samples)
 
 
