@@ -83,9 +83,10 @@ def op_fold_keyed(spark, sf_dir):
     """The fold with map state and timers off, over five micro batches that mix the order of every part."""
     source = work_path(spark, "op-log")
     log = q._op_stream(spark, sf_dir)
-    log.repartition(5, F.xxhash64("part_id", "seq")).write.parquet(source)
+    log.repartition(5 * spark.sparkContext.defaultParallelism, F.xxhash64("part_id", "seq")).write.parquet(source)
+    files = len(spark.read.schema(log.schema).parquet(source).inputFiles())
     out, state = work_path(spark, "op-states"), work_path(spark, "op-fold")
-    stream = oplog.fold_keyed(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source), start=1)
+    stream = oplog.fold_keyed(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", max(1, -(-files // 5))).parquet(source), start=1)
     with settings(spark, oplog.ROCKSDB):
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return q._folded(spark.read.parquet(out).where("NOT late"))
