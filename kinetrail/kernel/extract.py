@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import scalar as S
 from ..schema import CURVE_GROUPS, PROFILE, SURFACE_GROUPS, empty_states
-from ..storage import ship, tasks_for
+from ..storage import ship, tasks_for, written
 from . import program, solids
 
 RAW_FACE = "face_idx:int,kind:string,area:double,centroid:array<double>,normal:array<double>,size:array<double>,num_wires:int,num_edges:int,reversed:boolean,uv_range:array<double>,inertia:array<double>,uv:array<float>"
@@ -186,6 +186,30 @@ def extract(parts: DataFrame, timeout_s: float = 15.0, grid: int = 0, samples: i
     return rows.mapInArrow(run, result)
 
 
+def by_program(parts: DataFrame, timeout_s: float = 15.0, grid: int = 0, samples: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Results of programs, written, and `parts` with the key of each one's result in the column `program`.
+
+    Parts of equal programs share one result, whose part_id is that key, so what its tables hold is
+    computed and checked once. A program that ran out of time or failed while it ran is tried again for
+    every part, as in `extract`; such a part has a result of its own.
+    """
+    code = F.coalesce(F.col("code").cast("string"), F.lit(""))
+    parts = parts.withColumn("program", F.sha2(code, 256))
+
+    def run(rows: DataFrame) -> DataFrame:
+        rows = written(rows.select(F.col("program").alias("part_id"), code.alias("code")).distinct(), "programs")
+        return written(extract(spread(rows), timeout_s, grid, samples), "extracted")
+
+    results = run(parts)
+    settled = F.col("status").isin(*SETTLED)
+    failed = results.where(~settled).select(F.col("part_id").alias("program"), F.lit(True).alias("_failed"))
+    if failed.isEmpty():
+        return results, parts
+    own = F.when(F.col("_failed"), F.sha2(F.to_json(F.struct("part_id", "program")), 256)).otherwise(F.col("program"))
+    parts = parts.join(failed, "program", "left").withColumn("program", own)
+    return results.where(settled).unionByName(run(parts.where("_failed"))), parts.drop("_failed")
+
+
 # Of all tables below, columns of the results to `keep` follow the part's key.
 
 
@@ -252,11 +276,13 @@ def actions(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return a.select("part_id", *keep, "step", "operation_name", S.command_id("operation_name").cast("int").alias("cmd_id"), floats("_s.params_raw"), floats("_s.params"), "_s.param_mask", "ref_kind", "ref_entity_indices", deep("ref_points"), deep("ref_directions"), "profile", F.col("_tool").cast("struct<tool_type:string>").alias("tool_geometry"))
 
 
-def trajectories(results: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row per successful part: where it came from (split, source_shard, source_row of `parts`) and its steps."""
-    done = results.where("status = 'success'").select("part_id", F.size("states").alias("num_steps"))
+def trajectories(results: DataFrame, parts: DataFrame, key: str = "part_id") -> DataFrame:
+    """One row per successful part: where it came from (split, source_shard, source_row of `parts`) and its steps.
+    `key` is the column of `parts` that names their results; many parts may have one (`by_program`)."""
+    done = results.where("status = 'success'").select(F.col("part_id").alias(key), F.size("states").alias("num_steps"))
     # Files of equal results are small for their rows: their size must not make the planner broadcast them.
-    return done.hint("merge").join(parts.select("part_id", F.col("split").alias("source_split"), "source_shard", "source_row"), "part_id").select("part_id", "source_split", "source_shard", "source_row", "num_steps")
+    done = done.hint("merge") if key == "part_id" else done
+    return done.join(parts.select(*dict.fromkeys([key, "part_id"]), F.col("split").alias("source_split"), "source_shard", "source_row"), key).select("part_id", "source_split", "source_shard", "source_row", "num_steps")
 
 
 @udtf(returnType="step int, depth int, op_name string, args array<string>")

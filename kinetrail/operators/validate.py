@@ -136,10 +136,20 @@ def actions(actions: DataFrame) -> DataFrame:
 
 def trajectories(trajectories: DataFrame, states: DataFrame, actions: DataFrame) -> DataFrame:
     """Required fields, and one state more than actions, which num_steps counts."""
+    return lineage(trajectories).unionByName(causal(trajectories, states, actions))
+
+
+def lineage(trajectories: DataFrame) -> DataFrame:
+    """The rules that a trajectory's own row decides: required fields."""
+    return missing(trajectories, ["part_id"], REQUIRED["trajectories"], "trajectory.required")
+
+
+def causal(trajectories: DataFrame, states: DataFrame, actions: DataFrame) -> DataFrame:
+    """The rules between a trajectory's steps (part_id, num_steps), states and actions."""
     count = lambda rows, name: rows.groupBy("part_id").agg(F.count(F.lit(1)).alias(name))
     joined = trajectories.join(count(states, "_s").hint("merge"), "part_id", "left").join(count(actions, "_a").hint("merge"), "part_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_s", "_a")})
     rules = {"trajectory.causal": (F.col("_s") != F.col("_a") + 1, F.concat_ws("/", F.col("_s").cast("string"), F.col("_a").cast("string"))), "trajectory.num_steps": (F.col("num_steps") != F.col("_a"), F.col("num_steps"))}
-    return missing(trajectories, ["part_id"], REQUIRED["trajectories"], "trajectory.required").unionByName(check(joined, ["part_id"], rules))
+    return check(joined, ["part_id"], rules)
 
 
 def shards(metadata: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinetrail import preprocess
 from kinetrail.kernel import extract
-from kinetrail.operators import batching, graph, messages
+from kinetrail.operators import batching, graph, messages, validate
 from kinetrail.plans import queries
 
 SCHEMA = pa.schema([("status", pa.string()), ("value", pa.list_(pa.int32()))])
@@ -108,3 +108,31 @@ def test_encoder_runs_once_a_program(spark, sf, monkeypatch):
     rows = queries.encoder_embeddings(spark, sf)
     assert sizes == [programs.select("code").distinct().count()] and sizes[0] < programs.count()
     assert rows.select("part_id").distinct().count() == programs.where((F.col("part_id").cast("int") % 5) < 3).count()
+
+
+def test_parts_of_equal_programs_share_a_result(spark):
+    codes = ["r = cq.Workplane().box(1, 2, 3)", "r = cq.Workplane().box(1, 2, 4)", "r = cq.Workplane().box(1, 2, 3)", "((", "((", None, "", *["result = cq.Workplane().box(1)"] * 3]
+    parts = spark.createDataFrame([(str(i), c) for i, c in enumerate(codes)], "part_id string, code string")
+    results, rows = extract.by_program(parts)
+    key = {r.part_id: r.program for r in rows.collect()}
+    statuses = {r.part_id: r.status for r in results.collect()}
+    assert len(key) == len(codes) and {*key.values()} == {*statuses} and len(statuses) == results.count() == 2 + 1 + 1 + 3  # a failure of the moment is tried for every part
+    each = extract.extract(parts).drop("duration_s")
+    assert {r.part_id: r.status for r in each.collect()} == {p: statuses[k] for p, k in key.items()}
+    shared = rows.select("part_id", "program").join(results.withColumnRenamed("part_id", "program"), "program").select(each.columns)
+    assert sorted(map(str, shared.collect())) == sorted(map(str, each.collect()))
+
+
+def test_rules_run_once_a_program(spark, tmp_path, monkeypatch):
+    keys = [*range(40), 8, 8, None]
+    spark.createDataFrame([(k, (k or 0) % 4) for k in keys] + [(40, None)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    seen = []
+    rules, programs, faces = validate.states, queries._plate_programs, extract.faces
+    monkeypatch.setattr(validate, "states", lambda states, *a, **k: seen.append(states.count()) or rules(states, *a, **k))
+    found = lambda: sorted((str(r.part_id), r.violations) for r in queries.extracted_violations(spark, str(tmp_path)).collect())
+    assert found() == sorted((str(k), 0) for k in [*keys, 40])  # repeated and missing keys too, as in SQL
+    assert seen == [4 * 4]  # four programs with a start and three states
+    # One face of the largest plate is lost, two parts have no split: every part has its program's violations and its own.
+    monkeypatch.setattr(extract, "faces", lambda results: faces(results).where("NOT (step = 1 AND face_idx = 0 AND features[8] > 450)"))
+    monkeypatch.setattr(queries, "_plate_programs", lambda *a: programs(*a).withColumn("split", F.when(~F.coalesce("part_id", F.lit("")).isin("5", "7"), F.col("split"))))
+    assert found() == sorted((str(k), (k is not None and k % 4 == 3 and k < 40) + (k in (5, 7))) for k in [*keys, 40])
